@@ -13,6 +13,13 @@ data.  Instead:
    totals of all earlier segments of its key;
 4. join the offsets back and add.
 
+The segment of a row is the task that holds it after the range shuffle, and
+the range bounds come from a sample of whatever columns that plan reads: two
+branches of one plan (the rows and their summary) could draw different bounds.
+So the segmented rows are written once, with their local values, to a reliable
+checkpoint in ``spark.checkpoint.dir``; both the summary and the final join
+read that one copy, and a lost executor re-reads it instead of re-sampling.
+
 The result equals the plain window exactly.  The summary has at most
 ``segments + distinct keys`` rows; without keys it has at most ``segments``
 rows and is broadcast.
@@ -25,6 +32,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobtables.session import ensure_checkpoint_dir
+
 SEG = "_seg"
 
 
@@ -83,6 +92,8 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence,
               .rowsBetween(Window.unboundedPreceding, -1))
         local = local.withColumns({f"_lm_{m}": F.min(f"_l_{s}").over(wb)
                                    for m, s in min_before.items()})
+    ensure_checkpoint_dir(df.sparkSession)
+    local = local.checkpoint()
     aggs = [F.sum(vnames[n]).alias(f"_t_{n}") for n in values]
     aggs += [F.min(f"_l_{s}").alias(f"_mn_{m}") for m, s in min_before.items()]
     summary = local.groupBy(SEG, *keys).agg(*aggs)
