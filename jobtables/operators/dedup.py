@@ -133,18 +133,15 @@ def dedup_strict(log: DataFrame, keys: Sequence[str], t: str = "t", rid: str = "
         {"n_req": F.when(F.col(kind) == "request", 1).otherwise(0).cast("bigint")})
     req = ordered.where(F.col(kind) == "request").select(rid, *keys, t, F.col("n_req").alias("rank"))
     fails = ordered.where(F.col(kind) == "fail").select(
-        F.col(rid).alias("fail_id"), F.col(target).alias("named"), F.col(t).alias("ft"),
-        F.col("n_req").alias("reqs_before"))
-    # first failure naming request r that comes after r
-    cand = fails.join(req.select(F.col(rid).alias("named"), F.col("rank").alias("named_rank"),
-                                 *[F.col(k).alias(f"_n_{k}") for k in keys]),
-                      "named")
+        *keys, F.col(target).alias("named"), F.col("n_req").alias("reqs_before"))
+    # the first failure naming request r that comes after r in r's own KEY (a
+    # failure naming a request of another KEY can never be about the current job)
+    named = req.select(*keys, F.col(rid).alias("named"), F.col("rank").alias("named_rank"))
+    cand = join_on_keys(fails, named, [*keys, "named"])
     cand = cand.where(F.col("reqs_before") >= F.col("named_rank"))
-    close = (cand.groupBy("named", *[f"_n_{k}" for k in keys])
-             .agg(F.min("reqs_before").alias("reqs_before")))
+    close = cand.groupBy(*keys, "named").agg(F.min("reqs_before").alias("reqs_before"))
     # next job = request of rank reqs_before + 1 in the same KEY
-    nxt = close.select(F.col("named").alias(rid),
-                       *[F.col(f"_n_{k}").alias(k) for k in keys],
+    nxt = close.select(F.col("named").alias(rid), *keys,
                        (F.col("reqs_before") + 1).alias("next_rank"))
     by_rank = req.select(*keys, F.col("rank").alias("next_rank"), F.col(rid).alias("next"))
     succ = join_on_keys(nxt, by_rank, [*keys, "next_rank"]).select(rid, "next")
