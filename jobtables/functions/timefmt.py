@@ -63,3 +63,10 @@ def rfc3339_parse_strict(text, what: str = "time") -> Column:
         parsed.isNull(),
         F.raise_error(F.concat(F.lit(f"failed to parse {what}: "), t)).cast("timestamp_ntz"),
     ).otherwise(parsed)
+
+
+def ntz_to_instant(ts) -> Column:
+    """timestamp_ntz (UTC wall time) -> TIMESTAMP instant, whatever the session
+    zone (event-time watermarks need TIMESTAMP)."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, _col(ts)))

@@ -79,7 +79,7 @@ def mark_running(jobs: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def claim_interleaved(log: DataFrame, t: str = "t", rid: str = "id", kind: str = "kind",
-                      segments: int | None = None) -> DataFrame:
+                      segments: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Enqueues and polls interleaved in time; a poll on an empty queue
     gets nothing and is not remembered.
 
@@ -87,10 +87,12 @@ def claim_interleaved(log: DataFrame, t: str = "t", rid: str = "id", kind: str =
     M = min(0, min of S strictly before); a poll is empty iff S < M; queue
     length after a row is S - least(M, S); an enqueue has rank E (enqueues so
     far), a served poll rank E - queue length; equal ranks match.
-    One row per poll: (poll_id, poll_t, job_id, job_t, rank).
+    One row per poll: (poll_id, poll_t, job_id, job_t, rank).  With ``keys``
+    (e.g. repository) there is one queue per key.
     """
     enq = F.col(kind) == "enqueue"
-    r = running_sums(log, [], [t, rid],
+    keys = list(keys)
+    r = running_sums(log, keys, [t, rid],
                      {"S": F.when(enq, 1).otherwise(-1).cast("bigint"),
                       "E": F.when(enq, 1).otherwise(0).cast("bigint")},
                      min_before={"_mb": "S"}, segments=segments)
@@ -98,6 +100,8 @@ def claim_interleaved(log: DataFrame, t: str = "t", rid: str = "id", kind: str =
     qlen = F.col("S") - F.least(m, F.col("S"))
     served = ~enq & (F.col("S") >= m)
     r = r.withColumn("rank", F.when(enq, F.col("E")).when(served, F.col("E") - qlen))
-    polls = r.where(~enq).select(F.col(rid).alias("poll_id"), F.col(t).alias("poll_t"), "rank")
-    jobs = r.where(enq).select(F.col(rid).alias("job_id"), F.col(t).alias("job_t"), "rank")
-    return polls.join(jobs, "rank", "left").select("poll_id", "poll_t", "job_id", "job_t", "rank")
+    polls = r.where(~enq).select(*keys, F.col(rid).alias("poll_id"), F.col(t).alias("poll_t"),
+                                 "rank")
+    jobs = r.where(enq).select(*keys, F.col(rid).alias("job_id"), F.col(t).alias("job_t"), "rank")
+    return polls.join(jobs, [*keys, "rank"], "left").select(
+        *keys, "poll_id", "poll_t", "job_id", "job_t", "rank")
