@@ -130,8 +130,9 @@ def edges_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(F.lit(prefix), F.col(col).cast("string"))
 
     parts = [
-        li.select(node("o", "l_orderkey").alias("src"), node("p", "l_partkey").alias("dst")),
-        li.select(node("o", "l_orderkey").alias("src"), node("s", "l_suppkey").alias("dst")),
+        # one scan of lineitem for both of its edge kinds
+        li.select(node("o", "l_orderkey").alias("src"),
+                  F.explode(F.array(node("p", "l_partkey"), node("s", "l_suppkey"))).alias("dst")),
         o.select(node("o", "o_orderkey").alias("src"), node("c", "o_custkey").alias("dst")),
         c.select(node("c", "c_custkey").alias("src"), node("n", "c_nationkey").alias("dst")),
         s.select(node("s", "s_suppkey").alias("src"), node("n", "s_nationkey").alias("dst")),

@@ -12,10 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Shape of an RFC 3339 date-time (fixed value): date, 'T', time, optional
-# fraction, offset.
-RFC3339_RE = (r"^(\d{4})-(\d{2})-(\d{2})[Tt](\d{2}):(\d{2}):(\d{2})(\.\d{1,9})?"
-              r"([Zz]|[+-]\d{2}:\d{2})$")
+# Shape of an RFC 3339 date-time (fixed value): date, 'T', time with hours
+# 00-23 and minutes/seconds 00-59, optional fraction, offset 'Z' or +hh:mm.
+# Month and day are checked by the calendar (try_make_timestamp_ntz).
+RFC3339_RE = (r"^\d{4}-\d{2}-\d{2}[Tt]([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d{1,9})?"
+              r"([Zz]|[+-]([01]\d|2[0-4]):[0-5]\d)$")
 
 # Output format: UTC, whole seconds, literal Z.
 RFC3339_OUT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -32,37 +33,39 @@ def rfc3339_encode(ts) -> Column:
 
 def rfc3339_parse(text) -> Column:
     """Parse RFC 3339 text to timestamp_ntz in UTC; null when the text is
-    not a valid RFC 3339 date-time (null in, null out)."""
+    not a valid RFC 3339 date-time (null in, null out).
+
+    One regular-expression test per value; the fields are then cut at fixed
+    positions (the shape is fixed once the test passed) and the expression is
+    built so that no part is evaluated twice: small enough to stay inside
+    whole-stage codegen.
+    """
     t = _col(text)
 
-    def part(i: int) -> Column:
-        return F.regexp_extract(t, RFC3339_RE, i)
-
-    ok = t.rlike(RFC3339_RE)
-    frac = part(7)
-    secs = F.concat(part(6), F.substring(frac, 1, 7)).try_cast("decimal(16,6)")
-    local = F.try_make_timestamp_ntz(
-        part(1).try_cast("int"), part(2).try_cast("int"), part(3).try_cast("int"),
-        part(4).try_cast("int"), part(5).try_cast("int"), secs)
-    off = part(8)
-    off_sign = F.when(F.substring(off, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    off_h = F.when(F.upper(off) == "Z", F.lit(0)).otherwise(F.substring(off, 2, 2).try_cast("int"))
-    off_m = F.when(F.upper(off) == "Z", F.lit(0)).otherwise(F.substring(off, 5, 2).try_cast("int"))
-    valid = (ok & (part(6).try_cast("int") < 60) & (off_h < 24) & (off_m < 60)
-             & local.isNotNull())
-    utc = local - F.make_dt_interval(F.lit(0), F.lit(0), off_sign * (off_h * 60 + off_m),
-                                     F.lit(0))
-    return F.when(valid, utc)
+    def num(pos: int, n: int) -> Column:
+        return F.substring(t, pos, n).try_cast("int")
+
+    z = F.upper(F.substring(t, -1, 1)) == "Z"
+    off_len = F.when(z, F.lit(1)).otherwise(F.lit(6))
+    # the fraction ('.' + digits) sits between the seconds and the offset;
+    # keep '.' + 6 digits (microseconds)
+    frac_len = F.greatest(F.least(F.length(t) - 19 - off_len, F.lit(7)), F.lit(0))
+    frac = F.substring(F.substring(t, 20, 7), F.lit(1), frac_len)
+    secs = F.concat(F.substring(t, 18, 2), frac).try_cast("decimal(16,6)")
+    local = F.try_make_timestamp_ntz(num(1, 4), num(6, 2), num(9, 2), num(12, 2), num(15, 2),
+                                     secs)
+    off_min = F.when(z, F.lit(0)).otherwise(
+        F.when(F.substring(t, -6, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
+        * (num(-5, 2) * 60 + num(-2, 2)))
+    utc = local - F.make_dt_interval(F.lit(0), F.lit(0), off_min, F.lit(0))
+    return F.when(t.rlike(RFC3339_RE), utc)
 
 
 def rfc3339_parse_strict(text, what: str = "time") -> Column:
     """Like :func:`rfc3339_parse` but raises on a non-null invalid text."""
     t = _col(text)
-    parsed = rfc3339_parse(t)
-    return F.when(t.isNull(), F.lit(None).cast("timestamp_ntz")).when(
-        parsed.isNull(),
-        F.raise_error(F.concat(F.lit(f"failed to parse {what}: "), t)).cast("timestamp_ntz"),
-    ).otherwise(parsed)
+    err = F.raise_error(F.concat(F.lit(f"failed to parse {what}: "), t)).cast("timestamp_ntz")
+    return F.coalesce(rfc3339_parse(t), F.when(t.isNotNull(), err))
 
 
 def ntz_to_instant(ts) -> Column:

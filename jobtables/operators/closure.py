@@ -4,7 +4,10 @@ iteration.
 Each round joins only the new frontier to the edges (never the whole closure),
 drops pairs already seen with a left-anti join, and writes the new pairs to a
 reliable checkpoint in ``spark.checkpoint.dir`` so the lineage stays one round
-deep and a lost executor recomputes at most one round.  Cycles end the loop,
+deep and a lost executor recomputes at most one round.  The edges and every
+checkpointed part share one hash partitioning, so a round shuffles the
+frontier (to meet the edges) and the new candidates (to meet what was seen),
+never the edges or the closure so far.  Cycles end the loop,
 since the anti-join drops pairs that come round again.  The rounds (longest
 shortest path + 1) are the only driver loop.
 """
@@ -23,27 +26,33 @@ def _closure(edges: DataFrame, start: DataFrame, cols: Sequence[str], scope: Seq
              max_rounds: int | None, with_depth: bool) -> DataFrame:
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    e = edges.select(*scope, F.col("src").alias("node"), F.col("dst").alias("_dst")).distinct()
-    # the edges are read every round: cache them for the duration of the loop
-    e = e.persist()
-    frontier = start.select(*cols).distinct().withColumn("depth", F.lit(0)).checkpoint()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = list(cols)
+    # Edges are read every round: hash-partition them once on the join key and
+    # keep them, so each round shuffles only the (small) frontier.
+    e = (edges.select(*scope, F.col("src").alias("node"), F.col("dst").alias("_dst")).distinct()
+         .repartition(n, *scope, "node").persist())
+    # Every part of the closure is hash-partitioned on ``cols`` with the same n,
+    # so the union of the parts keeps that partitioning and the anti-join
+    # against everything seen shuffles only the new candidates.
+    frontier = (start.select(*cols).repartition(n, *cols).dropDuplicates(cols)
+                .withColumn("depth", F.lit(0)).checkpoint())
     parts = [frontier]
-    seen = frontier
     rounds = 0
     try:
         while not frontier.isEmpty():
             if max_rounds is not None and rounds >= max_rounds:
                 raise RuntimeError(f"closure not reached in {max_rounds} rounds")
             rounds += 1
-            step = (frontier.join(e, [*scope, "node"])
+            seen = parts[0].select(*cols)
+            for p in parts[1:]:
+                seen = seen.unionByName(p.select(*cols))
+            step = (frontier.select(*cols).join(e, [*scope, "node"])
                     .select(*[c for c in cols if c != "node"], F.col("_dst").alias("node"))
-                    .distinct())
-            new = (step.join(seen.select(*cols), list(cols), "left_anti")
+                    .repartition(n, *cols))
+            new = (step.join(seen, cols, "left_anti").dropDuplicates(cols)
                    .withColumn("depth", F.lit(rounds)).checkpoint())
             parts.append(new)
-            seen = seen.unionByName(new)
-            if len(parts) % 4 == 0:
-                seen = seen.checkpoint()
             frontier = new
     finally:
         e.unpersist()
