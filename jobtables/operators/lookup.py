@@ -48,9 +48,10 @@ def job_view(jobs: DataFrame, nested: bool = True) -> DataFrame:
 
 
 def poll_bulk(ids: DataFrame, jobs: DataFrame, now, delay_s: int = CLIENT_POLL_DELAY_S,
-              nested: bool = False) -> DataFrame:
+              nested: bool = False, strict: bool = False) -> DataFrame:
     """Answer many polls at once.  ``ids`` has a column ``id``; unknown
-    ids answer ``job not found``.  One row per poll id.
+    ids answer ``job not found``.  One row per poll id.  With ``strict`` the
+    first precondition error (F6) fails the query instead of being a row.
 
     If ids repeat in ``jobs`` (a broken primary key, see audit A2) each copy
     answers; audit_job_id reports such ids."""
@@ -67,6 +68,11 @@ def poll_bulk(ids: DataFrame, jobs: DataFrame, now, delay_s: int = CLIENT_POLL_D
     })
     if nested:
         out = out.withColumn("answer", F.when(found, poll_struct(now, delay_s)))
+    if strict:
+        out = out.withColumn("error", F.when(
+            F.col("error").isNotNull(),
+            F.raise_error(F.concat(F.lit("poll of job "), F.col("id").cast("string"),
+                                   F.lit(": "), F.col("error"))).cast("string")))
     return out.drop("_hit", "status", "result_url", "result_error")
 
 

@@ -1,8 +1,8 @@
 """One batch of the worker pool as a single distributed plan.
 
-claim (D3) -> mark running (F14) -> route (X1) -> dependency closure of each
-routable job's query (G1) -> result rows and outcome per job -> apply the
-finishes (U1).  No per-job loop: the closure's rounds are the only driver loop,
+claim (D3) -> route (X1) -> dependency closure of each routable job's query
+(G1) -> result rows and outcome per job -> mark running (F14) and finish (U1)
+in one join with the job table.  No per-job loop: the closure's rounds are the only driver loop,
 and the closure is computed once per distinct root, not once per job.
 """
 
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from jobtables.functions.naming import result_url
 from jobtables.operators.closure import deps_closure
-from jobtables.operators.fifo import claim_fifo, mark_running
+from jobtables.operators.fifo import claim_fifo
 from jobtables.operators.lookup import route_jobs
-from jobtables.operators.update import apply_finishes
+from jobtables.schema import STATUS_FAILED, STATUS_SUCCEEDED
 
 
 @dataclass
@@ -43,22 +43,30 @@ def run_jobs(jobs: DataFrame, polls: DataFrame, repos: DataFrame, edges: DataFra
         F.col("job_query_string").alias("query_string"))
     routed = route_jobs(claimed, repos)
     ok = routed.where(F.col("route_error").isNull()).withColumn("root", query_root())
-    roots = ok.select("root").distinct()
-    closure = deps_closure(edges, roots)
+    closure = deps_closure(edges, ok.select("root").distinct())
+    # result rows per job (lazy: written by the caller, e.g. sinks.write_results)
     results = ok.select(F.col("id").alias("job_id"), "root").join(closure, "root") \
         .select("job_id", "node")
-    n_deps = results.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_deps"))
-    finishes = routed.select(
-        F.col("id").alias("job_id"),
-        F.when(F.col("route_error").isNull(), result_url(bucket, "id"))
-         .alias("query_result_location"),
-        F.col("route_error").alias("failure_message"),
-        F.col("poll_time").alias("finish_ts"),
-        F.col("id").alias("finish_id"))
-    after = apply_finishes(mark_running(jobs, claims), finishes)
-    outcomes = (after.join(claimed.select("id"), "id")
-                .join(n_deps.withColumnRenamed("job_id", "id"), "id", "left")
-                .select(F.col("id").alias("job_id"), "repository", "worker", "status",
-                        "start_time", "finish_time", "result_url", "result_error",
-                        F.coalesce(F.col("n_deps"), F.lit(0)).cast("bigint").alias("n_deps")))
+    # counts per root, not per (job, node): jobs asking the same query share them
+    per_root = closure.groupBy("root").agg(F.count(F.lit(1)).alias("n_deps"))
+    routed = routed.withColumn("root", F.when(F.col("route_error").isNull(), query_root()))
+    outcomes = routed.join(per_root, "root", "left").select(
+        F.col("id").alias("job_id"), "repository", F.col("worker_name").alias("worker"),
+        F.when(F.col("route_error").isNull(), F.lit(STATUS_SUCCEEDED))
+         .otherwise(F.lit(STATUS_FAILED)).alias("status"),
+        F.col("poll_time").alias("start_time"), F.col("poll_time").alias("finish_time"),
+        F.when(F.col("route_error").isNull(), result_url(bucket, "id")).alias("result_url"),
+        F.col("route_error").alias("result_error"),
+        F.coalesce(F.col("n_deps"), F.lit(0)).cast("bigint").alias("n_deps"))
+    # claim (F14) and finish (U1) of the claimed jobs applied in ONE join of the
+    # job table with the per-job outcomes (claimed jobs were pending, so their
+    # result columns were empty)
+    upd = outcomes.select(*[F.col(c).alias(f"_u_{c}") for c in
+                            ("job_id", "worker", "status", "start_time", "finish_time",
+                             "result_url", "result_error")])
+    j = jobs.join(upd, jobs["id"] == upd["_u_job_id"], "left")
+    hit = F.col("_u_job_id").isNotNull()
+    after = j.withColumns({c: F.when(hit, F.col(f"_u_{c}")).otherwise(F.col(c))
+                           for c in ("worker", "status", "start_time", "finish_time",
+                                     "result_url", "result_error")}).drop(*upd.columns)
     return RunOutput(after, results, outcomes)

@@ -95,3 +95,12 @@ def test_names(spark):
     r = df.select(workspace_error().alias("e"), result_url("bkt", F.lit("abcd")).alias("u")).first()
     assert r.e == 'workspace for repo "https://github.com/grpc/grpc" not found'
     assert r.u == "gs://bkt/abcd.pb"
+
+
+def test_strict_poll_raises(spark):
+    import pytest
+    ids = spark.createDataFrame([("1",), ("5",)], "id string")
+    with pytest.raises(Exception, match="job not found"):
+        poll_bulk(ids, _jobs(spark), NOW, strict=True).collect()
+    ok = spark.createDataFrame([("1",), ("4",)], "id string")
+    assert poll_bulk(ok, _jobs(spark), NOW, strict=True).count() == 2
