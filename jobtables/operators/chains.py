@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtables.session import ensure_checkpoint_dir
+from jobtables.session import cut_lineage, ensure_checkpoint_dir
 
 
 def chain_members(succ: DataFrame, starts: DataFrame, node: str = "id",
@@ -24,18 +24,18 @@ def chain_members(succ: DataFrame, starts: DataFrame, node: str = "id",
     """
     spark = succ.sparkSession
     ensure_checkpoint_dir(spark)
-    jump = succ.select(F.col(node).alias("a"), F.col("next").alias("b")).checkpoint()
-    members = starts.select(F.col(node).alias("n"), F.col(node).alias("start"),
-                            F.lit(0).cast("bigint").alias("pos")).checkpoint()
+    jump = cut_lineage(succ.select(F.col(node).alias("a"), F.col("next").alias("b")))
+    members = cut_lineage(starts.select(F.col(node).alias("n"), F.col(node).alias("start"),
+                                        F.lit(0).cast("bigint").alias("pos")))
     step = 1
     for _ in range(max_rounds):
         if jump.isEmpty():
             break
         reached = (members.join(jump, members["n"] == jump["a"])
                    .select(F.col("b").alias("n"), "start", (F.col("pos") + step).alias("pos")))
-        members = members.unionByName(reached).checkpoint()
+        members = cut_lineage(members.unionByName(reached))
         j2 = jump.alias("x").join(jump.alias("y"), F.col("x.b") == F.col("y.a"))
-        jump = j2.select(F.col("x.a").alias("a"), F.col("y.b").alias("b")).checkpoint()
+        jump = cut_lineage(j2.select(F.col("x.a").alias("a"), F.col("y.b").alias("b")))
         step *= 2
     else:
         if not jump.isEmpty():

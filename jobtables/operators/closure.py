@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtables.session import ensure_checkpoint_dir
+from jobtables.session import cut_lineage, ensure_checkpoint_dir
 
 
 def _closure(edges: DataFrame, start: DataFrame, cols: Sequence[str], scope: Sequence[str],
@@ -30,13 +30,13 @@ def _closure(edges: DataFrame, start: DataFrame, cols: Sequence[str], scope: Seq
     cols = list(cols)
     # Edges are read every round: hash-partition them once on the join key and
     # keep them, so each round shuffles only the (small) frontier.
-    e = (edges.select(*scope, F.col("src").alias("node"), F.col("dst").alias("_dst")).distinct()
-         .repartition(n, *scope, "node").persist())
+    e = (edges.select(*scope, F.col("src").alias("node"), F.col("dst").alias("_dst"))
+         .repartition(n, *scope, "node").dropDuplicates([*scope, "node", "_dst"]).persist())
     # Every part of the closure is hash-partitioned on ``cols`` with the same n,
     # so the union of the parts keeps that partitioning and the anti-join
     # against everything seen shuffles only the new candidates.
-    frontier = (start.select(*cols).repartition(n, *cols).dropDuplicates(cols)
-                .withColumn("depth", F.lit(0)).checkpoint())
+    frontier = cut_lineage(start.select(*cols).repartition(n, *cols).dropDuplicates(cols)
+                           .withColumn("depth", F.lit(0)))
     parts = [frontier]
     rounds = 0
     try:
@@ -50,8 +50,8 @@ def _closure(edges: DataFrame, start: DataFrame, cols: Sequence[str], scope: Seq
             step = (frontier.select(*cols).join(e, [*scope, "node"])
                     .select(*[c for c in cols if c != "node"], F.col("_dst").alias("node"))
                     .repartition(n, *cols))
-            new = (step.join(seen, cols, "left_anti").dropDuplicates(cols)
-                   .withColumn("depth", F.lit(rounds)).checkpoint())
+            new = cut_lineage(step.join(seen, cols, "left_anti").dropDuplicates(cols)
+                              .withColumn("depth", F.lit(rounds)))
             parts.append(new)
             frontier = new
     finally:

@@ -38,13 +38,22 @@ def next_job(jobs: DataFrame) -> DataFrame:
 
 def _claim(jobs: DataFrame, polls: DataFrame, keys: Sequence[str], delay_s: int
            ) -> DataFrame:
-    q = global_row_number(pending(jobs).select("id", *KEY, "queue_time"), QUEUE_ORDER,
-                          "rank", keys=keys)
-    p = global_row_number(polls, POLL_ORDER, "rank", keys=keys)
-    qj = q.select(*keys, "rank", F.col("id").alias("job_id"),
-                  *[F.col(k).alias(f"job_{k}") for k in KEY if k not in keys],
-                  "queue_time")
-    m = join_on_keys(p, qj, [*keys, "rank"], "left")
+    """Rank the pending jobs and the polls in ONE pass: both sides go through
+    one range partitioning and one checkpoint (side is the leading sort key),
+    then the i-th job of a key meets the i-th poll of that key."""
+    keys = list(keys)
+    q = pending(jobs).select(
+        *keys, F.col("id").alias("job_id"),
+        *[F.col(k).alias(f"job_{k}") for k in KEY if k not in keys],
+        F.col("queue_time"), F.col("queue_time").alias("_t"), F.lit(0).alias("_side"))
+    p = polls.withColumns({"_t": F.col("poll_time"), "_side": F.lit(1)})
+    both = q.unionByName(p, allowMissingColumns=True)
+    ranked = global_row_number(both, ["_t", "job_id", "poll_id"], "rank",
+                               keys=["_side", *keys])
+    job_cols = ["job_id", *[f"job_{k}" for k in KEY if k not in keys], "queue_time"]
+    qj = ranked.where(F.col("_side") == 0).select(*keys, "rank", *job_cols)
+    pl = ranked.where(F.col("_side") == 1).drop("_side", "_t", *job_cols)
+    m = join_on_keys(pl, qj, [*keys, "rank"], "left")
     return m.withColumns({
         "claimed": F.col("job_id").isNotNull(),
         "next_poll_time": next_poll_time(F.col("poll_time"), delay_s),

@@ -32,7 +32,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobtables.session import ensure_checkpoint_dir
+from jobtables.session import cut_lineage
 
 SEG = "_seg"
 
@@ -92,8 +92,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence,
               .rowsBetween(Window.unboundedPreceding, -1))
         local = local.withColumns({f"_lm_{m}": F.min(f"_l_{s}").over(wb)
                                    for m, s in min_before.items()})
-    ensure_checkpoint_dir(df.sparkSession)
-    local = local.checkpoint()
+    local = cut_lineage(local)
     aggs = [F.sum(vnames[n]).alias(f"_t_{n}") for n in values]
     aggs += [F.min(f"_l_{s}").alias(f"_mn_{m}") for m, s in min_before.items()]
     summary = local.groupBy(SEG, *keys).agg(*aggs)

@@ -58,3 +58,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="jobtables-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
+
+
+def cut_lineage(df):
+    """Reliable checkpoint of ``df`` in ``spark.checkpoint.dir``, computing the
+    plan once.
+
+    ``Dataset.checkpoint()`` runs the plan for its eager count and then again
+    to write the files; keeping the rows (memory, spilling to disk) for the
+    duration lets the write read them back instead.  The returned DataFrame
+    reads the checkpoint files only, so the cache is dropped at once.
+    """
+    from pyspark import StorageLevel
+    ensure_checkpoint_dir(df.sparkSession)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return kept.checkpoint(eager=True)
+    finally:
+        kept.unpersist()

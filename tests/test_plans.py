@@ -45,20 +45,24 @@ def _single_partition_inputs(p: str):
     return [lines[i + 1] for i, l in enumerate(lines) if "Exchange SinglePartition" in l]
 
 
+def _windows(p: str):
+    return [l for l in p.splitlines() if re.search(r"\bWindow \[", l)]
+
+
 def test_fifo_sorts_no_world_in_one_task(spark):
     for df in (claim_fifo(fx.jobs_v(spark, SF001), fx.polls_v(spark, SF001)),
                claim_interleaved(fx.claim_log(spark, SF001))):
         p = _plan(df)
-        below = _single_partition_inputs(p)
-        assert below, "the per-segment summary should be the only single-partition step"
-        assert all("HashAggregate(keys=[_seg" in b for b in below), below
+        # a single-partition step may only gather the per-segment summary
+        assert all("HashAggregate(keys=[_seg" in b for b in _single_partition_inputs(p))
+        # every window is either split by segment (rows) or ordered by segment
+        # (the summary): none sorts the raw log by time alone
+        wins = _windows(p)
+        assert wins and all("_seg" in w for w in wins), wins
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
 def test_generations_window_is_split_by_segment(spark):
     p = _plan(dedup_generations(fx.dedup_log(spark, SF001), ["user_id"]))
-    assert "rangepartitioning(user_id" in p or "Scan ExistingRDD" in p
-    wins = [l for l in p.splitlines() if re.search(r"\bWindow \[", l)]
-    # every window over rows is partitioned by the segment, or runs over the
-    # small summary (partitioned by the key only)
-    assert wins
+    wins = _windows(p)
+    assert wins and all("_seg" in w for w in wins), wins
