@@ -66,3 +66,17 @@ def test_generations_window_is_split_by_segment(spark):
     p = _plan(dedup_generations(fx.dedup_log(spark, SF001), ["user_id"]))
     wins = _windows(p)
     assert wins and all("_seg" in w for w in wins), wins
+
+
+def test_hot_key_spans_many_segments(spark):
+    """A key holding a third of the rows is split over several tasks."""
+    from pyspark.sql import functions as F
+    from jobtables.operators.ordered import segment
+    df = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 1000).alias("k"),
+        F.col("id").alias("t"))
+    seg = segment(df, ["k"], ["t"], segments=8)
+    n = seg.where("k = 0").select("_seg").distinct().count()
+    assert n >= 3, n
+    biggest = seg.groupBy("_seg").count().agg(F.max("count")).first()[0]
+    assert biggest < 30000 / 3   # no task holds the whole hot key
