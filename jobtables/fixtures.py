@@ -105,6 +105,18 @@ def dedup_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def strict_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup_log where every failure names a job: the user's first request.
+    Once that job is closed, later failures naming it are stale, so the
+    strict replay (E3) and the plain one (E2) part ways."""
+    log = dedup_log(spark, sf_dir)
+    first = (log.where(F.col("kind") == "request").groupBy("user_id")
+             .agg(F.min_by("id", F.struct("t", "id")).alias("first_request")))
+    return log.join(first, "user_id", "left").select(
+        "id", "user_id", "t", "kind",
+        F.when(F.col("kind") == "fail", F.col("first_request")).alias("target"))
+
+
 def claim_log(spark: SparkSession, sf_dir: str, starved: bool = False) -> DataFrame:
     """Enqueues and worker polls in one log.  Normal: click/view enqueue,
     purchase/error poll.  Starved: click enqueues, all others poll."""

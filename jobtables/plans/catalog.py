@@ -168,6 +168,7 @@ QUERIES: dict[str, Query] = {
     # dedup
     "dedup_first": lambda s, d: dedup.dedup_first(fx.requests_v(s, d)),
     "dedup_generations": lambda s, d: dedup.dedup_generations(fx.dedup_log(s, d), ["user_id"]),
+    "dedup_strict": lambda s, d: dedup.dedup_strict(fx.strict_log(s, d), ["user_id"]),
     # fifo
     "next_job": lambda s, d: fifo.next_job(_jobs(s, d)),
     "next_k_jobs": lambda s, d: fifo.next_k_jobs(_jobs(s, d), NEXT_K),

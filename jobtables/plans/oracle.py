@@ -269,6 +269,26 @@ SQL["dedup_generations"] = _with(DEDUP_LOG) + """, g AS (SELECT *, CAST(SUM(CASE
 SELECT id, user_id, t, gen, FIRST_VALUE(id) OVER w AS job_id, id = FIRST_VALUE(id) OVER w AS created
 FROM r WINDOW w AS (PARTITION BY user_id, gen ORDER BY t, id)"""
 
+SQL["dedup_strict"] = "WITH RECURSIVE " + DEDUP_LOG + """,
+ firsts AS (SELECT user_id, arg_min(id, (t, id)) AS first_request FROM dlog
+   WHERE kind = 'request' GROUP BY user_id),
+ slog AS (SELECT l.*, CASE WHEN kind = 'fail' THEN f.first_request END AS target
+   FROM dlog l LEFT JOIN firsts f USING (user_id)),
+ o AS (SELECT *, CAST(SUM(CASE WHEN kind = 'request' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id
+   ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS n_req FROM slog),
+ req AS (SELECT id, user_id, t, n_req AS rank FROM o WHERE kind = 'request'),
+ close AS (SELECT f.target AS named, MIN(f.n_req) AS reqs_before
+   FROM o f JOIN req r ON r.id = f.target AND r.user_id = f.user_id
+   WHERE f.kind = 'fail' AND f.n_req >= r.rank GROUP BY f.target),
+ chain(user_id, job_id, rank) AS (SELECT user_id, id, rank FROM req WHERE rank = 1
+   UNION ALL SELECT c.user_id, r.id, r.rank FROM chain c JOIN close cl ON cl.named = c.job_id
+   JOIN req r ON r.user_id = c.user_id AND r.rank = cl.reqs_before + 1),
+ mine AS (SELECT r.id, r.user_id, r.t, arg_max(c.job_id, c.rank) AS job_id,
+   CAST(COUNT(*) - 1 AS BIGINT) AS gen
+   FROM req r JOIN chain c ON c.user_id = r.user_id AND c.rank <= r.rank
+   GROUP BY r.id, r.user_id, r.t)
+SELECT id, user_id, t, gen, job_id, id = job_id AS created FROM mine"""
+
 # -- fifo ----------------------------------------------------------------------
 
 SQL["next_job"] = _with(JOBS_V) + (
