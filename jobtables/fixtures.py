@@ -179,14 +179,13 @@ def jobs_text_v(spark: SparkSession, sf_dir: str, corrupt: bool = False) -> Data
     j = jobs_v(spark, sf_dir, with_priority=True)
 
     def enc(c):
-        local = F.date_format(F.col(c) - F.make_dt_interval(F.lit(0), F.lit(8)),
-                              "yyyy-MM-dd'T'HH:mm:ss'-08:00'")
+        local = rfc3339_encode(F.col(c) - F.make_dt_interval(F.lit(0), F.lit(8)), "-08:00")
         return F.when(F.col("priority") == "1-URGENT", local).otherwise(rfc3339_encode(c))
 
     q = enc("queue_time")
     if corrupt:
         q = F.when(F.col("priority") == "5-LOW",
-                   F.date_format("queue_time", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(q)
+                   rfc3339_encode("queue_time", offset="")).otherwise(q)
     return j.select(
         F.col("id").cast("string").alias("id"), "repository", "commit_hash", "query_string",
         "status", "worker", q.alias("queue_time"), enc("start_time").alias("start_time"),

@@ -26,9 +26,14 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def rfc3339_encode(ts) -> Column:
-    """Encode a UTC timestamp_ntz as RFC 3339 text with whole seconds."""
-    return F.date_format(_col(ts), RFC3339_OUT)
+def rfc3339_encode(ts, offset: str = "Z") -> Column:
+    """Encode a timestamp_ntz as RFC 3339 text with whole seconds and the
+    given offset text (``Z`` for UTC).  Cut from the value's own text form
+    (``yyyy-MM-dd HH:mm:ss[.f]``), so the session time zone plays no part:
+    ``date_format`` would pass the value through the session zone and shift
+    wall times that fall in a daylight-saving gap there."""
+    t = _col(ts).cast("timestamp_ntz").cast("string")
+    return F.concat(F.substring(t, 1, 10), F.lit("T"), F.substring(t, 12, 8), F.lit(offset))
 
 
 def rfc3339_parse(text) -> Column:

@@ -81,8 +81,13 @@ def test_rfc3339_independent_of_session_zone(spark):
     old = spark.conf.get("spark.sql.session.timeZone")
     try:
         spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
-        df = spark.createDataFrame([("2022-05-01T12:20:00-08:00",)], "t string")
-        assert df.select(rfc3339_parse("t")).first()[0] == dt.datetime(2022, 5, 1, 20, 20)
+        df = spark.createDataFrame([("2022-05-01T12:20:00-08:00",), ("2024-03-10T02:30:00Z",)],
+                                   "t string")
+        got = [r[0] for r in df.select(rfc3339_parse("t")).collect()]
+        assert got == [dt.datetime(2022, 5, 1, 20, 20), dt.datetime(2024, 3, 10, 2, 30)]
+        # 02:30 on that day does not exist in the session zone; the text must not move
+        enc = [r[0] for r in df.select(rfc3339_encode(rfc3339_parse("t"))).collect()]
+        assert enc == ["2022-05-01T20:20:00Z", "2024-03-10T02:30:00Z"]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
 
