@@ -131,7 +131,7 @@ def claim_log(spark: SparkSession, sf_dir: str, starved: bool = False) -> DataFr
 
 
 def edges_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Foreign keys as dependency edges (src depends on dst)."""
+    """Foreign keys as dependency edges (src depends on dst), as a bag."""
     li = table(spark, sf_dir, "lineitem")
     o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer")
@@ -153,7 +153,10 @@ def edges_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.distinct()
+    # repeated pairs (an order holds a part on several lines) are left in: the
+    # closure operators drop duplicate edges in the same shuffle that
+    # partitions them, so deduplicating here would shuffle the edges twice
+    return out
 
 
 def roots_v(spark: SparkSession, sf_dir: str) -> DataFrame:

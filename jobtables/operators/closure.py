@@ -35,12 +35,12 @@ def _closure(edges: DataFrame, start: DataFrame, cols: Sequence[str], scope: Seq
     # Every part of the closure is hash-partitioned on ``cols`` with the same n,
     # so the union of the parts keeps that partitioning and the anti-join
     # against everything seen shuffles only the new candidates.
-    frontier = cut_lineage(start.select(*cols).repartition(n, *cols).dropDuplicates(cols)
-                           .withColumn("depth", F.lit(0)))
+    frontier, size = cut_lineage(start.select(*cols).repartition(n, *cols).dropDuplicates(cols)
+                                 .withColumn("depth", F.lit(0)), with_count=True)
     parts = [frontier]
     rounds = 0
     try:
-        while not frontier.isEmpty():
+        while size > 0:
             if max_rounds is not None and rounds >= max_rounds:
                 raise RuntimeError(f"closure not reached in {max_rounds} rounds")
             rounds += 1
@@ -50,8 +50,8 @@ def _closure(edges: DataFrame, start: DataFrame, cols: Sequence[str], scope: Seq
             step = (frontier.select(*cols).join(e, [*scope, "node"])
                     .select(*[c for c in cols if c != "node"], F.col("_dst").alias("node"))
                     .repartition(n, *cols))
-            new = cut_lineage(step.join(seen, cols, "left_anti").dropDuplicates(cols)
-                              .withColumn("depth", F.lit(rounds)))
+            new, size = cut_lineage(step.join(seen, cols, "left_anti").dropDuplicates(cols)
+                                    .withColumn("depth", F.lit(rounds)), with_count=True)
             parts.append(new)
             frontier = new
     finally:
