@@ -43,10 +43,15 @@ def default_segments(df: DataFrame) -> int:
 
 def segment(df: DataFrame, keys: Sequence[str], order: Sequence, segments: int | None = None
             ) -> DataFrame:
-    """Range-partition on (keys, order) and tag each row with its segment."""
-    n = segments or default_segments(df)
+    """Range-partition on (keys, order) and tag each row with its segment.
+
+    Without ``segments`` the count is ``spark.sql.shuffle.partitions`` and AQE
+    may merge neighbouring ranges of a small input (merged ranges are still
+    contiguous, so segments stay in order); with ``segments`` it is fixed."""
     cols = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
-    return df.repartitionByRange(n, *cols).withColumn(SEG, F.spark_partition_id())
+    parted = (df.repartitionByRange(segments, *cols) if segments
+              else df.repartitionByRange(*cols))
+    return parted.withColumn(SEG, F.spark_partition_id())
 
 
 def _order_cols(order: Sequence) -> list[Column]:
