@@ -122,4 +122,5 @@ def cached_results(requests: DataFrame, jobs: DataFrame, keys: Sequence[str] = K
 
 
 def running(jobs: DataFrame) -> DataFrame:
+    """Jobs a worker holds (the input of routing, X1/X2)."""
     return jobs.where(F.col("status") == STATUS_RUNNING)

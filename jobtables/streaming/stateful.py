@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from jobtables.functions.timefmt import ntz_to_instant
-from jobtables.operators.update import KIND_STATUS
 
 
 def _field(df: DataFrame, name: str) -> T.StructField:
@@ -32,25 +31,31 @@ def dedup_stream(log: DataFrame, keys: Sequence[str], t: str = "t", rid: str = "
     """E2 online.  State per KEY: the id of the KEY's live job (none after
     a failure).  Output per request: id, KEY, job_id, created (append mode).
 
-    ``state_ttl_ms`` drops a KEY's state after that long without rows; this
-    *changes* results (a later equal request then opens a new job), so it is
-    off by default: by contract a success is reused for ever.
+    ``state_ttl_ms``: a KEY quiet for longer than that (event time) forgets its
+    job, and its state is purged once the watermark passes; this *changes*
+    results (a later equal request then opens a new job), so it is off by
+    default: by contract a success is reused for ever.
     """
     keys = list(keys)
     id_type = _field(log, rid).dataType
     out_schema = T.StructType([_field(log, rid), *[_field(log, k) for k in keys],
                                T.StructField("job_id", id_type, True),
                                T.StructField("created", T.BooleanType(), False)])
-    state_schema = T.StructType([T.StructField("job_id", id_type, True)])
+    state_schema = T.StructType([T.StructField("job_id", id_type, True),
+                                 T.StructField("last_ms", T.LongType(), True)])
 
     def fold(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         pdf = pd.concat(list(chunks), ignore_index=True).sort_values([t, rid], kind="stable")
-        cur = state.get[0] if state.exists else None
+        cur, last = state.get if state.exists else (None, None)
         ids, jobs, created = [], [], []
-        for i, k in zip(pdf[rid].tolist(), pdf[kind].tolist()):
+        times = (pdf[t].astype("datetime64[us]").astype("int64") // 1000).tolist()
+        for i, k, ms in zip(pdf[rid].tolist(), pdf[kind].tolist(), times):
+            if state_ttl_ms and last is not None and ms - last > state_ttl_ms:
+                cur = None          # the KEY went quiet for longer than the TTL
+            last = ms
             if k == "request":
                 new = cur is None
                 if new:
@@ -60,18 +65,25 @@ def dedup_stream(log: DataFrame, keys: Sequence[str], t: str = "t", rid: str = "
                 created.append(new)
             elif k == "fail":
                 cur = None
-        state.update((cur,))
+        state.update((cur, last))
         if state_ttl_ms:
-            state.setTimeoutDuration(state_ttl_ms)
+            # purge the state of a KEY that stays quiet (event-time timer)
+            state.setTimeoutTimestamp(last + state_ttl_ms)
         if ids:
             out = {rid: ids, "job_id": jobs, "created": created}
             for j, k in enumerate(keys):
                 out[k] = [key[j]] * len(ids)
             yield pd.DataFrame(out)[[f.name for f in out_schema.fields]]
 
-    timeout = (GroupStateTimeout.ProcessingTimeTimeout if state_ttl_ms
-               else GroupStateTimeout.NoTimeout)
-    return (log.select(rid, *keys, t, kind).groupBy(*keys)
+    cols = [rid, *keys, t, kind]
+    if state_ttl_ms:
+        log = (log.withColumn("_event_time", ntz_to_instant(t))
+               .withWatermark("_event_time", "0 seconds"))
+        cols.append("_event_time")
+        timeout = GroupStateTimeout.EventTimeTimeout
+    else:
+        timeout = GroupStateTimeout.NoTimeout
+    return (log.select(*cols).groupBy(*keys)
             .applyInPandasWithState(fold, out_schema, state_schema, "append", timeout))
 
 
@@ -149,13 +161,11 @@ def claim_ranks_stream(log: DataFrame, key: str = "repository", t: str = "t", ri
     row per log row: an enqueue gets rank E+1; a poll gets rank C+1 when
     C < E (else null: an empty poll, not remembered).  Matching polls to jobs
     is then an equi-join on (repository, rank) of the emitted rows."""
-    id_type = _field(log, rid).dataType
     out_schema = T.StructType([_field(log, key), _field(log, rid), _field(log, t),
                                T.StructField(kind, T.StringType(), False),
                                T.StructField("rank", T.LongType(), True)])
     state_schema = T.StructType([T.StructField("E", T.LongType(), False),
                                  T.StructField("C", T.LongType(), False)])
-    del id_type
 
     def fold(k, chunks, state: GroupState):
         pdf = pd.concat(list(chunks), ignore_index=True).sort_values([t, rid], kind="stable")
@@ -187,5 +197,3 @@ def match_claim_ranks(ranks: DataFrame, key: str = "repository", rid: str = "id"
     jobs = ranks.where(F.col(kind) == "enqueue").select(key, F.col(rid).alias("job_id"), "rank")
     return polls.join(jobs, [key, "rank"], "left").select(key, "poll_id", "job_id", "rank")
 
-
-STATUS_OF_KIND = dict(KIND_STATUS)

@@ -173,3 +173,24 @@ def test_t6_claim_ranks_stream_equals_batch(spark):
     want = {(r.poll_id, r.job_id)
             for r in claim_interleaved(log, keys=["repository"]).collect()}
     assert got == want
+
+
+def test_t1_state_ttl(spark):
+    """A TTL longer than the log changes nothing; a short one re-opens jobs
+    for keys that went quiet (documented: it changes results)."""
+    t0 = dt.datetime(2024, 1, 1)
+    sch = "id long, user_id long, t timestamp_ntz, kind string"
+    batches = [[(1, 7, t0, "request"), (2, 8, t0, "request")],
+               [(3, 8, t0 + dt.timedelta(hours=5), "request")],
+               [(4, 7, t0 + dt.timedelta(hours=10), "request")]]
+    for ttl_h, want in ((100, {1: 1, 2: 2, 3: 2, 4: 1}), (2, {1: 1, 2: 2, 3: 3, 4: 4})):
+        d = _tmp()
+        for i, rows in enumerate(batches):
+            spark.createDataFrame(rows, sch).coalesce(1).write.parquet(f"{d}/land/p{i}")
+        src = spark.readStream.schema(sch).option("maxFilesPerTrigger", 1) \
+            .parquet(f"{d}/land/*")
+        q = dedup_stream(src, ["user_id"], state_ttl_ms=ttl_h * 3600 * 1000).writeStream \
+            .format("memory").queryName(f"t1_ttl_{ttl_h}").start()
+        _run(q)
+        got = {r.id: r.job_id for r in spark.table(f"t1_ttl_{ttl_h}").collect()}
+        assert got == want, (ttl_h, got)
