@@ -40,7 +40,9 @@ def main() -> None:
     spark = local_session(
         cores=cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)),
         driver_memory=os.environ.get("BENCH_DRIVER_MEMORY", "16g"), app="jobtables-bench",
-        extra={"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir})
+        extra={"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir,
+               **({"spark.driver.extraJavaOptions": os.environ["BENCH_JAVA_OPTS"]}
+                  if "BENCH_JAVA_OPTS" in os.environ else {})})
     from jobtables.plans.catalog import QUERIES
 
     def run(name, where=sf_dir):
