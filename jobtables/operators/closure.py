@@ -4,10 +4,13 @@ iteration.
 Each round joins only the new frontier to the edges (never the whole closure),
 drops pairs already seen with a left-anti join, and writes the new pairs to a
 reliable checkpoint in ``spark.checkpoint.dir`` so the lineage stays one round
-deep and a lost executor recomputes at most one round.  The edges and every
-checkpointed part share one hash partitioning, so a round shuffles the
-frontier (to meet the edges) and the new candidates (to meet what was seen),
-never the edges or the closure so far.  Cycles end the loop,
+deep and a lost executor recomputes at most one round.  The edges are
+partitioned once and kept (the persisted relation keeps its hash
+partitioning), so a round never re-reads or re-shuffles the edge source.  A
+checkpoint read under AQE reports no partitioning, so the anti-join
+re-shuffles what was seen each round (total shuffle volume: rounds x closure
+size); keeping the parts as tables bucketed on (root, node) would remove that
+and is the next step.  Cycles end the loop,
 since the anti-join drops pairs that come round again.  The rounds (longest
 shortest path + 1) are the only driver loop.
 """
@@ -28,13 +31,14 @@ def _closure(edges: DataFrame, start: DataFrame, cols: Sequence[str], scope: Seq
     ensure_checkpoint_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = list(cols)
-    # Edges are read every round: hash-partition them once on the join key and
-    # keep them, so each round shuffles only the (small) frontier.
+    # Edges are read every round: drop repeated edges (partial aggregation
+    # first, so a much-repeated edge costs one row per task), hash-partition
+    # them once on the join key and keep them, so a round shuffles the
+    # frontier to meet them, never the edges.
     e = (edges.select(*scope, F.col("src").alias("node"), F.col("dst").alias("_dst"))
-         .repartition(n, *scope, "node").dropDuplicates([*scope, "node", "_dst"]).persist())
-    # Every part of the closure is hash-partitioned on ``cols`` with the same n,
-    # so the union of the parts keeps that partitioning and the anti-join
-    # against everything seen shuffles only the new candidates.
+         .dropDuplicates([*scope, "node", "_dst"]).repartition(n, *scope, "node").persist())
+    # Parts of the closure are checkpointed one per round; their union is
+    # what was seen.
     frontier, size = cut_lineage(start.select(*cols).repartition(n, *cols).dropDuplicates(cols)
                                  .withColumn("depth", F.lit(0)), with_count=True)
     parts = [frontier]
@@ -47,6 +51,9 @@ def _closure(edges: DataFrame, start: DataFrame, cols: Sequence[str], scope: Seq
             seen = parts[0].select(*cols)
             for p in parts[1:]:
                 seen = seen.unionByName(p.select(*cols))
+            # candidates go straight to the partitioning of the parts (a fixed
+            # count, which AQE does not merge), so the anti-join reads the parts
+            # in place and the duplicates drop out inside each partition
             step = (frontier.select(*cols).join(e, [*scope, "node"])
                     .select(*[c for c in cols if c != "node"], F.col("_dst").alias("node"))
                     .repartition(n, *cols))
