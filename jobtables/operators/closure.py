@@ -3,26 +3,44 @@ iteration.
 
 Each round joins only the new frontier to the edges (never the whole closure),
 drops pairs already seen with a left-anti join, and writes the new pairs to a
-reliable checkpoint in ``spark.checkpoint.dir`` so the lineage stays one round
+table in ``spark.checkpoint.dir`` so the lineage stays one round
 deep and a lost executor recomputes at most one round.  The edges are
-partitioned once and kept (the persisted relation keeps its hash
-partitioning), so a round never re-reads or re-shuffles the edge source.  A
-checkpoint read under AQE reports no partitioning, so the anti-join
-re-shuffles what was seen each round (total shuffle volume: rounds x closure
-size); keeping the parts as tables bucketed on (root, node) would remove that
-and is the next step.  Cycles end the loop,
+partitioned once and kept, so a round never re-reads or re-shuffles the edge
+source; every round is appended to one table bucketed on the closure key,
+so the anti-join never re-shuffles what was seen.  Cycles end the loop,
 since the anti-join drops pairs that come round again.  The rounds (longest
 shortest path + 1) are the only driver loop.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtables.session import cut_lineage, ensure_checkpoint_dir
+from jobtables.session import ensure_checkpoint_dir
+
+
+def _append_round(df: DataFrame, cols: Sequence[str], n: int, path: str, name: str,
+                  depth: int) -> tuple[DataFrame, int]:
+    """Append one round of the closure to the table of everything seen:
+    partitioned by ``depth`` (a round reads back only its own folder) and
+    bucketed on ``cols`` with n buckets (the anti-join reads the whole table
+    in place: a bucketed scan keeps its hash partitioning).  The files in the
+    checkpoint folder are the lineage cut: a lost executor re-reads them."""
+    spark = df.sparkSession
+    if depth == 0:   # later rounds arrive hash-partitioned on cols already
+        df = df.repartition(n, *cols)
+    w = (df.write.format("parquet").partitionBy("depth")
+         .bucketBy(n, *cols).option("path", path))
+    if depth == 0:
+        w.saveAsTable(name)
+    else:
+        w.mode("append").saveAsTable(name)
+    part = spark.table(name).where(F.col("depth") == depth)
+    return part, part.count()
 
 
 def _closure(edges: DataFrame, start: DataFrame, cols: Sequence[str], scope: Sequence[str],
@@ -37,35 +55,31 @@ def _closure(edges: DataFrame, start: DataFrame, cols: Sequence[str], scope: Seq
     # frontier to meet them, never the edges.
     e = (edges.select(*scope, F.col("src").alias("node"), F.col("dst").alias("_dst"))
          .dropDuplicates([*scope, "node", "_dst"]).repartition(n, *scope, "node").persist())
-    # Parts of the closure are checkpointed one per round; their union is
-    # what was seen.
-    frontier, size = cut_lineage(start.select(*cols).repartition(n, *cols).dropDuplicates(cols)
-                                 .withColumn("depth", F.lit(0)), with_count=True)
-    parts = [frontier]
+    # Rounds are appended to one table of everything seen (see _append_round).
+    tag = uuid.uuid4().hex
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/closure-{tag}"
+    name = f"jobtables_closure_{tag}"
+    frontier, size = _append_round(start.select(*cols).dropDuplicates(cols)
+                                   .withColumn("depth", F.lit(0)), cols, n, path, name, 0)
     rounds = 0
     try:
         while size > 0:
             if max_rounds is not None and rounds >= max_rounds:
                 raise RuntimeError(f"closure not reached in {max_rounds} rounds")
             rounds += 1
-            seen = parts[0].select(*cols)
-            for p in parts[1:]:
-                seen = seen.unionByName(p.select(*cols))
-            # candidates go straight to the partitioning of the parts (a fixed
-            # count, which AQE does not merge), so the anti-join reads the parts
-            # in place and the duplicates drop out inside each partition
+            seen = spark.table(name).select(*cols)
+            # candidates are shuffled once to the buckets of the table; the
+            # anti-join reads the table in place and duplicates drop out
+            # inside each partition
             step = (frontier.select(*cols).join(e, [*scope, "node"])
                     .select(*[c for c in cols if c != "node"], F.col("_dst").alias("node"))
                     .repartition(n, *cols))
-            new, size = cut_lineage(step.join(seen, cols, "left_anti").dropDuplicates(cols)
-                                    .withColumn("depth", F.lit(rounds)), with_count=True)
-            parts.append(new)
-            frontier = new
+            new = (step.join(seen, cols, "left_anti").dropDuplicates(cols)
+                   .withColumn("depth", F.lit(rounds)))
+            frontier, size = _append_round(new, cols, n, path, name, rounds)
     finally:
         e.unpersist()
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = spark.table(name).select(*cols, "depth")
     return out if with_depth else out.drop("depth")
 
 
