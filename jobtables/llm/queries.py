@@ -15,8 +15,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"), width=4, max_bits=4)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobtables.llm.quality import classify
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op8_simhash": op8_simhash,
+    "op1_quality": op1_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
