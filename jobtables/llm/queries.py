@@ -20,9 +20,17 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from jobtables.llm.token_records import token_records
+    return token_records(read_table(spark, sf_dir, "documents"),
+                         public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 QUERIES = {
     "op8_simhash": op8_simhash,
     "op1_quality": op1_quality,
+    "op4_token_records": op4_token_records,
 }
 
 ORACLE_SQL: dict[str, str] = {}
