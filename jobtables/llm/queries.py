@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from jobtables.llm import mixing
 from jobtables.llm.shared import read_table
 
 
@@ -27,10 +28,18 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
                          public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"), weights=(3, 1, 2), total_share=1.5,
+                      max_epochs=2.0, seed=7)
+
+
 QUERIES = {
     "op8_simhash": op8_simhash,
     "op1_quality": op1_quality,
     "op4_token_records": op4_token_records,
+    "op6_mixing": op6_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": mixing.ORACLE_SQL,
+}
