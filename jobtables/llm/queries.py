@@ -33,11 +33,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       max_epochs=2.0, seed=7)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobtables.llm.decontaminate import contaminated_pairs
+    return contaminated_pairs(read_table(spark, sf_dir, "documents"),
+                              read_table(spark, sf_dir, "benchmark"), min_match=5, threshold=0.8)
+
+
 QUERIES = {
     "op8_simhash": op8_simhash,
     "op1_quality": op1_quality,
     "op4_token_records": op4_token_records,
     "op6_mixing": op6_mixing,
+    "op5_decontamination": op5_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
