@@ -39,12 +39,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                               read_table(spark, sf_dir, "benchmark"), min_match=5, threshold=0.8)
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobtables.llm.embedding_dedup import near_duplicate_vectors
+    return near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 QUERIES = {
     "op8_simhash": op8_simhash,
     "op1_quality": op1_quality,
     "op4_token_records": op4_token_records,
     "op6_mixing": op6_mixing,
     "op5_decontamination": op5_decontamination,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
