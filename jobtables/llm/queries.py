@@ -44,6 +44,11 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobtables.llm.toxicity import classify
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op8_simhash": op8_simhash,
     "op1_quality": op1_quality,
@@ -51,6 +56,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op5_decontamination": op5_decontamination,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
