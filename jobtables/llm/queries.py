@@ -49,6 +49,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobtables.llm.warc import archived_pages
+    return archived_pages(read_table(spark, sf_dir, "pages"), min_bytes=0).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op8_simhash": op8_simhash,
     "op1_quality": op1_quality,
@@ -57,6 +63,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op9_toxicity": op9_toxicity,
+    "op2_warc": op2_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
