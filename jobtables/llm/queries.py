@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobtables.llm import mixing
+from jobtables.llm import line_dedup, mixing
 from jobtables.llm.shared import read_table
 
 
@@ -55,6 +55,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(read_table(spark, sf_dir, "documents"), min_lines=3)
+
+
 QUERIES = {
     "op8_simhash": op8_simhash,
     "op1_quality": op1_quality,
@@ -64,8 +68,10 @@ QUERIES = {
     "op10_embedding_dedup": op10_embedding_dedup,
     "op9_toxicity": op9_toxicity,
     "op2_warc": op2_warc,
+    "op3_line_dedup": op3_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
 }
