@@ -4,8 +4,9 @@ Record file (``.rec``), per record, little-endian:
 
     uint64 length | uint32 masked CRC of the length | payload | uint32 masked CRC of the payload
 
-The payload is one byte (1: the id is not null), the int64 document id and the
-token ids as uint32.  The CRC is zlib's CRC-32, masked (no CRC-32C is at hand
+The payload is one byte of flags (1: the document id is not null, 2: ids take
+four bytes), the int64 document id and the token ids as uint16, or uint32 if the
+vocabulary needs it.  The CRC is zlib's CRC-32, masked (no CRC-32C is at hand
 in Python tasks).  Index file (``.idx``): 8 bytes of magic, uint64 count, one
 uint64 offset per record, uint32 masked CRC of all before; with it records can
 be read in any order.  A manifest table (one row per file) is committed by
@@ -14,6 +15,7 @@ Spark, so files of failed or repeated task attempts are never read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from array import array
@@ -29,54 +31,89 @@ from jobtables.llm.shared import Scratch, shuffle_partitions
 
 MAGIC = b"TOKIDX01"
 FILE_BYTES = 64 << 20
+_BLANKS = re.compile(r"\s\s")
+_WIDE = 2  # flag of a payload
 _MANIFEST = "part int, seq int, path string, n_records long, n_tokens long, n_bytes long"
 _READ_ROWS = 4096
 _READ_BYTES = 16 << 20
 
 
 class Encoder:
-    """Byte-level BPE of whole texts, remembering chunks between blanks.
+    """Byte-level BPE of whole texts, remembering the words it has met.
 
-    A single blank always begins a token, so a text may be cut before each
-    one; texts with runs of blanks are encoded as one piece.  Two generations
-    of at most ``capacity`` chunks each bound the memory.
+    A single blank or line feed between other characters always ends a token,
+    so a text may be cut there; texts with two blanks of any kind in a row
+    are encoded as one piece.  A word of Latin letters is a pre-token of its own and goes to the
+    BPE model directly.  Two generations of at most ``capacity`` words each
+    bound the memory.
     """
 
-    def __init__(self, vocabulary: str, end_id: int, capacity: int = 250_000):
+    def __init__(self, vocabulary: str, end_id: int, capacity: int = 400_000):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(vocabulary)
         self._tok.encode_special_tokens = True  # their strings are ordinary text
-        self._end = struct.pack("<I", end_id)
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        wide = max(end_id, self._tok.get_vocab_size() - 1) >= 1 << 16
+        self.dtype, self._code = ("<u4", "I") if wide else ("<u2", "H")
+        self._end = np.array([end_id], self.dtype).tobytes()
+        self._model = self._tok.model
+        # how the pre-tokenizer spells the bytes of Latin letters, and a blank
+        spell = lambda c: "".join(p for p, _ in self._tok.pre_tokenizer.pre_tokenize_str(c))
+        self._blank = spell(" ")
+        self._spelling = {}
+        for c in map(chr, range(0xC0, 0x250)):
+            self._spelling |= dict(zip(c.encode(), spell(c)))
+        # by whether a blank comes before: word -> ids, of now and of before
+        self._new: tuple[dict, dict] = ({}, {})
+        self._old: tuple[dict, dict] = ({}, {})
         self._capacity = capacity
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self._tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        ids = self._old.get(chunk)
+        return np.array(self._tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _encode(self, word: str, blank: bool) -> bytes:
+        if word.isalpha() and max(word) < "\u0250" and min(word) not in "ªº":
+            spelt = word if word.isascii() else \
+                word.encode().decode("latin-1").translate(self._spelling)
+            got = self._model.tokenize(self._blank + spelt if blank else spelt)
+            return struct.pack(f"<{len(got)}{self._code}", *[t.id for t in got])
+        core = word.rstrip(".,;:!?%*&$#|)")
+        if core != word and core and core[-1].isalpha():  # a new token begins after a letter
+            return self._word(core, blank) + self._word(word[len(core):], False)
+        return self._whole(" " + word if blank else word)
+
+    def _word(self, word: str, blank: bool) -> bytes:
+        ids = self._new[blank].get(word)
         if ids is None:
-            ids = self._whole(" " + chunk)
-        if len(chunk) <= 64:
-            if len(self._new) >= self._capacity:
-                self._old, self._new = self._new, {}
-            self._new[chunk] = ids
+            ids = self._old[blank].get(word)
+            if ids is None:
+                ids = self._encode(word, blank)
+            if len(word) <= 64:
+                if len(self._new[blank]) >= self._capacity:
+                    self._old, self._new = self._new, ({}, {})
+                self._new[blank][word] = ids
         return ids
 
     def __call__(self, text: str | None) -> bytes:
-        """Ids as little-endian uint32, the end id last."""
+        """Ids in little-endian ``dtype``, the end id last."""
         if not text:
             return self._end
-        if "  " in text:
+        if _BLANKS.search(text):
             return self._whole(text) + self._end
-        first, *rest = text.split(" ")
-        ids = [*map(self._new.get, rest)]
-        if None in ids:
-            ids = [self._chunk(c) if i is None else i for i, c in zip(ids, rest)]
-        return b"".join([self._whole(first) if first else b"", *ids, self._end])
+        out = []
+        for n, line in enumerate(text.split("\n")):
+            first, *rest = line.split(" ")
+            ids = [*map(self._new[True].get, rest)]
+            if None in ids:
+                ids = [self._word(w, True) if i is None else i for i, w in zip(ids, rest)]
+            if n:
+                out.append(self._word("\n", False))
+            if first:
+                out.append(self._word(first, False))
+            out += ids
+        out.append(self._end)
+        return b"".join(out)
 
 
 class _File:
@@ -138,8 +175,9 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2
                 if file is None:
                     file = _File(f"{folder}/records/{part:06d}-{seq:04d}-{attempt}")
                 known = not pd.isna(doc_id)
-                file.add(struct.pack("<Bq", known, int(doc_id) if known else 0) + ids,
-                         len(ids) // 4)
+                size = np.dtype(encode.dtype).itemsize
+                file.add(struct.pack("<Bq", known | _WIDE * (size == 4),
+                                     int(doc_id) if known else 0) + ids, len(ids) // size)
                 if file.at >= file_bytes:
                     yield closed()
                     file, seq = None, seq + 1
@@ -200,6 +238,13 @@ def read_payloads(uri: str, shuffle_seed: int | None = None) -> Iterator[tuple[i
                 yield int(i), read_at(f, uri)
 
 
+def _ids(payload: bytes) -> tuple[int | None, np.ndarray]:
+    """Document id and token ids (uint32) of a payload."""
+    flags, doc_id = struct.unpack("<Bq", payload[:9])
+    ids = np.frombuffer(payload, "<u4" if flags & _WIDE else "<u2", offset=9).astype("<u4")
+    return (doc_id if flags & 1 else None), ids
+
+
 def read_records(spark: SparkSession, manifest: DataFrame, with_ids: bool = False,
                  shuffle_seed: int | None = None) -> DataFrame:
     """One row per record: ``doc_id, start, n_tokens, ids_crc32`` and, if asked
@@ -221,20 +266,18 @@ def read_records(spark: SparkSession, manifest: DataFrame, with_ids: bool = Fals
         for pdf in batches:
             for path, base in zip(pdf["path"], pdf["base"]):
                 starts = None
-                if shuffle_seed is not None:
-                    sizes = np.diff(np.append(read_index(path), open_fs(path + ".rec")[0]
-                                    .get_file_info(open_fs(path + ".rec")[1]).size).astype(int))
-                    starts = base + np.concatenate([[0], np.cumsum((sizes - 25) // 4)])
+                if shuffle_seed is not None:  # ids before each record, from a first pass
+                    counts = [len(_ids(p)[1]) for _, p in read_payloads(path)]
+                    starts = base + np.concatenate([[0], np.cumsum(counts)])
                 rows, held, start = [], 0, int(base)
                 for n, payload in read_payloads(path, shuffle_seed):
-                    known, doc_id = struct.unpack("<Bq", payload[:9])
-                    ids = payload[9:]
+                    doc_id, ids = _ids(payload)
                     if starts is not None:
                         start = int(starts[n])
-                    rows.append((doc_id if known else None, start, len(ids) // 4, zlib.crc32(ids))
-                                + ((np.frombuffer(ids, "<u4").astype(np.int32),) if with_ids else ()))
-                    start += len(ids) // 4
-                    held += len(ids) * with_ids
+                    rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
+                                + ((ids.astype(np.int32),) if with_ids else ()))
+                    start += len(ids)
+                    held += 4 * len(ids) * with_ids
                     if len(rows) >= _READ_ROWS or held >= _READ_BYTES:
                         yield frame(rows)
                         rows, held = [], 0

@@ -33,12 +33,19 @@ def expected(rows):
 
 def test_chunks_equal_whole_texts():
     random.seed(5)
-    alphabet = ["a", "Word", "é", "ß", "日本", "'s", "'ll", "12", ".", "!!", "|", " ", " ", "  ",
+    alphabet = ["a", "Word", "é", "ß", "Ñandú", "ªº", "ɏ", "ʼn", "x́", "日本", "word.", "(a)", "n't", "**", "'s", "'ll", "12", ".", "!!", "|", " ", " ", "  ",
                 "\n", "\n\n", "\t", " ", "　", "\x00", "<|endoftext|>", "😀"]
     encode, small = plain(), Encoder(VOCAB, 2, capacity=3)
     for _ in range(3000):
         t = "".join(random.choices(alphabet, k=random.randint(0, 14)))
-        assert np.frombuffer(small(t), "<u4").tolist() == encode(t), repr(t)
+        assert np.frombuffer(small(t), small.dtype).tolist() == encode(t), repr(t)
+
+
+def test_words_of_the_documents_equal_whole_texts():
+    import pandas as pd
+    fast, encode = Encoder(VOCAB, 2, capacity=1000), plain()
+    for t in pd.read_parquet(f"{SF001}/documents.parquet").text:
+        assert np.frombuffer(fast(t), fast.dtype).tolist() == encode(t)
 
 
 def test_documents_round_trip(spark):
