@@ -59,6 +59,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(read_table(spark, sf_dir, "documents"), min_lines=3)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobtables.llm.suffix_dedup import repeat_report
+    return repeat_report(read_table(spark, sf_dir, "documents"), length=200)
+
+
 QUERIES = {
     "op8_simhash": op8_simhash,
     "op1_quality": op1_quality,
@@ -69,6 +74,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op2_warc": op2_warc,
     "op3_line_dedup": op3_line_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
