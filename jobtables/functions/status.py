@@ -104,8 +104,3 @@ def finish_status(location="query_result_location", message="failure_message") -
 def finish_result(location="query_result_location", message="failure_message") -> Column:
     loc, msg = _col(location), _col(message)
     return F.when(loc.isNotNull(), loc).otherwise(msg)
-
-
-def is_final_status(status="status") -> Column:
-    """A finish may only set succeeded or failed."""
-    return _col(status).isin(STATUS_SUCCEEDED, STATUS_FAILED)

@@ -2,9 +2,9 @@
 
 The job store writes times as UTC text with whole seconds and parses them
 strictly: an optional fraction, a mandatory offset (``Z`` or ``+hh:mm``), and
-calendar-valid fields.  Parsing here builds the local time from its fields with
-``try_make_timestamp_ntz`` and subtracts the offset, so the result does not
-depend on ``spark.sql.session.timeZone``.
+calendar-valid fields.  Parsing here casts the text without its offset to
+``timestamp_ntz`` and subtracts the offset, so the result does not depend on
+``spark.sql.session.timeZone``.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 # Shape of an RFC 3339 date-time (fixed value): date, 'T', time with hours
 # 00-23 and minutes/seconds 00-59, optional fraction, offset 'Z' or +hh:mm.
-# Month and day are checked by the calendar (try_make_timestamp_ntz).
-RFC3339_RE = (r"^\d{4}-\d{2}-\d{2}[Tt]([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d{1,9})?"
-              r"([Zz]|[+-]([01]\d|2[0-4]):[0-5]\d)$")
+# 'T' and 'Z' are upper case.  Month and day are checked by the cast.
+RFC3339_RE = (r"^\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d{1,9})?"
+              r"(Z|[+-]([01]\d|2[0-4]):[0-5]\d)$")
 
 # Output format: UTC, whole seconds, literal Z.
 RFC3339_OUT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -40,28 +40,15 @@ def rfc3339_parse(text) -> Column:
     """Parse RFC 3339 text to timestamp_ntz in UTC; null when the text is
     not a valid RFC 3339 date-time (null in, null out).
 
-    One regular-expression test per value; the fields are then cut at fixed
-    positions (the shape is fixed once the test passed) and the expression is
-    built so that no part is evaluated twice: small enough to stay inside
-    whole-stage codegen.
+    One regular-expression test per value fixes the shape; then one cast reads
+    the text before the offset (a fraction is cut to microseconds).
     """
     t = _col(text)
-
-    def num(pos: int, n: int) -> Column:
-        return F.substring(t, pos, n).try_cast("int")
-
-    z = F.upper(F.substring(t, -1, 1)) == "Z"
-    off_len = F.when(z, F.lit(1)).otherwise(F.lit(6))
-    # the fraction ('.' + digits) sits between the seconds and the offset;
-    # keep '.' + 6 digits (microseconds)
-    frac_len = F.greatest(F.least(F.length(t) - 19 - off_len, F.lit(7)), F.lit(0))
-    frac = F.substring(F.substring(t, 20, 7), F.lit(1), frac_len)
-    secs = F.concat(F.substring(t, 18, 2), frac).try_cast("decimal(16,6)")
-    local = F.try_make_timestamp_ntz(num(1, 4), num(6, 2), num(9, 2), num(12, 2), num(15, 2),
-                                     secs)
-    off_min = F.when(z, F.lit(0)).otherwise(
-        F.when(F.substring(t, -6, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-        * (num(-5, 2) * 60 + num(-2, 2)))
+    z = F.substring(t, -1, 1) == "Z"
+    local = F.substring(t, F.lit(1), F.length(t) - F.when(z, 1).otherwise(6)) \
+        .try_cast("timestamp_ntz")
+    minutes = F.substring(t, -5, 2).try_cast("int") * 60 + F.substring(t, -2, 2).try_cast("int")
+    off_min = F.when(z, 0).when(F.substring(t, -6, 1) == "-", -minutes).otherwise(minutes)
     utc = local - F.make_dt_interval(F.lit(0), F.lit(0), off_min, F.lit(0))
     return F.when(t.rlike(RFC3339_RE), utc)
 

@@ -127,4 +127,4 @@ def reuse_rate(resolved: DataFrame) -> DataFrame:
         F.count_if(F.col("created")).alias("n_created"),
         F.count_if(~F.col("created")).alias("n_reused"),
         F.countDistinct("job_id").alias("n_jobs"),
-    ).withColumn("reuse_rate", F.col("n_reused") / F.col("n_requests"))
+    ).withColumn("reuse_rate", F.try_divide(F.col("n_reused"), F.col("n_requests")))

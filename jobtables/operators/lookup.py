@@ -21,9 +21,6 @@ from jobtables.schema import (
     STATUS_SUCCEEDED,
 )
 
-# Largest repository dimension broadcast to every task (rows).
-MAX_BROADCAST_ROWS = 1_000_000
-
 
 def live(jobs: DataFrame) -> DataFrame:
     """non-failed jobs."""
@@ -81,32 +78,26 @@ def poll_not_found(ids: DataFrame, jobs: DataFrame) -> DataFrame:
     return ids.join(jobs.select("id"), "id", "left_anti")
 
 
-def _sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it has at most ``max_rows`` rows (checked
-    with a bounded count); otherwise leave the choice to the planner/AQE."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def route_jobs(jobs: DataFrame, repos: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS
-               ) -> DataFrame:
+def route_jobs(jobs: DataFrame, repos: DataFrame) -> DataFrame:
     """Exact lookup of each job's repository in the workspace map; an
     unknown repository makes the job fail with ``workspace for repo "<r>" not
-    found``.  The map is a dimension (one row per configured repository):
-    broadcast after a size check, so the job table is never shuffled."""
-    r = repos.select("repository", "workspace").dropDuplicates(["repository"])
-    r = _sized_broadcast(r, max_broadcast_rows)
+    found`` (a null one too, named by an empty text).  The map is a dimension
+    (one row per configured repository; of several workspaces the smallest
+    counts); the planner broadcasts it where its measured bytes allow."""
+    r = repos.groupBy("repository").agg(F.min("workspace").alias("workspace"))
     m = jobs.join(r, "repository", "left")
-    return m.withColumn("route_error",
-                        F.when(F.col("workspace").isNull(), workspace_error("repository")))
+    return m.withColumn("route_error", F.when(F.col("workspace").isNull(), _unknown()))
+
+
+def _unknown():
+    return workspace_error(F.coalesce(F.col("repository"), F.lit("")))
 
 
-def unroutable_jobs(jobs: DataFrame, repos: DataFrame,
-                    max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def unroutable_jobs(jobs: DataFrame, repos: DataFrame) -> DataFrame:
     """Jobs whose repository has no workspace."""
-    r = _sized_broadcast(repos.select("repository"), max_broadcast_rows)
-    return (jobs.join(r, "repository", "left_anti")
-            .withColumn("route_error", workspace_error("repository")))
+    known = repos.where(F.col("workspace").isNotNull()).select("repository")
+    return (jobs.join(known, "repository", "left_anti")
+            .withColumn("route_error", _unknown()))
 
 
 def cached_results(requests: DataFrame, jobs: DataFrame, keys: Sequence[str] = KEY

@@ -37,10 +37,6 @@ from jobtables.session import cut_lineage
 SEG = "_seg"
 
 
-def default_segments(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def segment(df: DataFrame, keys: Sequence[str], order: Sequence, segments: int | None = None
             ) -> DataFrame:
     """Range-partition on (keys, order) and tag each row with its segment.

@@ -53,6 +53,11 @@ def _set_finishes(finishes: DataFrame) -> DataFrame:
     return finish_outcomes(finishes).where(~F.col("unset"))
 
 
+def _jobs_per_id(jobs: DataFrame) -> DataFrame:
+    return jobs.groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"),
+                                                      F.max("status").alias("_st"))
+
+
 def apply_finishes(jobs: DataFrame, finishes: DataFrame, strict: bool = False) -> DataFrame:
     """U1 + U3: set status, finish time and url or error by id.
 
@@ -61,7 +66,9 @@ def apply_finishes(jobs: DataFrame, finishes: DataFrame, strict: bool = False) -
     url from the last success and the error from the last failure (each
     update writes only its own column), which equals applying them one by
     one.  The old state is not checked (as in the store); ``strict=True``
-    applies only the first finish of a job that is running.
+    applies only the first finish of a job that is running.  What is not
+    applied or overwritten is what :func:`rejected_finishes` returns: an id
+    that several rows hold is refused, not applied to each.
 
     The finishes are pre-aggregated per id (partial + final), so the join to
     the job table is one-to-one on id.
@@ -85,6 +92,10 @@ def apply_finishes(jobs: DataFrame, finishes: DataFrame, strict: bool = False) -
                      F.when(F.col("status") == STATUS_SUCCEEDED, order)).alias("_url"),
             F.max_by(F.col("result"),
                      F.when(F.col("status") == STATUS_FAILED, order)).alias("_err"))
+    # ids that the finishes name and several rows hold
+    twice = _jobs_per_id(jobs.join(agg.select(F.col("job_id").alias("id")), "id", "left_semi")) \
+        .where(F.col("_n") > 1)
+    agg = agg.join(twice, F.col("job_id") == F.col("_id"), "left_anti")
     j = jobs.join(agg, jobs["id"] == agg["job_id"], "left")
     hit = F.col("job_id").isNotNull()
     if strict:
@@ -102,16 +113,20 @@ def apply_finishes(jobs: DataFrame, finishes: DataFrame, strict: bool = False) -
 def rejected_finishes(jobs: DataFrame, finishes: DataFrame, strict: bool = False
                       ) -> DataFrame:
     """Finishes the store refuses (id matching no row, or more than one;
-    with ``strict``, a job that is not running), with the reason.  A finish
-    with neither result set never reaches the store and is not refused."""
-    f = _set_finishes(finishes).select("finish_id", "job_id")
-    per_id = jobs.groupBy("id").agg(F.count(F.lit(1)).alias("_n"),
-                                    F.max("status").alias("_st"))
-    m = f.join(per_id, f["job_id"] == per_id["id"], "left")
+    with ``strict``, a job that is not running, or that an earlier finish of
+    the batch has finished), with the reason.  A finish with neither result
+    set never reaches the store and is not refused."""
+    f = _set_finishes(finishes).select("finish_id", "job_id", "finish_ts")
+    m = f.join(_jobs_per_id(jobs), F.col("job_id") == F.col("_id"), "left")
     reason = (F.when(F.col("_n").isNull(), F.lit(ERR_JOB_NOT_FOUND))
               .when(F.col("_n") > 1, F.lit("more than one job with this id")))
     if strict:
-        reason = reason.when(F.col("_st") != STATUS_RUNNING, F.lit("job is not running"))
+        first = f.groupBy(F.col("job_id").alias("_job")).agg(
+            F.min_by("finish_id", F.struct("finish_ts", "finish_id")).alias("_first"))
+        m = m.join(first, F.col("job_id") == F.col("_job"), "left")
+        reason = (reason.when(F.col("_st") != STATUS_RUNNING, F.lit("job is not running"))
+                  .when(~F.col("finish_id").eqNullSafe(F.col("_first")),
+                        F.lit("job is finished already")))
     return (m.withColumn("reason", reason).where(F.col("reason").isNotNull())
             .select("finish_id", "job_id", "reason"))
 

@@ -10,11 +10,14 @@ from jobtables.functions.timefmt import rfc3339_encode
 from jobtables.schema import JOB_COLUMNS, DUMP_RENAMES
 
 
-def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
+def write_events(events: DataFrame, path: str, mode: str = "append",
+                 files_per_date: int = 8) -> None:
     """Append life-cycle facts, partitioned by event date so a reader of
-    recent days prunes the rest."""
+    recent days prunes the rest.  A date's rows go to at most
+    ``files_per_date`` files of a call."""
+    salt = F.pmod(F.xxhash64(F.col("job_id").cast("string")), F.lit(files_per_date))
     (events.withColumn("event_date", F.to_date("ts"))
-     .write.mode(mode).partitionBy("event_date").parquet(path))
+     .repartition("event_date", salt).write.mode(mode).partitionBy("event_date").parquet(path))
 
 
 def result_rows(results: DataFrame, bucket: str, job_id: str = "job_id",
@@ -28,13 +31,18 @@ def result_rows(results: DataFrame, bucket: str, job_id: str = "job_id",
 
 
 def write_results(results: DataFrame, path: str, bucket: str, job_id: str = "job_id",
-                  buckets: int = 64, mode: str = "overwrite") -> None:
-    """One results table (not one object per job), partitioned on a hash
-    bucket of the job id: a reader of one job's result prunes to one bucket
-    folder.  Rows are clustered by job inside each file."""
-    rows = result_rows(results, bucket, job_id, buckets)
-    (rows.repartition("bucket").sortWithinPartitions(job_id)
-     .write.mode(mode).partitionBy("bucket").parquet(path))
+                  buckets: int = 64, batch: str = "0", partitions: int | None = None) -> None:
+    """One results table (not one object per job), partitioned on the
+    batch that wrote it and a hash bucket of the job id: a reader of one job's
+    result prunes to one bucket folder per batch.  Writing a batch again
+    replaces its own rows only; other batches stay.  Rows are dealt by ranges
+    of (bucket, job), so all tasks write, and lie together by job."""
+    spark = results.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = result_rows(results, bucket, job_id, buckets).withColumn("batch", F.lit(batch))
+    (rows.repartitionByRange(n, "bucket", job_id).sortWithinPartitions("bucket", job_id)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch", "bucket").parquet(path))
 
 
 def encode_jobs(jobs: DataFrame) -> DataFrame:

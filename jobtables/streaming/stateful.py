@@ -27,15 +27,21 @@ def _field(df: DataFrame, name: str) -> T.StructField:
 # -- T1: streaming dedup with failure reset -----------------------------------
 
 def dedup_stream(log: DataFrame, keys: Sequence[str], t: str = "t", rid: str = "id",
-                 kind: str = "kind", state_ttl_ms: int | None = None) -> DataFrame:
+                 kind: str = "kind", state_ttl_ms: int | None = None,
+                 delay: str | None = None) -> DataFrame:
     """E2 online.  State per KEY: the id of the KEY's live job (none after
     a failure).  Output per request: id, KEY, job_id, created (append mode).
 
     ``state_ttl_ms``: a KEY quiet for longer than that (event time) forgets its
     job, and its state is purged once the watermark passes; this *changes*
     results (a later equal request then opens a new job), so it is off by
-    default: by contract a success is reused for ever.
+    default: by contract a success is reused for ever.  With a TTL the
+    watermark ``delay`` must be given: rows later than that are not answered,
+    and Spark counts them (``numRowsDroppedByWatermark`` of the query's state
+    operator progress); choose it above the lateness of the source.
     """
+    if state_ttl_ms and delay is None:
+        raise ValueError("a state TTL needs a watermark delay: later rows are dropped")
     keys = list(keys)
     id_type = _field(log, rid).dataType
     out_schema = T.StructType([_field(log, rid), *[_field(log, k) for k in keys],
@@ -55,7 +61,7 @@ def dedup_stream(log: DataFrame, keys: Sequence[str], t: str = "t", rid: str = "
         for i, k, ms in zip(pdf[rid].tolist(), pdf[kind].tolist(), times):
             if state_ttl_ms and last is not None and ms - last > state_ttl_ms:
                 cur = None          # the KEY went quiet for longer than the TTL
-            last = ms
+            last = ms if last is None else max(last, ms)
             if k == "request":
                 new = cur is None
                 if new:
@@ -67,8 +73,10 @@ def dedup_stream(log: DataFrame, keys: Sequence[str], t: str = "t", rid: str = "
                 cur = None
         state.update((cur, last))
         if state_ttl_ms:
-            # purge the state of a KEY that stays quiet (event-time timer)
-            state.setTimeoutTimestamp(last + state_ttl_ms)
+            # purge the state of a KEY that stays quiet (event-time timer, which
+            # must lie past the watermark)
+            state.setTimeoutTimestamp(
+                max(last + state_ttl_ms, state.getCurrentWatermarkMs() + 1))
         if ids:
             out = {rid: ids, "job_id": jobs, "created": created}
             for j, k in enumerate(keys):
@@ -78,7 +86,7 @@ def dedup_stream(log: DataFrame, keys: Sequence[str], t: str = "t", rid: str = "
     cols = [rid, *keys, t, kind]
     if state_ttl_ms:
         log = (log.withColumn("_event_time", ntz_to_instant(t))
-               .withWatermark("_event_time", "0 seconds"))
+               .withWatermark("_event_time", delay))
         cols.append("_event_time")
         timeout = GroupStateTimeout.EventTimeTimeout
     else:
@@ -109,41 +117,64 @@ def drop_resent(stream: DataFrame, id_col: str, ts_col: str, delay: str) -> Data
 
 # -- T5: stuck-job alarm -------------------------------------------------------
 
-def stuck_alarm_stream(events: DataFrame, limit_ms: int, delay: str = "0 seconds"
-                       ) -> DataFrame:
-    """T5: A4 online.  Per job: a start arms an event-time timer at
-    ``start + limit``; a succeed/fail disarms it; a timer that fires emits one
-    alarm row (job_id, worker, start_time).  Needs a watermark on ``ts``."""
+def stuck_alarm_stream(events: DataFrame, limit_ms: int, delay: str) -> DataFrame:
+    """T5: A4 online.  One alarm row (job_id, worker, start_time) per job whose
+    first start has no succeed or fail within ``limit_ms`` of event time.
+
+    The decision is by event time: it falls when the watermark passes start +
+    limit, so neither the order of arrival nor the batches change it.  Of a
+    job's starts the earliest counts, and a finish that arrives before its
+    start is kept for it.  ``delay`` is how late a row may be; later ones are
+    dropped and counted by Spark (``numRowsDroppedByWatermark``).  A decided
+    job is remembered until the watermark has passed it.  ``request`` rows
+    keep no state.
+    """
     id_type = _field(events, "job_id").dataType
     out_schema = T.StructType([T.StructField("job_id", id_type, False),
                                T.StructField("worker", T.StringType(), True),
                                T.StructField("start_time", T.TimestampNTZType(), True)])
     state_schema = T.StructType([T.StructField("worker", T.StringType(), True),
-                                 T.StructField("start_time", T.TimestampNTZType(), True),
-                                 T.StructField("done", T.BooleanType(), False)])
+                                 T.StructField("start_us", T.LongType(), True),
+                                 T.StructField("finish_us", T.LongType(), True),
+                                 T.StructField("decided", T.BooleanType(), False)])
+    limit_us = limit_ms * 1000
+
+    def alarm(key, worker, start):
+        return pd.DataFrame({"job_id": [key[0]], "worker": [worker],
+                             "start_time": [pd.Timestamp(start, unit="us")]})
+
+    def stuck(start, finish):
+        return start is not None and (finish is None or finish > start + limit_us)
 
     def fold(key, chunks, state: GroupState):
+        worker, start, finish, decided = state.get if state.exists else (None, None, None, False)
         if state.hasTimedOut:
-            if state.exists:
-                w, st, done = state.get
-                state.remove()
-                if not done:
-                    yield pd.DataFrame({"job_id": [key[0]], "worker": [w], "start_time": [st]})
-            return
-        pdf = pd.concat(list(chunks), ignore_index=True).sort_values("ts", kind="stable")
-        w, st, done = state.get if state.exists else (None, None, False)
-        for k, ts, wk in zip(pdf["kind"], pdf["ts"], pdf["worker"]):
-            if k == "start" and not done:
-                w, st = wk, ts
-            elif k in ("succeed", "fail"):
-                done = True
-        if done:
             state.remove()
+            if stuck(start, finish) and not decided:
+                yield alarm(key, worker, start)
             return
-        state.update((w, st, done))
-        if st is not None:
-            state.setTimeoutTimestamp(int(pd.Timestamp(st).value // 1_000_000) + limit_ms)
-
+        for pdf in chunks:  # minima only: no chunk is held
+            us = pdf["ts"].astype("datetime64[us]").astype("int64")
+            ends = us[pdf["kind"].isin(["succeed", "fail"])]
+            if len(ends):
+                finish = int(ends.min()) if finish is None else min(finish, int(ends.min()))
+            begins = pdf.assign(us=us)[pdf["kind"] == "start"]
+            if len(begins):
+                first = begins.sort_values(["us", "worker"], kind="stable").iloc[0]
+                if start is None or first["us"] < start:
+                    worker, start = first["worker"], int(first["us"])
+        if start is None and finish is None:
+            return  # requests only: no state
+        now = state.getCurrentWatermarkMs()
+        until = (finish if start is None else start + limit_us) // 1000
+        if start is not None and until <= now and not decided:
+            decided = True  # the watermark is past the limit already
+            if stuck(start, finish):
+                yield alarm(key, worker, start)
+        state.update((worker, start, finish, decided))
+        state.setTimeoutTimestamp(max(until, now) + 1)
+
+    # requests move the watermark, so they are skipped in the fold, not here
     return (events.withColumn("_event_time", ntz_to_instant("ts"))
             .withWatermark("_event_time", delay)
             .select("job_id", "kind", "ts", "worker", "_event_time")

@@ -59,3 +59,29 @@ def test_event_log_and_results_table(spark):
     # all rows of a job share one bucket folder
     assert r.groupBy("job_id").agg(F.countDistinct("bucket").alias("n")).where("n > 1").count() == 0
     assert set(result_rows(res, "bkt").columns) >= {"result_url", "bucket"}
+    # another batch leaves the first one's results; the same batch replaces its own
+    more = spark.createDataFrame([(3, "d")], "job_id long, node string")
+    for _ in range(2):
+        write_results(more, f"{d}/results", "bkt", buckets=4, batch="1")
+    assert sorted(x.job_id for x in spark.read.parquet(f"{d}/results").collect()) == [1, 1, 2, 3]
+
+
+def test_event_files_are_bounded_per_date(spark):
+    import glob
+    d = _tmp()
+    ev = job_events(fx.jobs_v(spark, SF001)).repartition(16)
+    write_events(ev, f"{d}/events", files_per_date=2)
+    dates = glob.glob(f"{d}/events/event_date=*")
+    assert dates and all(len(glob.glob(f"{x}/*.parquet")) <= 2 for x in dates)
+
+
+def test_lower_case_marks_are_refused(spark):
+    from jobtables.functions.timefmt import rfc3339_parse
+    texts = ["2022-05-01T20:20:00Z", "2022-05-01t20:20:00Z", "2022-05-01T20:20:00z",
+             "2022-05-01T20:20:00.123456789+01:30", "2022-02-30T00:00:00Z", "2022-05-01 20:20:00Z",
+             "2022-05-01T20:20:00", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string") \
+        .select("i", rfc3339_parse("t").alias("v")).orderBy("i").collect()
+    good = dt.datetime(2022, 5, 1, 20, 20)
+    part = dt.datetime(2022, 5, 1, 18, 50, 0, 123456)
+    assert [r.v for r in rows] == [good, None, None, part, None, None, None, None]

@@ -4,6 +4,7 @@ micro-batches and a restart from the checkpoint."""
 import datetime as dt
 import tempfile
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from jobtables import fixtures as fx
 from jobtables.operators.dedup import dedup_generations, enqueue_resolve
 from jobtables.operators.fifo import claim_interleaved
 from jobtables.operators.update import job_state_fold
+from jobtables.sources.sinks import write_events
 from jobtables.streaming.enqueue import enqueue_batch, start_enqueue_stream
 from jobtables.streaming.stateful import (
     claim_ranks_stream,
@@ -146,7 +148,7 @@ def test_t5_stuck_alarm_fires_once(spark):
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, sch).coalesce(1).write.parquet(f"{d}/land/p{i}")
     src = spark.readStream.schema(sch).option("maxFilesPerTrigger", 1).parquet(f"{d}/land/*")
-    q = stuck_alarm_stream(src, 5 * 60 * 1000).writeStream.format("memory") \
+    q = stuck_alarm_stream(src, 5 * 60 * 1000, "0 seconds").writeStream.format("memory") \
         .queryName("t5_out").start()
     _run(q)
     rows = spark.table("t5_out").collect()
@@ -189,8 +191,101 @@ def test_t1_state_ttl(spark):
             spark.createDataFrame(rows, sch).coalesce(1).write.parquet(f"{d}/land/p{i}")
         src = spark.readStream.schema(sch).option("maxFilesPerTrigger", 1) \
             .parquet(f"{d}/land/*")
-        q = dedup_stream(src, ["user_id"], state_ttl_ms=ttl_h * 3600 * 1000).writeStream \
+        q = dedup_stream(src, ["user_id"], state_ttl_ms=ttl_h * 3600 * 1000,
+                         delay="0 seconds").writeStream \
             .format("memory").queryName(f"t1_ttl_{ttl_h}").start()
         _run(q)
         got = {r.id: r.job_id for r in spark.table(f"t1_ttl_{ttl_h}").collect()}
         assert got == want, (ttl_h, got)
+
+
+def _batches(spark, rows_by_batch, schema):
+    """A file stream with one micro-batch per list of rows."""
+    d = _tmp()
+    for i, rows in enumerate(rows_by_batch):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{d}/land/p{i}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/land/*")
+
+
+def test_t1_ttl_answers_late_rows_within_the_delay(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    src = _batches(spark, [[(1, 7, t0, "request")], [(2, 8, t0 + dt.timedelta(hours=4), "request")],
+                           [(3, 9, t0 + dt.timedelta(hours=2), "request")]],
+                   "id long, user_id long, t timestamp_ntz, kind string")
+    with pytest.raises(ValueError, match="delay"):
+        dedup_stream(src, ["user_id"], state_ttl_ms=1000)
+    q = dedup_stream(src, ["user_id"], state_ttl_ms=11 * 86400 * 1000, delay="3 hours").writeStream \
+        .format("memory").queryName("t1_late").start()
+    _run(q)
+    assert {r.id: r.job_id for r in spark.table("t1_late").collect()} == {1: 1, 2: 2, 3: 3}
+
+
+EVENTS = "job_id long, kind string, ts timestamp_ntz, worker string"
+
+
+def _alarms(spark, name, batches, delay):
+    src = _batches(spark, batches, EVENTS)
+    q = stuck_alarm_stream(src, 5 * 60 * 1000, delay).writeStream.format("memory") \
+        .queryName(name).start()
+    _run(q)
+    return sorted((r.job_id, r.worker, r.start_time) for r in spark.table(name).collect())
+
+
+def test_t5_resent_event_past_the_limit(spark):
+    t0, h = dt.datetime(2024, 1, 1), dt.timedelta(hours=1)
+    got = _alarms(spark, "t5_resent", [
+        [(1, "start", t0, "w1")], [(2, "start", t0 + h, "w2")], [(1, "start", t0, "w1")],
+        [(3, "request", t0 + 3 * h, None)], [(4, "start", t0 + 4 * h, "w")],
+        [(5, "start", t0 + 5 * h, "w")]], "0 seconds")
+    assert [g for g in got if g[0] < 4] == [(1, "w1", t0), (2, "w2", t0 + h)]
+
+
+def test_t5_finish_before_its_start_and_late_finish(spark):
+    t0, m = dt.datetime(2024, 1, 1), dt.timedelta(minutes=1)
+    got = _alarms(spark, "t5_order", [
+        [(1, "succeed", t0 + 2 * m, None), (9, "start", t0 + 30 * m, "w")],
+        [(1, "start", t0, "w1"), (2, "start", t0, "w2"), (2, "start", t0 + 3 * m, "w9")],
+        [(2, "fail", t0 + 6 * m, None), (9, "succeed", t0 + 31 * m, None)],
+        [(8, "start", t0 + 300 * m, "w")], [(8, "succeed", t0 + 301 * m, None)]], "60 minutes")
+    assert got == [(2, "w2", t0)]
+
+
+JOB = ("id string, repository string, commit_hash string, query_string string, status string, "
+       "worker string, queue_time timestamp_ntz, start_time timestamp_ntz, "
+       "finish_time timestamp_ntz, result_url string, result_error string, priority string")
+REQ = ("request_id long, repository string, commit_hash string, query_string string, "
+       "request_time timestamp_ntz")
+
+
+def test_t4_failed_job_reopens_after_a_restart_and_extra_columns(spark):
+    """request, request | fail | request over one checkpoint, the base with a
+    column that new jobs do not have."""
+    t0, d = dt.datetime(2024, 1, 1), _tmp()
+    spark.createDataFrame([], JOB).write.parquet(f"{d}/base")
+    land = f"{d}/land"
+
+    def send(i):
+        row = (i, "r", "c", "q", t0 + dt.timedelta(minutes=i))
+        spark.createDataFrame([row], REQ).coalesce(1).write.parquet(f"{land}/p{i}")
+
+    def run():
+        src = spark.readStream.schema(REQ).option("maxFilesPerTrigger", 1).parquet(f"{land}/*")
+        q = start_enqueue_stream(src, f"{d}/base", f"{d}/out", f"{d}/ck", available_now=True,
+                                 events_dir=f"{d}/events")
+        q.awaitTermination()
+        return {r.request_id: (r.job_id, r.created)
+                for r in spark.read.parquet(f"{d}/out/resolved").collect()}
+
+    send(0)
+    send(1)
+    first = run()
+    assert first[0][1] and first[1] == (first[0][0], False)
+    failed = spark.createDataFrame(
+        [(first[0][0], "fail", t0 + dt.timedelta(minutes=2), "r", "c", "q", None, "bad")],
+        "job_id string, kind string, ts timestamp_ntz, repository string, commit_hash string, "
+        "query_string string, worker string, result string")
+    write_events(failed, f"{d}/events")
+    send(3)
+    second = run()
+    assert second[3][1] and second[3][0] != first[0][0]
+    assert {k: v for k, v in second.items() if k != 3} == first

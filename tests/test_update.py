@@ -62,7 +62,24 @@ def test_strict_finish(spark):
         ("succeeded", "gs://x/a.pb", None)
     assert got["p"].status == "pending"
     rej = {r.finish_id: r.reason for r in rejected_finishes(jobs, fins, strict=True).collect()}
-    assert rej == {3: "job is not running"}
+    assert rej == {2: "job is finished already", 3: "job is not running"}
+
+
+def test_ids_of_several_rows_are_refused_and_not_applied(spark):
+    jobs = spark.createDataFrame([_running("a"), _running("a"), _running("b")], job_schema())
+    fins = spark.createDataFrame([(1, "a", "gs://x/a.pb", None, _s(1)),
+                                  (2, "b", "gs://x/b.pb", None, _s(1))], FIN)
+    for strict in (False, True):
+        got = apply_finishes(jobs, fins, strict=strict).collect()
+        assert sorted((r.id, r.status) for r in got) == \
+            [("a", "running"), ("a", "running"), ("b", "succeeded")]
+        rej = rejected_finishes(jobs, fins, strict=strict).collect()
+        assert [(r.finish_id, r.reason) for r in rej] == [(1, "more than one job with this id")]
+
+
+def test_reuse_rate_of_no_requests(spark):
+    empty = spark.createDataFrame([], "created boolean, job_id string")
+    assert audit.reuse_rate(empty).first().reuse_rate is None
 
 
 def test_fold_round_trip(spark):
