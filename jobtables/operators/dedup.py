@@ -17,6 +17,10 @@ from jobtables.operators.ordered import join_on_keys, running_sums
 from jobtables.schema import KEY, STATUS_FAILED, STATUS_PENDING
 
 
+# A KEY is heavy if it has more than one in so many of a batch's requests.
+HEAVY_SHARE = 200
+
+
 def live_job_per_key(jobs: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """One live (non-failed) job per KEY: the lowest id.  Partial aggregation
     before the shuffle, so a hot KEY costs one row per task, not its history."""
@@ -42,7 +46,7 @@ def _key_map(requests: DataFrame, jobs: DataFrame, keys: Sequence[str]) -> DataF
     """Per KEY of the batch: the job every request of that KEY resolves to."""
     firsts = dedup_first(requests, keys).select(
         *keys, F.col("request_id").alias("first_request_id"),
-        F.col("request_time").alias("first_request_time"))
+        F.col("request_time").alias("first_request_time"), "n_requests")
     live = live_job_per_key(jobs, keys)
     m = join_on_keys(firsts, live, keys, "left")
     return m.withColumns({
@@ -57,11 +61,19 @@ def enqueue_resolve(requests: DataFrame, jobs: DataFrame, keys: Sequence[str] =
     """Each request -> (request_id, KEY, job_id, created).
 
     The KEY map has one row per KEY, so joining it back to the requests is a
-    many-to-one join; a hot KEY on the request side is split by AQE's skew
-    join, the map side being one row.
+    many-to-one join.  A KEY with more than one in ``HEAVY_SHARE`` of all
+    requests is heavy; there are fewer than ``HEAVY_SHARE`` such KEYs whatever
+    the data, so their map rows are broadcast and their requests are never
+    shuffled.  All other KEYs join by a shuffle in which none is hot.
     """
-    m = _key_map(requests, jobs, keys)
-    r = join_on_keys(requests, m.select(*keys, "job_id", "new_job", "first_request_id"), keys)
+    total = requests.count()
+    m = _key_map(requests, jobs, keys).select(*keys, "job_id", "new_job", "first_request_id",
+                                              "n_requests")
+    is_heavy = F.col("n_requests") * HEAVY_SHARE > total
+    heavy, light = (m.where(c).drop("n_requests") for c in (is_heavy, ~is_heavy))
+    hot = join_on_keys(requests, heavy, keys, small_right=True)
+    rest = join_on_keys(requests, heavy.select(*keys), keys, "left_anti", small_right=True)
+    r = hot.unionByName(join_on_keys(rest, light, keys))
     return r.select(
         "request_id", *keys, "job_id",
         (F.col("new_job") & (F.col("request_id") == F.col("first_request_id"))).alias("created"),

@@ -4,6 +4,8 @@ whole log (or a whole key) to one task."""
 import re
 import tempfile
 
+from pyspark.sql import functions as F
+
 from conftest import SF001
 from jobtables import fixtures as fx
 from jobtables.operators.dedup import dedup_generations
@@ -80,3 +82,28 @@ def test_hot_key_spans_many_segments(spark):
     assert n >= 3, n
     biggest = seg.groupBy("_seg").count().agg(F.max("count")).first()[0]
     assert biggest < 30000 / 3   # no task holds the whole hot key
+
+
+def test_a_hot_key_of_requests_is_not_one_task(spark):
+    """Half of all requests share one KEY and broadcasts are off (but for the
+    bounded ones): no task of the last join holds much more than its share."""
+    from jobtables.operators.dedup import enqueue_resolve
+    req = spark.range(40_000).select(
+        F.col("id").alias("request_id"), F.lit("r").alias("repository"), F.lit("c").alias("commit_hash"),
+        F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.concat(F.lit("q"), F.col("id")))
+        .alias("query_string"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+        .alias("request_time")).repartition(16)
+    jobs = fx.jobs_v(spark, SF001)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = enqueue_resolve(req, jobs).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    sizes = [r["count"] for r in rows]
+    assert sum(sizes) == 40_000
+    assert max(sizes) <= 2 * sum(sizes) / len(sizes)
