@@ -67,7 +67,7 @@ def finish_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         (i * 2).cast("bigint").alias("job_id"),
         F.when(t == "purchase", F.concat(F.lit("gs://bucket/"), (i * 2).cast("string"),
                                          F.lit(".pb"))).alias("query_result_location"),
-        F.when(t == "error", F.lit("bazel query failed")).alias("failure_message"),
+        F.when(t == "error", F.lit("query failed")).alias("failure_message"),
         F.col("ts").alias("finish_ts"),
     )
 
@@ -154,11 +154,16 @@ def edges_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     # repeated pairs (an order holds a part on several lines) are left in: the
-    # closure operators drop duplicate edges in the same shuffle that
-    # partitions them, so deduplicating here would shuffle the edges twice
+    # closure operators drop them
     return out
 
 
+def query_root(query_string: str) -> F.Column:
+    """The node that a job's query asks about: ``q<k>`` asks for the
+    dependencies of order node ``o<k>``."""
+    return F.concat(F.lit("o"), F.substring(F.col(query_string), 2, 1 << 30))
+
+
 def roots_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closure roots: every urgent order."""
     o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT")

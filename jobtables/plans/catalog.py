@@ -137,9 +137,22 @@ def reach(s, d):
     return deps_reach(fx.edges_v(s, d), fx.roots_v(s, d))
 
 
-def run_jobs_outcomes(s, d):
+def _run_jobs(s, d):
     from jobtables.plans.run_jobs import run_jobs
-    return run_jobs(_jobs(s, d), fx.polls_v(s, d), fx.repos_v(s, d), fx.edges_v(s, d)).outcomes
+    return run_jobs(_jobs(s, d), fx.polls_v(s, d), fx.repos_v(s, d), fx.edges_v(s, d),
+                    root=fx.query_root("query_string"))
+
+
+def run_jobs_outcomes(s, d):
+    return _run_jobs(s, d).outcomes
+
+
+def run_jobs_state(s, d):
+    return _run_jobs(s, d).jobs
+
+
+def run_jobs_results(s, d):
+    return _run_jobs(s, d).results
 
 
 QUERIES: dict[str, Query] = {
@@ -194,4 +207,6 @@ QUERIES: dict[str, Query] = {
     "deps_closure": closure,
     "deps_reach": reach,
     "run_jobs": run_jobs_outcomes,
+    "run_jobs_state": run_jobs_state,
+    "run_jobs_results": run_jobs_results,
 }

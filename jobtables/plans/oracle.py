@@ -47,7 +47,7 @@ REQUESTS_V = """requests_v AS (SELECT event_id AS request_id,
 FINISH_V = """finish_v AS (SELECT event_id AS finish_id, CAST(event_id * 2 AS BIGINT) AS job_id,
  CASE WHEN event_type='purchase' THEN 'gs://bucket/' || CAST(event_id*2 AS VARCHAR) || '.pb' END
    AS query_result_location,
- CASE WHEN event_type='error' THEN 'bazel query failed' END AS failure_message,
+ CASE WHEN event_type='error' THEN 'query failed' END AS failure_message,
  ts AS finish_ts FROM events WHERE event_type IN ('purchase','error','signup'))"""
 
 REPOS_V = """repos_v AS (SELECT 'repo/' || CAST(n_nationkey AS VARCHAR) AS repository,
@@ -446,18 +446,18 @@ SQL["deps_reach"] = "WITH RECURSIVE " + EDGES_V + ",\n" + ROOTS_V + """,
  c(node) AS (SELECT root FROM roots_v UNION SELECT e.dst FROM c JOIN edges_v e ON c.node = e.src)
 SELECT node FROM c"""
 
-SQL["run_jobs"] = "WITH RECURSIVE " + ",\n".join([JOBS_V, POLLS_V, REPOS_V, EDGES_V]) + """,
+_RUN = "WITH RECURSIVE " + ",\n".join([JOBS_V, POLLS_V, REPOS_V, EDGES_V]) + """,
  q AS (SELECT id, repository, query_string, ROW_NUMBER() OVER (ORDER BY queue_time, id) AS rank
    FROM jobs_v WHERE status = 'pending'),
  p AS (SELECT *, ROW_NUMBER() OVER (ORDER BY poll_time, poll_id) AS rank FROM polls_v),
  claimed AS (SELECT q.id, q.repository, q.query_string, p.worker_name, p.poll_time,
    r.workspace FROM p JOIN q USING (rank) LEFT JOIN repos_v r ON r.repository = q.repository),
- roots AS (SELECT DISTINCT 'c' || substr(query_string, 2) AS root FROM claimed
+ roots AS (SELECT DISTINCT 'o' || substr(query_string, 2) AS root FROM claimed
    WHERE workspace IS NOT NULL),
  c(root, node) AS (SELECT root, root FROM roots
    UNION SELECT c.root, e.dst FROM c JOIN edges_v e ON c.node = e.src),
- n AS (SELECT root, COUNT(*) AS n FROM c GROUP BY root)
-SELECT cl.id AS job_id, cl.repository, cl.worker_name AS worker,
+ n AS (SELECT root, COUNT(*) AS n FROM c GROUP BY root),
+ outcomes AS (SELECT cl.id AS job_id, cl.repository, cl.worker_name AS worker,
  CASE WHEN cl.workspace IS NULL THEN 'failed' ELSE 'succeeded' END AS status,
  cl.poll_time AS start_time, cl.poll_time AS finish_time,
  CASE WHEN cl.workspace IS NOT NULL THEN 'gs://results/' || CAST(cl.id AS VARCHAR) || '.pb' END
@@ -465,6 +465,17 @@ SELECT cl.id AS job_id, cl.repository, cl.worker_name AS worker,
  CASE WHEN cl.workspace IS NULL THEN 'workspace for repo "' || cl.repository || '" not found' END
    AS result_error,
  CAST(CASE WHEN cl.workspace IS NULL THEN 0 ELSE COALESCE(n.n, 0) END AS BIGINT) AS n_deps
-FROM claimed cl LEFT JOIN n ON n.root = 'c' || substr(cl.query_string, 2)"""
+FROM claimed cl LEFT JOIN n ON n.root = 'o' || substr(cl.query_string, 2))
+"""
+SQL["run_jobs"] = _RUN + "SELECT * FROM outcomes"
+SQL["run_jobs_state"] = _RUN + """SELECT j.id, j.repository, j.commit_hash, j.query_string,
+ COALESCE(o.status, j.status) AS status, COALESCE(o.worker, j.worker) AS worker, j.queue_time,
+ COALESCE(o.start_time, j.start_time) AS start_time,
+ COALESCE(o.finish_time, j.finish_time) AS finish_time,
+ CASE WHEN o.job_id IS NOT NULL THEN o.result_url ELSE j.result_url END AS result_url,
+ CASE WHEN o.job_id IS NOT NULL THEN o.result_error ELSE j.result_error END AS result_error
+FROM jobs_v j LEFT JOIN outcomes o ON o.job_id = j.id"""
+SQL["run_jobs_results"] = _RUN + """SELECT cl.id AS job_id, c.node FROM claimed cl
+ JOIN c ON c.root = 'o' || substr(cl.query_string, 2) WHERE cl.workspace IS NOT NULL"""
 
 ORACLE_SQL = SQL

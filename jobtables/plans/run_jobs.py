@@ -8,6 +8,7 @@ and the closure is computed once per distinct root, not once per job.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -27,30 +28,32 @@ class RunOutput:
     outcomes: DataFrame   # (job_id, worker, status, result_url, result_error, n_deps)
 
 
-def query_root(query_string="query_string") -> F.Column:
-    """The node a job's query asks about.  Fixture reading: query ``q<k>``
-    asks for the dependencies of customer node ``c<k>``."""
-    q = F.col(query_string) if isinstance(query_string, str) else query_string
-    return F.concat(F.lit("c"), F.substring(q, 2, 1 << 30))
-
-
 def run_jobs(jobs: DataFrame, polls: DataFrame, repos: DataFrame, edges: DataFrame,
-             bucket: str = "results") -> RunOutput:
+             root: F.Column, bucket: str = "results", scope: Sequence[str] = ()) -> RunOutput:
+    """``root``: the node a claimed job's query asks about, as an expression
+    of ``query_string``.  ``scope``: the columns of ``repository`` and
+    ``commit_hash`` that ``edges`` has too, so that every snapshot has a graph
+    of its own.
+    """
+    scope = list(scope)
     claims = claim_fifo(jobs, polls)
     claimed = claims.where(F.col("claimed")).select(
         F.col("job_id").alias("id"), F.col("job_repository").alias("repository"),
-        "worker_name", "poll_time",
+        F.col("job_commit_hash").alias("commit_hash"), "worker_name", "poll_time",
         F.col("job_query_string").alias("query_string"))
     routed = route_jobs(claimed, repos)
-    ok = routed.where(F.col("route_error").isNull()).withColumn("root", query_root())
-    closure = deps_closure(edges, ok.select("root").distinct())
+    ok = routed.where(F.col("route_error").isNull()).withColumn("root", root)
+    closure = deps_closure(edges, ok.select(*scope, "root").distinct(), scope)
     # result rows per job (lazy: written by the caller, e.g. sinks.write_results)
-    results = ok.select(F.col("id").alias("job_id"), "root").join(closure, "root") \
-        .select("job_id", "node")
-    # counts per root, not per (job, node): jobs asking the same query share them
-    per_root = closure.groupBy("root").agg(F.count(F.lit(1)).alias("n_deps"))
-    routed = routed.withColumn("root", F.when(F.col("route_error").isNull(), query_root()))
-    outcomes = routed.join(per_root, "root", "left").select(
+    results = ok.select(F.col("id").alias("job_id"), *scope, "root") \
+        .join(closure, [*scope, "root"]).select("job_id", "node")
+    # counts per root, not per (job, node): jobs asking the same query share
+    # them; jobs that were not routed have no root and take no part in the join
+    per_root = closure.groupBy(*scope, "root").agg(F.count(F.lit(1)).alias("n_deps"))
+    counted = ok.join(per_root, [*scope, "root"], "left").drop("root").unionByName(
+        routed.where(F.col("route_error").isNotNull())
+        .withColumn("n_deps", F.lit(None).cast("bigint")))
+    outcomes = counted.select(
         F.col("id").alias("job_id"), "repository", F.col("worker_name").alias("worker"),
         F.when(F.col("route_error").isNull(), F.lit(STATUS_SUCCEEDED))
          .otherwise(F.lit(STATUS_FAILED)).alias("status"),

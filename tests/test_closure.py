@@ -1,5 +1,7 @@
 """Dependency closure (G1, G2) and the flagship batch."""
 
+from pyspark.sql import functions as F
+
 from jobtables.operators.closure import deps_closure, deps_reach
 
 
@@ -34,3 +36,30 @@ def test_max_rounds_raises(spark):
     roots = spark.createDataFrame([("a",)], "root string")
     with pytest.raises(RuntimeError):
         deps_closure(edges, roots, max_rounds=1).collect()
+
+
+def test_run_jobs_keeps_snapshots_apart(spark):
+    """The same query on two commits follows each commit's own edges; a job
+    of an unknown repository fails."""
+    import datetime as dt
+
+    from jobtables.plans.run_jobs import run_jobs
+    from jobtables.schema import job_schema
+    t0 = dt.datetime(2024, 1, 1)
+    jobs = spark.createDataFrame(
+        [(i, r, c, "a", "pending", None, t0 + dt.timedelta(seconds=k), None, None, None, None)
+         for k, (i, r, c) in enumerate([("1", "r", "c1"), ("2", "r", "c2"), ("3", "x", "c1")])],
+        job_schema())
+    polls = spark.createDataFrame([(k, "w", "r", t0 + dt.timedelta(minutes=1 + k)) for k in range(3)],
+                                  "poll_id long, worker_name string, repository string, "
+                                  "poll_time timestamp_ntz")
+    repos = spark.createDataFrame([("r", "ws")], "repository string, workspace string")
+    edges = spark.createDataFrame([("c1", "a", "b"), ("c2", "a", "d"), ("c2", "d", "e")],
+                                  "commit_hash string, src string, dst string")
+    out = run_jobs(jobs, polls, repos, edges, root=F.col("query_string"), scope=["commit_hash"])
+    assert {(r.job_id, r.node) for r in out.results.collect()} == \
+        {("1", "a"), ("1", "b"), ("2", "a"), ("2", "d"), ("2", "e")}
+    assert {(r.job_id, r.status, r.n_deps) for r in out.outcomes.collect()} == \
+        {("1", "succeeded", 2), ("2", "succeeded", 3), ("3", "failed", 0)}
+    assert {(r.id, r.status) for r in out.jobs.collect()} == \
+        {("1", "succeeded"), ("2", "succeeded"), ("3", "failed")}
