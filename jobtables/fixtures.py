@@ -58,13 +58,14 @@ def requests_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finish_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Finish requests: purchase = success, error = failure, signup = unset."""
+    """Finish requests: purchase = success, error = failure, signup = unset.
+    Three neighbouring events name one job, so ids repeat in a batch."""
     e = table(spark, sf_dir, "events").where(
         F.col("event_type").isin("purchase", "error", "signup"))
     i, t = F.col("event_id"), F.col("event_type")
     return e.select(
         i.alias("finish_id"),
-        (i * 2).cast("bigint").alias("job_id"),
+        ((i - i % 3) * 2).cast("bigint").alias("job_id"),
         F.when(t == "purchase", F.concat(F.lit("gs://bucket/"), (i * 2).cast("string"),
                                          F.lit(".pb"))).alias("query_result_location"),
         F.when(t == "error", F.lit("query failed")).alias("failure_message"),
@@ -81,9 +82,12 @@ def repos_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def polls_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Worker polls: purchase and error events."""
-    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "error"))
+def polls_v(spark: SparkSession, sf_dir: str, surplus: bool = False) -> DataFrame:
+    """Worker polls: purchase and error events (``surplus``: all events, more
+    than there are pending jobs)."""
+    e = table(spark, sf_dir, "events")
+    if not surplus:
+        e = e.where(F.col("event_type").isin("purchase", "error"))
     u = F.col("user_id")
     return e.select(
         F.col("event_id").alias("poll_id"),
@@ -170,6 +174,13 @@ def roots_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("root"))
 
 
+def line_ids_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that repeat: order and line number of lineitem."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.concat_ws("/", F.col("l_orderkey").cast("string"),
+                                 F.col("l_linenumber").cast("string")).alias("id"))
+
+
 def job_log_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The life-cycle event log that produces jobs_v: one request per job,
     a start per dequeued job, a succeed or fail per finished job."""

@@ -104,8 +104,8 @@ def unroutable(s, d):
         "id", "repository", "route_error")
 
 
-def claim_fifo(s, d):
-    c = fifo.claim_fifo(_jobs(s, d), fx.polls_v(s, d))
+def claim_fifo(s, d, surplus=False):
+    c = fifo.claim_fifo(_jobs(s, d), fx.polls_v(s, d, surplus))
     return c.select("poll_id", "worker_name", "poll_time", "rank", "job_id",
                     F.col("job_repository").alias("repository"), "queue_time",
                     "next_poll_time", "claimed")
@@ -186,6 +186,7 @@ QUERIES: dict[str, Query] = {
     "next_job": lambda s, d: fifo.next_job(_jobs(s, d)),
     "next_k_jobs": lambda s, d: fifo.next_k_jobs(_jobs(s, d), NEXT_K),
     "claim_fifo": claim_fifo,
+    "claim_fifo_surplus": lambda s, d: claim_fifo(s, d, surplus=True),
     "claim_interleaved": lambda s, d: fifo.claim_interleaved(fx.claim_log(s, d)),
     "claim_interleaved_starved":
         lambda s, d: fifo.claim_interleaved(fx.claim_log(s, d, starved=True)),
@@ -193,10 +194,15 @@ QUERIES: dict[str, Query] = {
     # updates
     "apply_finishes": apply_finishes,
     "rejected_finishes": rejected,
+    "apply_finishes_strict":
+        lambda s, d: update.apply_finishes(_jobs(s, d), fx.finish_v(s, d), strict=True),
+    "rejected_finishes_strict":
+        lambda s, d: update.rejected_finishes(_jobs(s, d), fx.finish_v(s, d), strict=True),
     "job_state_fold": fold,
     # audits
     "audit_live_key": lambda s, d: audit.audit_live_key(_jobs(s, d)),
     "audit_job_id": lambda s, d: audit.audit_job_id(_jobs(s, d)),
+    "audit_line_id": lambda s, d: audit.audit_job_id(fx.line_ids_v(s, d)),
     "audit_workers": lambda s, d: audit.audit_workers(_jobs(s, d)),
     "audit_stuck": lambda s, d: audit.audit_stuck(_jobs(s, d), STUCK_NOW, STUCK_LIMIT_S),
     "audit_columns": lambda s, d: audit.audit_columns(_jobs(s, d)),

@@ -44,7 +44,7 @@ REQUESTS_V = """requests_v AS (SELECT event_id AS request_id,
  'q' || CAST((event_id % 1500) % 997 AS VARCHAR) AS query_string,
  ts AS request_time FROM events WHERE event_type IN ('click','view'))"""
 
-FINISH_V = """finish_v AS (SELECT event_id AS finish_id, CAST(event_id * 2 AS BIGINT) AS job_id,
+FINISH_V = """finish_v AS (SELECT event_id AS finish_id, CAST((event_id - event_id % 3) * 2 AS BIGINT) AS job_id,
  CASE WHEN event_type='purchase' THEN 'gs://bucket/' || CAST(event_id*2 AS VARCHAR) || '.pb' END
    AS query_result_location,
  CASE WHEN event_type='error' THEN 'query failed' END AS failure_message,
@@ -304,6 +304,9 @@ SELECT p.poll_id, p.worker_name, p.poll_time, p.rank, q.id AS job_id, q.reposito
  q.queue_time, p.poll_time + INTERVAL 10 SECOND AS next_poll_time, q.id IS NOT NULL AS claimed
 FROM p LEFT JOIN q USING (rank)"""
 
+_ALL_POLLS = POLLS_V.replace(" WHERE event_type IN ('purchase','error')", "")
+SQL["claim_fifo_surplus"] = SQL["claim_fifo"].replace(POLLS_V, _ALL_POLLS)
+
 SQL["claim_by_repository"] = _with(JOBS_V, POLLS_V) + """, q AS (SELECT id, repository,
  queue_time, ROW_NUMBER() OVER (PARTITION BY repository ORDER BY queue_time, id) AS rank
  FROM jobs_v WHERE status = 'pending'),
@@ -359,6 +362,23 @@ SELECT f.finish_id, f.job_id, CASE WHEN p.n IS NULL THEN 'job not found'
  ELSE 'more than one job with this id' END AS reason
 FROM fset f LEFT JOIN per_id p ON p.id = f.job_id WHERE p.n IS NULL OR p.n > 1"""
 
+_STRICT = """firstf AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY job_id
+ ORDER BY finish_ts, finish_id) AS rn FROM fset) WHERE rn = 1)"""
+SQL["apply_finishes_strict"] = _with(JOBS_V, FINISH_V, _FSET, _STRICT) + """SELECT j.id,
+ j.repository, j.commit_hash, j.query_string, COALESCE(f.st, j.status) AS status, j.worker,
+ j.queue_time, j.start_time, COALESCE(f.finish_ts, j.finish_time) AS finish_time,
+ COALESCE(CASE WHEN f.st = 'succeeded' THEN f.res END, j.result_url) AS result_url,
+ COALESCE(CASE WHEN f.st = 'failed' THEN f.res END, j.result_error) AS result_error
+FROM jobs_v j LEFT JOIN firstf f ON f.job_id = j.id AND j.status = 'running'"""
+SQL["rejected_finishes_strict"] = _with(JOBS_V, FINISH_V, _FSET, _STRICT) + """, per_id AS (
+ SELECT id, COUNT(*) AS n, MAX(status) AS st FROM jobs_v GROUP BY id),
+ x AS (SELECT f.finish_id, f.job_id, CASE WHEN p.n IS NULL THEN 'job not found'
+ WHEN p.n > 1 THEN 'more than one job with this id'
+ WHEN p.st <> 'running' THEN 'job is not running'
+ WHEN f.finish_id <> s.finish_id THEN 'job is finished already' END AS reason
+FROM fset f LEFT JOIN per_id p ON p.id = f.job_id LEFT JOIN firstf s ON s.job_id = f.job_id)
+SELECT finish_id, job_id, reason FROM x WHERE reason IS NOT NULL"""
+
 _JOB_LOG = """jlog AS (
  SELECT id AS job_id, 'request' AS kind, 0 AS kr, queue_time AS ts, repository, commit_hash,
    query_string, CAST(NULL AS VARCHAR) AS worker, CAST(NULL AS VARCHAR) AS result FROM jobs_v
@@ -392,6 +412,9 @@ SQL["audit_live_key"] = _with(JOBS_V) + (
 SQL["audit_job_id"] = _with(JOBS_V) + (
     "SELECT id, COUNT(*) AS n_rows FROM jobs_v GROUP BY id HAVING COUNT(*) > 1")
 
+SQL["audit_line_id"] = ("SELECT CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR) "
+                        "AS id, COUNT(*) AS n_rows FROM lineitem GROUP BY 1 HAVING COUNT(*) > 1")
+
 SQL["audit_workers"] = _with(JOBS_V) + """SELECT worker, COUNT(*) AS n_jobs,
  COUNT(*) FILTER (WHERE status = 'running') AS n_running,
  COUNT(*) FILTER (WHERE status = 'succeeded') AS n_succeeded,
