@@ -232,3 +232,24 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataF
         .select("vec_id", "n_links", "component_id")
     return compared.unionByName(alone) \
         .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
+    ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+c(v, u) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT c.v, l.b FROM c JOIN l ON l.a = c.u),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+r AS (SELECT v, min(u) AS component_id FROM c GROUP BY v)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, r.component_id,
+       v.vec_id = r.component_id AS kept
+FROM v LEFT JOIN n ON n.a = v.vec_id JOIN r ON r.v = v.vec_id
+"""

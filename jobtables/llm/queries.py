@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobtables.llm import line_dedup, mixing
+from jobtables.llm import embedding_dedup, line_dedup, mixing
 from jobtables.llm.shared import read_table
 
 
@@ -40,8 +40,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from jobtables.llm.embedding_dedup import near_duplicate_vectors
-    return near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
+    return embedding_dedup.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +79,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
+    "op10_embedding_dedup": embedding_dedup.ORACLE_SQL,
 }

@@ -49,6 +49,15 @@ def test_equals_all_products(spark, monkeypatch):
     assert got(df, threshold=0.5) == brute(rows, 0.5)
 
 
+def test_equals_sql():
+    """The SQL twin and the plain products agree (and so does the operator)."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{SF01}/embeddings.parquet')")
+    rows = con.execute("SELECT vec_id, embedding, label FROM embeddings").fetchall()
+    assert sorted(con.execute(op.ORACLE_SQL).fetchall(), key=str) == brute(rows)
+
+
 def test_groups_of_copies_and_edges(spark, monkeypatch):
     monkeypatch.setattr(op, "BLOCK", 16)
     rng = np.random.default_rng(1)
