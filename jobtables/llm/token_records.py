@@ -20,6 +20,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -116,6 +117,12 @@ class Encoder:
         return b"".join(out)
 
 
+@lru_cache(maxsize=1)
+def _encoder(vocabulary: str, end_id: int) -> Encoder:
+    """One encoder for all tasks of a Python worker, with the words it knows."""
+    return Encoder(vocabulary, end_id)
+
+
 class _File:
     def __init__(self, uri: str):
         self.uri, self.offsets, self.at, self.tokens = uri, array("Q"), 0, 0
@@ -162,14 +169,13 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        encode, file, seq = None, None, 0
+        encode, file, seq = _encoder(vocabulary, end_id), None, 0
 
         def closed() -> pd.DataFrame:
             return pd.DataFrame([(part, seq, file.uri, *file.close())],
                                 columns=[c.split()[0] for c in _MANIFEST.split(", ")])
 
         for pdf in batches:
-            encode = encode or Encoder(vocabulary, end_id)
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 ids = encode(text)
                 if file is None:
