@@ -26,7 +26,7 @@ from jobtables.operators.ordered import global_row_number
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 ROUNDS = 3
-_PREFIX = 4  # hexadecimal digits of the hash that name a bucket
+_PREFIXES = (2, 4)  # hexadecimal digits of the hash that name a bucket
 
 
 def word_count(text: Column) -> Column:
@@ -119,22 +119,25 @@ def _fill(sizes: DataFrame, plan: DataFrame, i: int) -> DataFrame:
     rest = f"rest_{i}"
     open_rows = sizes.select("skey", "size", "key").join(plan, "skey") \
         .where((F.col("size") > 0) & (F.col("size") <= F.col(rest)) & ~_taken(i - 1)) \
-        .select("skey", "size", "key", rest, F.substring("key", 1, _PREFIX).alias("bucket"))
-    per_bucket = open_rows.groupBy("skey", "bucket") \
-        .agg(F.sum("size").alias("words"), F.first(rest).alias(rest))
-    upto_here = Window.partitionBy("skey").orderBy("bucket")
-    full = per_bucket.withColumn("upto", F.sum("words").over(upto_here)) \
-        .where(F.col("upto") > F.col(rest)).groupBy("skey") \
-        .agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before")), "bucket")
-             .alias("b")).select("skey", F.col("b.bucket").alias("bucket"), "b.before")
-    inside = open_rows.join(full, ["skey", "bucket"]) \
-        .withColumn("upto", F.col("before") + F.sum("size").over(
-            Window.partitionBy("skey", "bucket").orderBy("key"))) \
-        .where(F.col("upto") <= F.col(rest)).groupBy("skey") \
-        .agg(F.max("key").alias("last"), F.max("upto").alias("filled"))
+        .select("skey", "size", "key", rest)
+    sums = open_rows.groupBy("skey").agg(F.sum("size").alias("all_words"))
+    # the hash prefix in which a source fills up, a few digits at a time
+    inside, full = open_rows.withColumn("before", F.lit(0).cast("long")), None
+    for digits in _PREFIXES:
+        cut = F.substring("key", 1, digits).alias("bucket")
+        per_bucket = inside.groupBy("skey", cut).agg(
+            F.sum("size").alias("words"), F.first(rest).alias(rest), F.first("before").alias("before"))
+        upto = F.col("before") + F.sum("words").over(Window.partitionBy("skey").orderBy("bucket"))
+        full = per_bucket.withColumn("upto", upto).where(F.col("upto") > F.col(rest)) \
+            .groupBy("skey").agg(F.min_by(
+                F.struct("bucket", (F.col("upto") - F.col("words")).alias("before")), "bucket")
+                .alias("b")).select("skey", F.col("b.bucket").alias("bucket"), "b.before")
+        inside = open_rows.select("*", cut).join(full, ["skey", "bucket"]).drop("bucket")
+    last = inside.withColumn("upto", F.col("before") + F.sum("size").over(
+        Window.partitionBy("skey").orderBy("key"))).where(F.col("upto") <= F.col(rest)) \
+        .groupBy("skey").agg(F.max("key").alias("last"), F.max("upto").alias("filled"))
     # a source without a full bucket takes all of its open rows
-    sums = per_bucket.groupBy("skey").agg(F.sum("words").alias("all_words"))
-    return plan.join(sums, "skey", "left").join(full, "skey", "left").join(inside, "skey", "left") \
+    return plan.join(sums, "skey", "left").join(full, "skey", "left").join(last, "skey", "left") \
         .withColumn(f"upto_{i}", F.when(F.col("bucket").isNull(), F.lit("g"))
                     .otherwise(F.coalesce("last", "bucket"))) \
         .withColumn(f"rest_{i + 1}", F.col(rest) - F.when(
