@@ -8,7 +8,10 @@ repeat where their anchors do.  Around each repeated anchor lies a piece of
 text, all strings of the starts it owns; equal pieces are collapsed to one.
 Pieces that share an anchor but differ are sorted by a suffix array of their
 text from the anchor on, and another of the text before it, read backwards.
-Intervals of the two arrays tell which strings agree on both sides.
+Intervals of the two arrays tell which strings agree on both sides.  An anchor
+with many different pieces is dealt again by the bytes after it and by the
+bytes before it, one of which lies in every string, and where many pieces share
+those too, the strings are counted by hash.
 
 The suffix arrays are built by linear grouping: suffixes are grouped by their
 longest Lyndon prefix, groups are handled in descending order and pass their
@@ -32,6 +35,7 @@ from jobtables.llm.shared import Scratch, shuffle_partitions
 
 LENGTH, ANCHOR = 200, 32
 BUCKET = 20_000  # pieces that are sorted together
+GROUP = 2_000  # different pieces of one anchor, or of one side of it, that are not dealt again
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _WORD = 8  # bytes of a symbol of the suffix arrays
 
@@ -198,6 +202,9 @@ def _all_anchors(rows: DataFrame, length: int, k: int) -> DataFrame:
 
 # ------------------------------------------------------------ pieces in buckets
 
+_SPANS = "h long, piece long, from long, to long"
+
+
 def _order(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows of a byte matrix by a suffix array of them all, and
     the bytes that each shares with the one before in that order."""
@@ -214,12 +221,14 @@ def _order(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_starts(pieces: list[bytes], at: np.ndarray, starts: np.ndarray,
-                    length: int = LENGTH, k: int = ANCHOR) -> np.ndarray:
+                    lo: np.ndarray, hi: np.ndarray, length: int = LENGTH, k: int = ANCHOR
+                    ) -> np.ndarray:
     """Which starts of each piece begin a string that another piece holds at
     the same place before its anchor: a matrix by bytes before the anchor.
 
     ``at`` is the anchor's place in its piece and ``starts`` how many starts
-    it has; the pieces are different."""
+    it has, of which those ``lo`` to ``hi`` bytes before the anchor count; no
+    two rows are of one piece and count the same start."""
     n, before = len(pieces), length - k
     pad = lambda x: -(-x // _WORD) * _WORD
     after = np.zeros((n, pad(length)), np.uint8)
@@ -233,7 +242,7 @@ def repeated_starts(pieces: list[bytes], at: np.ndarray, starts: np.ndarray,
     out = np.zeros((n, before + 1), bool)
     r, lf = np.empty(n, np.int64), np.empty(n, np.int64)
     for d in range(before + 1):  # bytes before the anchor
-        own = np.flatnonzero((d <= at) & (d > at - starts))
+        own = np.flatnonzero((d <= at) & (d > at - starts) & (d >= lo) & (d <= hi))
         if len(own) < 2:
             continue
         r[right] = np.cumsum(right_shared < length - d)
@@ -246,11 +255,18 @@ def repeated_starts(pieces: list[bytes], at: np.ndarray, starts: np.ndarray,
     return out
 
 
+def _runs(s: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Spans of the strings at ascending starts; neighbours make one span."""
+    cut = np.flatnonzero(np.diff(s) > 1)
+    return [(a, b + length) for a, b in zip(s[np.concatenate([[0], cut + 1])].tolist(),
+                                            s[np.append(cut, len(s) - 1)].tolist())]
+
+
 def _compare(length: int, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
         for pdf in batches:
-            for r in zip(pdf["h"], pdf["piece"], pdf["at"], pdf["starts"], pdf["data"]):
+            for r in zip(*[pdf[c] for c in ("g", "h", "piece", "at", "starts", "lo", "hi", "data")]):
                 if len(held) >= BUCKET and held[-1][0] != r[0]:
                     yield spans(held)
                     held = []
@@ -259,21 +275,73 @@ def _compare(length: int, k: int):
             yield spans(held)
 
     def spans(held: list) -> pd.DataFrame:
-        h, piece, at, starts, data = zip(*held)
-        at, starts = np.array(at, np.int64), np.array(starts, np.int64)
-        hits = repeated_starts([bytes(d) for d in data], at, starts, length, k)
+        _g, h, piece, at, starts, lo, hi, data = zip(*held)
+        at, starts, lo, hi = (np.array(x, np.int64) for x in (at, starts, lo, hi))
+        hits = repeated_starts([bytes(d) for d in data], at, starts, lo, hi, length, k)
         rows = []
         for i in np.flatnonzero(hits.any(axis=1)).tolist():
-            s = np.sort(at[i] - np.flatnonzero(hits[i]))
-            cut = np.flatnonzero(np.diff(s) > 1)
-            rows += [(h[i], piece[i], a, b + length) for a, b in
-                     zip(s[np.concatenate([[0], cut + 1])].tolist(),
-                         s[np.append(cut, len(s) - 1)].tolist())]
+            rows += [(h[i], piece[i], *r) for r in
+                     _runs(np.sort(at[i] - np.flatnonzero(hits[i])), length)]
         return pd.DataFrame(rows, columns=["h", "piece", "from", "to"])
 
     return run
 
 
+def _large(rows: DataFrame, scratch: Scratch, group: int) -> DataFrame:
+    """Keys ``g`` of more than ``group`` rows, at most one per ``group`` rows."""
+    return scratch.table(rows.groupBy("g").agg(F.count("*").alias("n"))
+                         .where(F.col("n") > group).select("g"), "large")
+
+
+def _dealt(texts: DataFrame, scratch: Scratch, length: int, k: int, group: int
+           ) -> tuple[DataFrame, DataFrame | None]:
+    """``texts`` with the key ``g`` under which they are sorted together, at
+    most ``group`` rows each, and the rows that remain too many (or None).
+
+    Of an anchor with more pieces, a string that begins up to half its length
+    before the anchor holds the half from there on, any other one the half
+    before it; strings that are equal agree in that half."""
+    last, half = length - k, length // 2
+    whole = texts.select(F.col("h").alias("g"), "*", F.lit(0).alias("lo"), F.lit(last).alias("hi"))
+    large = _large(whole, scratch, group)
+    if large.isEmpty():
+        return whole, None
+    inside = whole.join(F.broadcast(large), "g", "left_semi").drop("g", "lo", "hi")
+    side = lambda name, first: F.xxhash64(
+        F.lit(name), "h", F.substring("data", (first + 1).cast("int"), F.lit(half))).alias("g")
+    after = inside.where(F.col("at") - F.col("starts") < half).select(
+        side("after", F.col("at")), "*", F.lit(0).alias("lo"), F.lit(min(half, last)).alias("hi"))
+    before = inside.where(F.col("at") > half).select(
+        side("before", F.col("at") - half), "*", F.lit(half + 1).alias("lo"), F.lit(last).alias("hi"))
+    halves = after.unionByName(before)
+    larger = _large(halves, scratch, group)
+    dealt = whole.join(F.broadcast(large), "g", "left_anti") \
+        .unionByName(halves.join(F.broadcast(larger), "g", "left_anti"))
+    return dealt, None if larger.isEmpty() else halves.join(F.broadcast(larger), "g", "left_semi")
+
+
+def _counted(rows: DataFrame, scratch: Scratch, length: int) -> DataFrame:
+    """``(h, piece, from, to)`` of the strings that two of the pieces hold, by
+    counts of their 128-bit hashes; a piece holds a string once at most."""
+    starts = F.sequence(F.greatest("lo", F.col("at") - F.col("starts") + 1), F.least("hi", "at"))
+    each = rows.select("h", "piece", "at", "data", F.explode(starts).alias("d"))
+    string = F.substring("data", (F.col("at") - F.col("d") + 1).cast("int"), F.lit(length))
+    each = each.select("h", "piece", (F.col("at") - F.col("d")).alias("s"),
+                       F.xxhash64(string).alias("s1"), F.xxhash64(F.lit("second"), string).alias("s2"))
+    twice = scratch.table(each.groupBy("s1", "s2").agg(F.count("*").alias("n"))
+                          .where("n > 1").select("s1", "s2"), "strings")
+    held = each.join(twice, ["s1", "s2"], "left_semi").groupBy("h", "piece") \
+        .agg(F.array_sort(F.collect_list("s")).alias("s"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(h, p, *r) for h, p, s in zip(pdf["h"], pdf["piece"], pdf["s"])
+                                for r in _runs(np.asarray(s), length)],
+                               columns=["h", "piece", "from", "to"])
+
+    return held.mapInPandas(run, _SPANS)
+
+
 # -------------------------------------------------------------------- operator
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -285,8 +353,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
         F.coalesce(F.encode("record.text", "UTF-8"), F.lit(b"")).alias("data"))
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: int = ANCHOR
-                   ) -> DataFrame:
+def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: int = ANCHOR,
+                   group: int = GROUP) -> DataFrame:
     """``(k1, k2, spans)``: per key the byte spans covered by strings of
     ``length`` bytes that also start elsewhere (they may overlap)."""
     if not 16 <= k <= length <= k + 255:
@@ -314,8 +382,11 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: i
     texts = scratch.table(texts, "texts")
     n = texts.count()
     parts = max(1, min(shuffle_partitions(docs.sparkSession), -(-n // 500)), -(-n // BUCKET))
-    compared = texts.repartition(parts, "h").sortWithinPartitions("h", "piece") \
-        .mapInPandas(_compare(length, k), "h long, piece long, from long, to long")
+    dealt, many = _dealt(texts, scratch, length, k, group)
+    compared = dealt.repartition(parts, "g").sortWithinPartitions("g", "h", "piece") \
+        .mapInPandas(_compare(length, k), _SPANS)
+    if many is not None:
+        compared = compared.unionByName(_counted(many, scratch, length))
     whole = pieces.where("copies > 1").select(
         "h", "piece", F.lit(0).cast("long").alias("from"),
         (F.col("at.last") - F.col("at.first") + length).alias("to"))
@@ -349,12 +420,13 @@ def _kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def _joined(docs: DataFrame, length: int, k: int) -> DataFrame:
-    spans = repeated_spans(docs, Scratch(docs.sparkSession, "suffix"), length, k)
+def _joined(docs: DataFrame, length: int, k: int, group: int) -> DataFrame:
+    spans = repeated_spans(docs, Scratch(docs.sparkSession, "suffix"), length, k, group)
     return _keyed(docs).join(spans, ["k1", "k2"], "left")
 
 
-def repeat_report(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
+def repeat_report(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, group: int = GROUP
+                  ) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, n_spans,
     kept_sha256``.
 
@@ -375,12 +447,13 @@ def repeat_report(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Dat
                              hashlib.sha256(_kept(data, m)).hexdigest()))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    rows = _joined(docs, length, k).select(
+    rows = _joined(docs, length, k, group).select(
         F.col("record.doc_id").cast("string").alias("doc_id"), "data", "spans")
     return rows.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, group: int = GROUP
+                   ) -> DataFrame:
     """``docs`` without the repeated bytes, all columns; characters of which a
     part is removed go whole.  Null texts stay null."""
 
@@ -390,5 +463,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Da
                           else d.decode("utf-8") for d, s in zip(data, spans)])
 
     text = F.when(F.col("record.text").isNotNull(), cut("data", "spans"))
-    return _joined(docs, length, k).select(*[
+    return _joined(docs, length, k, group).select(*[
         text.alias(c) if c == "text" else F.col(f"record.`{c}`") for c in docs.columns])

@@ -96,3 +96,39 @@ def test_documents_equal_plain_counts(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert repeat_report(df).count() == 0 and remove_repeats(df).count() == 0
+
+
+def test_pieces_of_one_anchor_are_split(spark, tmp_path):
+    """A phrase around one anchor in ever other surroundings: no task sorts
+    more than ``group`` of them, and nothing is lost."""
+    random.seed(9)
+    other = lambda n: "".join(random.choices("abcdefgh", k=n))
+    phrase, head, tail = other(30), other(40), other(40)
+    texts = [other(50) + phrase + other(50) for _ in range(60)]
+    texts += [other(20) + head[-n:] + phrase + tail[:40 - n] + other(20) for n in range(41)]
+    texts += [other(30) + head + phrase + other(30) for _ in range(30)]
+    texts += [other(30) + phrase + tail + other(30) for _ in range(30)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 64)
+    assert sum(r[2] for r in want) > 0
+    for group in (4, 15, 1000):
+        assert sorted(map(tuple, repeat_report(df, 64, 16, group=group).collect()), key=str) == want
+
+
+def test_large_groups_are_bounded(spark):
+    from jobtables.llm.shared import Scratch
+    from jobtables.llm.suffix_dedup import _dealt
+    random.seed(10)
+    other = lambda n: bytes(random.choices(b"abcdefgh", k=n))
+    anchor, same = other(16), other(60)
+    pieces = [(1, i, 50, 40, other(50) + anchor + other(60)) for i in range(200)]
+    pieces += [(1, 1000 + i, 30, 20, same[:30] + anchor + same[30:] + other(10 + i % 3)) for i in range(50)]
+    texts = spark.createDataFrame(
+        [(h, p, a, n, bytearray(x)) for h, p, a, n, x in pieces],
+        "h long, piece long, at long, starts long, data binary")
+    dealt, many = _dealt(texts, Scratch(spark, "test"), 64, 16, 10)
+    assert dealt.groupBy("g").count().agg(F.max("count")).first()[0] <= 10
+    seen = {r.piece for r in dealt.select("piece").unionByName(many.select("piece")).collect()}
+    assert seen == {p[1] for p in pieces}
+    assert {r.piece for r in many.select("piece").collect()} <= {p[1] for p in pieces[200:]}
