@@ -46,15 +46,20 @@ class Encoder:
     so a text may be cut there; texts with two blanks of any kind in a row
     are encoded as one piece.  A word of Latin letters is a pre-token of its own and goes to the
     BPE model directly.  Two generations of at most ``capacity`` words each
-    bound the memory.
+    bound the memory.  With ``added_tokens`` the strings of the vocabulary's
+    added tokens become their ids, as in the library's default, and texts that
+    hold one are encoded as one piece; else they are ordinary text.
     """
 
-    def __init__(self, vocabulary: str, end_id: int, capacity: int = 400_000):
+    def __init__(self, vocabulary: str, end_id: int, capacity: int = 400_000,
+                 added_tokens: bool = False):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(vocabulary)
-        self._tok.encode_special_tokens = True  # their strings are ordinary text
+        self._tok.encode_special_tokens = not added_tokens
+        added = [t.content for t in self._tok.get_added_tokens_decoder().values()] if added_tokens else []
+        self._in_one = re.compile("|".join([_BLANKS.pattern, *map(re.escape, added)]))
         wide = max(end_id, self._tok.get_vocab_size() - 1) >= 1 << 16
         self.dtype, self._code = ("<u4", "I") if wide else ("<u2", "H")
         self._end = np.array([end_id], self.dtype).tobytes()
@@ -100,7 +105,7 @@ class Encoder:
         """Ids in little-endian ``dtype``, the end id last."""
         if not text:
             return self._end
-        if _BLANKS.search(text):
+        if self._in_one.search(text):
             return self._whole(text) + self._end
         out = []
         for n, line in enumerate(text.split("\n")):
@@ -120,7 +125,7 @@ class Encoder:
 @lru_cache(maxsize=1)
 def _encoder(vocabulary: str, end_id: int) -> Encoder:
     """One encoder for all tasks of a Python worker, with the words it knows."""
-    return Encoder(vocabulary, end_id)
+    return Encoder(vocabulary, end_id, added_tokens=True)
 
 
 class _File:
@@ -153,6 +158,8 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2
     """Encode ``text`` of every row and write the records in ascending
     ``doc_id`` order (nulls first, equal ids by text hash) below ``folder``.
 
+    Ids are the library's, ``add_special_tokens=False`` and nothing else: the
+    string of an added token in a text becomes that token's id.
     Returns the manifest ``(part, seq, path, n_records, n_tokens, n_bytes)``,
     read back from ``folder``; files in (part, seq) order hold the ids in
     order.  Null and empty texts are the end id alone.  An empty table writes

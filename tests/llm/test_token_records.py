@@ -93,3 +93,33 @@ def test_damage_is_found(spark, tmp_path):
     open(path, "wb").write(bytes(data))
     with pytest.raises(Exception, match="damaged"):
         read_records(spark, manifest).collect()
+
+
+def library(text):
+    """The library's encoding with no flag but ``add_special_tokens``."""
+    return Tokenizer.from_file(VOCAB).encode(text, add_special_tokens=False).ids + [2]
+
+
+def test_added_tokens_in_texts_have_their_ids(spark, tmp_path):
+    assert library("x <|endoftext|> y") == [87, 220, 50256, 331, 2]
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b\nc", "no token", "<|endoftext |>",
+             "end<|endoftext|><|endoftext|> \n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    manifest = write_records(df, str(tmp_path / "c"), VOCAB)
+    got = read_records(spark, manifest, with_ids=True).orderBy("doc_id").collect()
+    assert [r.ids for r in got] == [library(t) for t in texts]
+    start = 0
+    for r in got:
+        assert r.start == start
+        start += r.n_tokens
+
+
+def test_chunks_with_added_tokens_equal_whole_texts():
+    random.seed(6)
+    alphabet = ["a", "Word", "é", "word.", "'s", "12", "|", "<", " ", " ", "  ", "\n", "<|endoftext|>", "<|endoftext"]
+    tok = Tokenizer.from_file(VOCAB)
+    small = Encoder(VOCAB, 2, capacity=3, added_tokens=True)
+    for _ in range(2000):
+        t = "".join(random.choices(alphabet, k=random.randint(0, 14)))
+        assert np.frombuffer(small(t), small.dtype).tolist() == \
+            tok.encode(t, add_special_tokens=False).ids + [2], repr(t)
