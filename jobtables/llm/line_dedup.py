@@ -9,7 +9,9 @@ prefix with any other and leaves, so later rounds handle what is still tied.
 Doubling stops at ``min_lines``: suffixes with the same rank then form one
 interval whose longest common prefix is ``min_lines`` or more.  The earliest
 suffix of an interval stays; at every other one a repeated run begins, and
-runs that touch make one maximal run, which is deleted.
+runs that touch make one maximal run, which is deleted.  With ``min_words`` a
+run also begins where fewer lines repeat that hold so many words; doubling then
+goes on by single lines, so that every depth is seen.
 
 DataFrame functions only.
 """
@@ -19,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobtables.llm.mixing import word_count
 from jobtables.llm.shared import Scratch
 
 MIN_LINES = 3
+MIN_WORDS = 50
 
 
 def _tied(pairs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -38,46 +42,64 @@ def _pairs(suffixes: DataFrame, step: int) -> DataFrame:
     """Each suffix with the rank of the one ``step`` lines later.  If a line
     between the two is gone, the longer prefix cannot repeat either."""
     w = Window.partitionBy("row").orderBy("line")
+    words = [] if "words" not in suffixes.columns else [
+        "first", (F.col("first") + F.lead("words", 1).over(w)).alias("words")]  # step is 1
     return suffixes.select("row", "doc_id", "line", F.col("rank").alias("a"),
                            F.lead("rank", step).over(w).alias("b"),
-                           F.lead("line", step).over(w).alias("at")) \
+                           F.lead("line", step).over(w).alias("at"), *words) \
         .where(F.col("at") == F.col("line") + step).drop("at")
 
 
-def repeated_runs(rows: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES) -> DataFrame:
+def _later(pairs: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
+    """``(row, line, end)`` of the runs of ``depth`` lines that begin earlier as well."""
+    place = F.struct("doc_id", "row", "line")
+    intervals = scratch.table(
+        pairs.groupBy("a", "b").agg(F.min(place).alias("earliest"), F.count("*").alias("n"))
+        .where("n > 1").select("a", "b", "earliest"), "intervals")
+    return pairs.join(intervals, ["a", "b"]) \
+        .where((F.col("row") != F.col("earliest.row")) | (F.col("line") != F.col("earliest.line"))) \
+        .select("row", "line", (F.col("line") + depth - 1).alias("end"))
+
+
+def repeated_runs(rows: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES,
+                  min_words: int | None = None) -> DataFrame:
     """``rows(row, doc_id, text)`` with unique ``row`` -> ``(row, first, last)``,
-    the maximal runs of lines (from 0) that begin earlier as well."""
+    the maximal runs of lines (from 0) that begin earlier as well: of
+    ``min_lines`` lines, or of fewer with ``min_words`` words if that is given."""
     if min_lines < 1:
         raise ValueError("min_lines must be at least 1")
+    words = [] if min_words is None else [
+        word_count(F.col("s")).alias("first"), word_count(F.col("s")).alias("words")]
     lines = scratch.table(
         rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
         .select("row", "doc_id", "line", F.xxhash64("s").alias("a"),
-                F.xxhash64(F.lit("second"), "s").alias("b")), "lines")
-    pairs, depth = lines, 1
+                F.xxhash64(F.lit("second"), "s").alias("b"), *words), "lines")
+    pairs, depth, short = lines, 1, []
     while depth < min_lines:
+        if words:
+            short.append(_later(pairs.where(F.col("words") >= min_words), depth, scratch))
         ranks = _tied(pairs, scratch)
         suffixes = scratch.table(
-            pairs.join(ranks, ["a", "b"]).select("row", "doc_id", "line", "rank"), "suffixes")
-        step = min(depth, min_lines - depth)
+            pairs.join(ranks, ["a", "b"]).select(
+                "row", "doc_id", "line", "rank", *["first", "words"] * bool(words)), "suffixes")
+        step = 1 if words else min(depth, min_lines - depth)
         pairs, depth = scratch.table(_pairs(suffixes, step), "pairs"), depth + step
-    place = F.struct("doc_id", "row", "line")
-    intervals = scratch.table(
-        pairs.groupBy("a", "b").agg(F.min(place).alias("earliest"), F.count("*").alias("n"))
-        .where("n > 1").select("a", "b", "earliest"), "intervals")
-    later = pairs.join(intervals, ["a", "b"]) \
-        .where((F.col("row") != F.col("earliest.row")) | (F.col("line") != F.col("earliest.line")))
-    w = Window.partitionBy("row").orderBy("line")
-    before = F.lag("line").over(w)
-    islands = later.select("row", "line", F.when(
-        before.isNull() | (F.col("line") > before + min_lines), 1).otherwise(0).alias("new"))
-    islands = islands.withColumn("island", F.sum("new").over(w))
+    later = _later(pairs, min_lines, scratch)
+    for runs in short:
+        later = later.unionByName(runs)
+    w = Window.partitionBy("row").orderBy("line", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    islands = later.select("row", "line", "end", F.when(
+        before.isNull() | (F.col("line") > before + 1), 1).otherwise(0).alias("new"))
+    islands = islands.withColumn(
+        "island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return scratch.table(
         islands.groupBy("row", "island").agg(
-            F.min("line").alias("first"), (F.max("line") + min_lines - 1).alias("last"))
+            F.min("line").alias("first"), F.max("end").alias("last"))
         .drop("island"), "runs")
 
 
-def _cut(docs: DataFrame, min_lines: int) -> DataFrame:
+def _cut(docs: DataFrame, min_lines: int, min_words: int | None) -> DataFrame:
     """``row`` (all columns), ``lines``, ``runs`` and ``kept`` (lines) of each."""
     scratch = Scratch(docs.sparkSession, "lines")
     rows = scratch.table(docs.select(
@@ -85,7 +107,7 @@ def _cut(docs: DataFrame, min_lines: int) -> DataFrame:
         F.monotonically_increasing_id().alias("row")), "rows")
     runs = repeated_runs(rows.select(
         "row", F.col("record.doc_id").cast("long").alias("doc_id"),
-        F.col("record.text").alias("text")), scratch, min_lines)
+        F.col("record.text").alias("text")), scratch, min_lines, min_words)
     per_row = runs.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("first", "last")))
                                       .alias("runs"))
     empty = F.array().cast("array<struct<first:int,last:int>>")
@@ -101,7 +123,8 @@ def _cut(docs: DataFrame, min_lines: int) -> DataFrame:
         "gaps", lambda g: F.slice(F.col("lines"), g["at"] + 1, g["to"] - g["at"]))))
 
 
-def line_report(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def line_report(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None
+                ) -> DataFrame:
     """One row per input row: ``doc_id, n_lines, n_removed, n_runs,
     kept_sha256`` (of the kept lines joined by line feeds, in UTF-8).
 
@@ -111,17 +134,18 @@ def line_report(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     empty line.  Repeated rows are copies of the first of them.  An empty
     table gives no rows.
     """
-    return _cut(docs, min_lines).select(
+    return _cut(docs, min_lines, min_words).select(
         F.col("record.doc_id").alias("doc_id"), F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size("kept")).cast("long").alias("n_removed"),
         F.size("runs").cast("long").alias("n_runs"),
         F.sha2(F.encode(F.array_join("kept", "\n"), "UTF-8"), 256).alias("kept_sha256"))
 
 
-def remove_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES,
+                          min_words: int | None = None) -> DataFrame:
     """``docs`` without the repeated runs; a null text stays null, a text of
     repeated runs only becomes empty; all columns."""
-    cut = _cut(docs, min_lines)
+    cut = _cut(docs, min_lines, min_words)
     text = F.when(F.col("record.text").isNull(), F.lit(None)) \
         .when(F.size("runs") == 0, F.col("record.text")).otherwise(F.array_join("kept", "\n"))
     return cut.select(*[text.alias(c) if c == "text" else F.col(f"record.`{c}`")
@@ -152,3 +176,34 @@ SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
        CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id
 """
+
+#: Twin of the report with ``min_words``.
+WORDS_SQL = r"""
+WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM x),
+n AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w1 FROM l),
+k AS (
+  SELECT *, lead(line, 1) OVER w AS l2, lead(line, 2) OVER w AS l3,
+         w1 + lead(w1, 1) OVER w AS w2
+  FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+f AS (
+  SELECT doc_id, i, line, CASE
+    WHEN l3 IS NOT NULL AND row_number() OVER (PARTITION BY line, l2, l3 ORDER BY doc_id, i) > 1 THEN 3
+    WHEN w2 >= 50 AND row_number() OVER (PARTITION BY line, l2 ORDER BY doc_id, i) > 1 THEN 2
+    WHEN w1 >= 50 AND row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 THEN 1
+    ELSE 0 END AS later FROM k),
+c AS (
+  SELECT doc_id, i, line, CASE WHEN later >= 1 OR lag(later, 1, 0) OVER w >= 2
+                                 OR lag(later, 2, 0) OVER w >= 3 THEN 1 ELSE 0 END AS gone
+  FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS gone_before FROM c),
+s AS (
+  SELECT doc_id, count(*) AS n_lines, sum(gone) AS n_removed,
+         sum(CASE WHEN gone = 1 AND gone_before = 0 THEN 1 ELSE 0 END) AS n_runs,
+         string_agg(CASE WHEN gone = 0 THEN line END, chr(10) ORDER BY i) AS kept
+  FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id
+"""

@@ -58,6 +58,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(read_table(spark, sf_dir, "documents"), min_lines=3)
 
 
+def op3_line_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(read_table(spark, sf_dir, "documents"), min_lines=3,
+                                  min_words=line_dedup.MIN_WORDS)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobtables.llm.suffix_dedup import repeat_report
     return repeat_report(read_table(spark, sf_dir, "documents"), length=200)
@@ -73,11 +78,13 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op2_warc": op2_warc,
     "op3_line_dedup": op3_line_dedup,
+    "op3_line_dedup_words": op3_line_dedup_words,
     "op7_suffix_dedup": op7_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.ORACLE_SQL,
+    "op3_line_dedup_words": line_dedup.WORDS_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
     "op10_embedding_dedup": embedding_dedup.ORACLE_SQL,
 }

@@ -71,3 +71,46 @@ def test_documents_equal_sql(spark):
     assert got.columns == names
     assert sorted(map(tuple, got.collect())) == want
     assert sum(r[2] for r in want) > 0
+
+
+def brute_words(rows, m, least):
+    """As ``brute``, and windows of fewer lines go if they hold ``least`` words."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0))
+    seen, out = set(), []
+    for k in order:
+        lines = [] if rows[k][1] is None else rows[k][1].split("\n")
+        gone = set()
+        for i in range(len(lines)):
+            for d in range(1, m + 1):
+                w = tuple(lines[i:i + d])
+                if len(w) == d and (d == m or sum(len(x.split()) for x in w) >= least):
+                    gone |= set(range(i, i + d)) if w in seen else set()
+                    seen.add(w)
+        kept = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        out.append((rows[k][0], len(lines), len(gone), sum(1 for i in gone if i - 1 not in gone),
+                    hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("m", [1, 3, 5])
+def test_runs_of_many_words_go(spark, m):
+    random.seed(20 + m)
+    some = ["", "a", "b", "a b c", "a b d e", "x y z v w u", "long " * 8]
+    rows = [(i, "\n".join(random.choices(some, k=random.randint(1, 9)))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, "new " * 9), (103, "new " * 9), (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, line_report(df, m, 6).collect()), key=str) == brute_words(rows, m, 6)
+    kept = {r.doc_id: r.text for r in remove_repeated_lines(df, m, 6).collect()}
+    assert kept[102] and kept[103] == ""
+
+
+def test_words_equal_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from jobtables.llm.line_dedup import WORDS_SQL
+    from jobtables.llm.queries import op3_line_dedup_words
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF01}/documents.parquet')")
+    want = sorted(map(tuple, con.execute(WORDS_SQL).fetchall()))
+    assert sorted(map(tuple, op3_line_dedup_words(spark, SF01).collect())) == want
+    fewer = con.execute(ORACLE_SQL).fetchall()
+    assert sum(r[2] for r in want) > sum(r[2] for r in fewer)
