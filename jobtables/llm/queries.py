@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobtables.llm import embedding_dedup, line_dedup, mixing, url_filters
+from jobtables.llm import embedding_dedup, line_dedup, mixing, prefix_trie, url_filters
 from jobtables.llm.shared import read_table
 
 
@@ -68,6 +68,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(read_table(spark, sf_dir, "documents"), length=200)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_nodes(read_table(spark, sf_dir, "conversations"))
+
+
 def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(read_table(spark, sf_dir, "pages"), url_filters.RULES)
 
@@ -84,6 +88,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op3_line_dedup_words": op3_line_dedup_words,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_url_filters": op12_url_filters,
 }
 
@@ -92,5 +97,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup_words": line_dedup.WORDS_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
     "op10_embedding_dedup": embedding_dedup.ORACLE_SQL,
+    "op11_prefix_trie": prefix_trie.ORACLE_SQL,
     "op12_url_filters": url_filters.ORACLE_SQL,
 }
