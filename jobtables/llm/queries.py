@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobtables.llm import embedding_dedup, line_dedup, mixing, prefix_trie, url_filters
+from jobtables.llm import embedding_dedup, line_dedup, mixing, prefix_trie, spelling, url_filters
 from jobtables.llm.shared import read_table
 
 
@@ -76,6 +76,10 @@ def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(read_table(spark, sf_dir, "pages"), url_filters.RULES)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op8_simhash": op8_simhash,
     "op1_quality": op1_quality,
@@ -90,6 +94,7 @@ QUERIES = {
     "op7_suffix_dedup": op7_suffix_dedup,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_url_filters": op12_url_filters,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -99,4 +104,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op11_prefix_trie": prefix_trie.ORACLE_SQL,
     "op12_url_filters": url_filters.ORACLE_SQL,
+    "op13_spelling": spelling.ORACLE_SQL,
 }
