@@ -6,7 +6,7 @@ every query built on them grows with the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -110,15 +110,19 @@ def dedup_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strict_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """dedup_log where every failure names a job: the user's first request.
-    Once that job is closed, later failures naming it are stale, so the
-    strict replay (E3) and the plain one (E2) part ways."""
+    """dedup_log where every failure names a job.  Every fifth event id names
+    the user's first request (stale once that job is closed); the others name
+    the user's latest request, which closes the current job where that request
+    has created it, so long chains of jobs arise."""
     log = dedup_log(spark, sf_dir)
-    first = (log.where(F.col("kind") == "request").groupBy("user_id")
-             .agg(F.min_by("id", F.struct("t", "id")).alias("first_request")))
-    return log.join(first, "user_id", "left").select(
-        "id", "user_id", "t", "kind",
-        F.when(F.col("kind") == "fail", F.col("first_request")).alias("target"))
+    request = F.when(F.col("kind") == "request", F.col("id"))
+    w = Window.partitionBy("user_id").orderBy("t", "id")
+    named = F.when(F.col("id") % 5 == 0, F.first(request, ignorenulls=True).over(
+        w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))) \
+        .otherwise(F.last(request, ignorenulls=True).over(
+            w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return log.select("id", "user_id", "t", "kind",
+                      F.when(F.col("kind") == "fail", named).alias("target"))
 
 
 def claim_log(spark: SparkSession, sf_dir: str, starved: bool = False) -> DataFrame:

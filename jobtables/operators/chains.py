@@ -12,32 +12,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtables.session import cut_lineage, ensure_checkpoint_dir
+from jobtables.scratch import Scratch
 
 
-def chain_members(succ: DataFrame, starts: DataFrame, node: str = "id",
+def chain_members(succ: DataFrame, starts: DataFrame, scratch: Scratch, node: str = "id",
                   max_rounds: int = 64) -> DataFrame:
     """Return (node, start, pos) for every node on the chain from each start.
 
     ``succ`` has columns (node, "next"); ``starts`` one column ``node``.
     Chains must not cycle (positions strictly increase along ``next``).
     """
-    spark = succ.sparkSession
-    ensure_checkpoint_dir(spark)
-    jump = cut_lineage(succ.select(F.col(node).alias("a"), F.col("next").alias("b")))
-    members = cut_lineage(starts.select(F.col(node).alias("n"), F.col(node).alias("start"),
-                                        F.lit(0).cast("bigint").alias("pos")))
+    jump = scratch.table(succ.select(F.col(node).alias("a"), F.col("next").alias("b")), "jump")
+    rounds = [scratch.table(starts.select(F.col(node).alias("n"), F.col(node).alias("start"),
+                                          F.lit(0).cast("bigint").alias("pos")), "members")]
     step = 1
     for _ in range(max_rounds):
         if jump.isEmpty():
             break
+        members = _union(rounds)
         reached = (members.join(jump, members["n"] == jump["a"])
                    .select(F.col("b").alias("n"), "start", (F.col("pos") + step).alias("pos")))
-        members = cut_lineage(members.unionByName(reached))
+        rounds.append(scratch.table(reached, "members"))
         j2 = jump.alias("x").join(jump.alias("y"), F.col("x.b") == F.col("y.a"))
-        jump = cut_lineage(j2.select(F.col("x.a").alias("a"), F.col("y.b").alias("b")))
+        last, jump = jump, scratch.table(
+            j2.select(F.col("x.a").alias("a"), F.col("y.b").alias("b")), "jump")
+        scratch.drop(last)
         step *= 2
     else:
         if not jump.isEmpty():
             raise RuntimeError(f"chains longer than 2^{max_rounds} steps (a cycle?)")
-    return members.select(F.col("n").alias(node), "start", "pos")
+    return _union(rounds).select(F.col("n").alias(node), "start", "pos")
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobtables.functions.naming import keyed_id
+from jobtables.operators.chains import chain_members
 from jobtables.operators.ordered import join_on_keys, running_sums
 from jobtables.schema import KEY, STATUS_FAILED, STATUS_PENDING
+from jobtables.scratch import Scratch
 
 
 # A KEY is heavy if it has more than one in so many of a batch's requests.
@@ -138,11 +140,10 @@ def dedup_strict(log: DataFrame, keys: Sequence[str], t: str = "t", rid: str = "
     (log2 of the chain length rounds of joins), so no KEY's history is ever
     gathered into one task or one group.  Returns E2's columns.
     """
-    from jobtables.operators.chains import chain_members
-
-    ordered = running_sums(
-        log, keys, [t, rid],
-        {"n_req": F.when(F.col(kind) == "request", 1).otherwise(0).cast("bigint")})
+    scratch = Scratch(log.sparkSession, "strict")
+    ordered = scratch.table(running_sums(
+        log.select(rid, *keys, t, kind, target), keys, [t, rid],
+        {"n_req": F.when(F.col(kind) == "request", 1).otherwise(0).cast("bigint")}), "ordered")
     req = ordered.where(F.col(kind) == "request").select(rid, *keys, t, F.col("n_req").alias("rank"))
     fails = ordered.where(F.col(kind) == "fail").select(
         *keys, F.col(target).alias("named"), F.col("n_req").alias("reqs_before"))
@@ -158,23 +159,18 @@ def dedup_strict(log: DataFrame, keys: Sequence[str], t: str = "t", rid: str = "
     by_rank = req.select(*keys, F.col("rank").alias("next_rank"), F.col(rid).alias("next"))
     succ = join_on_keys(nxt, by_rank, [*keys, "next_rank"]).select(rid, "next")
     starts = req.where(F.col("rank") == 1).select(rid)
-    members = chain_members(succ, starts, node=rid, max_rounds=max_rounds)
-    # members: rid of each creating request with its chain position (= gen order)
-    jobs = members.join(req, rid).select(*keys, F.col("rank").alias("job_rank"),
-                                         F.col(rid).alias("job_id"))
-    # each request belongs to the latest job created at or before it: rank of
-    # the creating request <= own rank; number the jobs per KEY and carry
-    # the job forward with a running sum over the union.
-    marks = req.select(rid, *keys, F.col("rank"), F.lit(0).cast("bigint").alias("is_job"))
-    jm = jobs.select(F.col("job_id").alias(rid), *keys, F.col("job_rank").alias("rank"),
-                     F.lit(1).cast("bigint").alias("is_job"))
-    both = marks.unionByName(jm)
-    numbered = running_sums(both, keys, ["rank", F.col("is_job").desc()],
-                            {"gen": F.col("is_job")})
-    mine = numbered.where(F.col("is_job") == 0)
-    job_of_gen = numbered.where(F.col("is_job") == 1).select(*keys, "gen",
-                                                              F.col(rid).alias("job_id"))
-    out = join_on_keys(mine, job_of_gen, [*keys, "gen"], "left")
-    out = out.join(req.select(rid, t), rid)
-    return out.select(rid, *keys, t, (F.col("gen") - 1).alias("gen"), "job_id",
+    # a creating request's position in its chain is its generation
+    members = chain_members(succ, starts, scratch, node=rid, max_rounds=max_rounds)
+    jobs = scratch.table(members.join(req, rid).select(
+        *keys, F.col("rank").alias("job_rank"), F.col(rid).alias("job_id"),
+        F.col("pos").alias("gen")), "jobs")
+    # a request belongs to the latest job created at or before it: the running
+    # count of jobs, a job being counted before the request that created it
+    marks = req.select(rid, *keys, t, "rank", F.lit(0).cast("bigint").alias("is_job"))
+    jm = jobs.select(*keys, F.col("job_rank").alias("rank"), F.lit(1).cast("bigint").alias("is_job"))
+    both = marks.unionByName(jm, allowMissingColumns=True).withColumn("after", 1 - F.col("is_job"))
+    numbered = running_sums(both, keys, ["rank", "after"], {"n_jobs": F.col("is_job")})
+    mine = numbered.where(F.col("is_job") == 0).withColumn("gen", F.col("n_jobs") - 1)
+    out = join_on_keys(mine, jobs.select(*keys, "gen", "job_id"), [*keys, "gen"], "left")
+    return out.select(rid, *keys, t, "gen", "job_id",
                       (F.col(rid) == F.col("job_id")).alias("created"))

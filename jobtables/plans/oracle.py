@@ -270,10 +270,11 @@ SELECT id, user_id, t, gen, FIRST_VALUE(id) OVER w AS job_id, id = FIRST_VALUE(i
 FROM r WINDOW w AS (PARTITION BY user_id, gen ORDER BY t, id)"""
 
 SQL["dedup_strict"] = "WITH RECURSIVE " + DEDUP_LOG + """,
- firsts AS (SELECT user_id, arg_min(id, (t, id)) AS first_request FROM dlog
-   WHERE kind = 'request' GROUP BY user_id),
- slog AS (SELECT l.*, CASE WHEN kind = 'fail' THEN f.first_request END AS target
-   FROM dlog l LEFT JOIN firsts f USING (user_id)),
+ slog AS (SELECT *, CASE WHEN kind = 'fail' THEN CASE WHEN id % 5 = 0
+   THEN first_value(CASE WHEN kind = 'request' THEN id END IGNORE NULLS) OVER (PARTITION BY user_id
+     ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+   ELSE last_value(CASE WHEN kind = 'request' THEN id END IGNORE NULLS) OVER (PARTITION BY user_id
+     ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END END AS target FROM dlog),
  o AS (SELECT *, CAST(SUM(CASE WHEN kind = 'request' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id
    ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS n_req FROM slog),
  req AS (SELECT id, user_id, t, n_req AS rank FROM o WHERE kind = 'request'),

@@ -63,24 +63,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 
-
-def cut_lineage(df, with_count: bool = False):
-    """Reliable checkpoint of ``df`` in ``spark.checkpoint.dir``, computing the
-    plan once.
-
-    ``Dataset.checkpoint()`` runs the plan for its eager count and then again
-    to write the files; keeping the rows (memory, spilling to disk) for the
-    duration lets the write read them back instead.  The returned DataFrame
-    reads the checkpoint files only, so the cache is dropped at once.  With
-    ``with_count`` the row count (taken while the rows are kept) is returned
-    too.
-    """
-    from pyspark import StorageLevel
-    ensure_checkpoint_dir(df.sparkSession)
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = kept.count() if with_count else None
-        out = kept.checkpoint(eager=True)
-    finally:
-        kept.unpersist()
-    return (out, n) if with_count else out

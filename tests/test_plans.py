@@ -73,11 +73,14 @@ def test_generations_window_is_split_by_segment(spark):
 def test_hot_key_spans_many_segments(spark):
     """A key holding a third of the rows is split over several tasks."""
     from pyspark.sql import functions as F
-    from jobtables.operators.ordered import segment
+    from jobtables.operators.ordered import SEG, Segments
     df = spark.range(30000).select(
         F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 1000).alias("k"),
         F.col("id").alias("t"))
-    seg = segment(df, ["k"], ["t"], segments=8)
+    cut = Segments(df, ["k"], ["t"], 8)
+    seg = cut.deal(df)
+    parts = seg.groupBy(F.spark_partition_id().alias("p")).agg(F.min(SEG), F.max(SEG)).collect()
+    assert all(tuple(r) == (r["p"],) * 3 for r in parts)  # one segment per task
     n = seg.where("k = 0").select("_seg").distinct().count()
     assert n >= 3, n
     biggest = seg.groupBy("_seg").count().agg(F.max("count")).first()[0]
