@@ -166,6 +166,57 @@ def edges_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def scoped_edges_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges per snapshot ``(repository, commit_hash)``: an order's edges lie in
+    the repository of its key, in two commits that differ in some lines; other
+    edges lie in one snapshot each."""
+    def node(prefix, col):
+        return F.concat(F.lit(prefix), F.col(col).cast("string"))
+
+    def repo(col):
+        return F.concat(F.lit("repo/"), (F.col(col) % 30).cast("string")).alias("repository")
+
+    def commit(n):
+        return F.concat(F.lit("c"), n.cast("string")).alias("commit_hash")
+
+    both = F.explode(F.array(F.lit(0), F.lit(1))).alias("c")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey",
+                                                 "l_linenumber", both)
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", both)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", both)
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    parts = [
+        li.where((F.col("l_linenumber") + F.col("c")) % 3 != 0).select(
+            repo("l_orderkey"), commit(F.col("c")), node("o", "l_orderkey").alias("src"),
+            F.explode(F.array(node("p", "l_partkey"), node("s", "l_suppkey"))).alias("dst")),
+        o.select(repo("o_orderkey"), commit(F.col("c")), node("o", "o_orderkey").alias("src"),
+                 node("c", "o_custkey").alias("dst")),
+        c.select(repo("c_custkey"), commit(F.col("c_custkey") % 2),
+                 node("c", "c_custkey").alias("src"), node("n", "c_nationkey").alias("dst")),
+        s.select(repo("s_suppkey"), commit(F.col("s_suppkey") % 2),
+                 node("s", "s_suppkey").alias("src"), node("n", "s_nationkey").alias("dst")),
+        n.select(repo("n_nationkey"), commit(F.col("c")), node("n", "n_nationkey").alias("src"),
+                 node("r", "n_regionkey").alias("dst")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def odd_repositories_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repository texts with slashes in odd places, one per event."""
+    i = F.col("event_id")
+    name = F.concat(F.lit("r"), (i % 11).cast("string"))
+    forms = ["", "/", "//", "///"]
+    odd = [F.lit(x) for x in forms] + [
+        name, F.concat(name, F.lit("/")), F.concat(F.lit("/"), name), F.concat(F.lit("a//"), name, F.lit("//")),
+        F.concat(F.lit("https://host/x/"), name, F.lit("/")), F.concat(name, F.lit(".git")),
+        F.concat(F.lit("."), F.lit("/"), name), F.concat(name, F.lit("/.."))]
+    return table(spark, sf_dir, "events").select(
+        F.element_at(F.array(*odd), (i % len(odd) + 1).cast("int")).alias("repository"))
+
+
 def query_root(query_string: str) -> F.Column:
     """The node that a job's query asks about: ``q<k>`` asks for the
     dependencies of order node ``o<k>``."""

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobtables.functions.status import ts_ntz
+from jobtables.operators.ordered import join_on_keys
+from jobtables.operators.quantiles import exact_quantiles
 from jobtables.schema import (
     KEY,
     STATUS_FAILED,
@@ -21,6 +23,8 @@ from jobtables.schema import (
     STATUSES,
 )
 
+PERCENTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+
 
 def audit_live_key(jobs: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """A1: KEYs holding more than one live (non-failed) job."""
@@ -92,8 +96,12 @@ def audit_columns(jobs: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_jobs")))
 
 
+def _micros(a: str, b: str) -> F.Column:
+    return F.timestamp_diff("MICROSECOND", F.col(a), F.col(b))
+
+
 def _secs(a: str, b: str) -> F.Column:
-    return F.timestamp_diff("MICROSECOND", F.col(a), F.col(b)) / 1_000_000
+    return _micros(a, b) / 1_000_000
 
 
 def wait_run_times(jobs: DataFrame, by: Sequence[str] = ("repository",)) -> DataFrame:
@@ -109,15 +117,19 @@ def wait_run_times(jobs: DataFrame, by: Sequence[str] = ("repository",)) -> Data
         F.max(r).alias("max_run_s"))
 
 
-def wait_run_quantiles(jobs: DataFrame, by: Sequence[str] = ("repository",),
-                       q: Sequence[float] = (0.5, 0.9, 0.99), accuracy: int = 10000
-                       ) -> DataFrame:
-    """A6, quantiles: ``percentile_approx`` keeps a bounded sketch per group
-    (an exact percentile would buffer every value of a hot group)."""
-    w, r = _secs("queue_time", "start_time"), _secs("start_time", "finish_time")
-    return jobs.groupBy(*by).agg(
-        F.percentile_approx(w, list(q), accuracy).alias("wait_q_s"),
-        F.percentile_approx(r, list(q), accuracy).alias("run_q_s"))
+def wait_run_percentiles(jobs: DataFrame, by: Sequence[str] = ("repository",),
+                         q: dict[str, float] = PERCENTILES) -> DataFrame:
+    """A6, percentiles: exact ones of the wait and run times per group, in
+    seconds (null: no job of the group has started, or finished)."""
+    by = list(by)
+    names = [f"{n}_{kind}_s" for kind in ("wait", "run") for n in q]
+    times = jobs.select(*by, _micros("queue_time", "start_time").alias("wait"),
+                        _micros("start_time", "finish_time").alias("run"))
+    out = jobs.select(*by).distinct()
+    for kind in ("wait", "run"):
+        found = exact_quantiles(times, by, kind, {f"{n}_{kind}_s": f for n, f in q.items()})
+        out = join_on_keys(out, found, by, "left")
+    return out.select(*by, *[(F.col(n) / 1_000_000).alias(n) for n in names])
 
 
 def reuse_rate(resolved: DataFrame) -> DataFrame:

@@ -143,6 +143,19 @@ def _run_jobs(s, d):
                     root=fx.query_root("query_string"))
 
 
+def run_jobs_scoped(s, d):
+    """G3 where every snapshot (repository, commit) has a graph of its own."""
+    from jobtables.plans.run_jobs import run_jobs
+    return run_jobs(_jobs(s, d), fx.polls_v(s, d), fx.repos_v(s, d), fx.scoped_edges_v(s, d),
+                    root=fx.query_root("query_string"),
+                    scope=("repository", "commit_hash")).outcomes
+
+
+def odd_basenames(s, d):
+    repos = fx.odd_repositories_v(s, d).distinct()
+    return repos.select("repository", repo_basename("repository").alias("basename"))
+
+
 def run_jobs_outcomes(s, d):
     return _run_jobs(s, d).outcomes
 
@@ -170,6 +183,7 @@ QUERIES: dict[str, Query] = {
     "job_view": lambda s, d: lookup.job_view(fifo.pending(_jobs(s, d)), nested=False),
     "finish_outcomes": finish_outcomes,
     "repo_basename": basenames,
+    "repo_basename_odd": odd_basenames,
     # joins
     "enqueue_resolve": lambda s, d: dedup.enqueue_resolve(fx.requests_v(s, d), _jobs(s, d)),
     "enqueue_new_jobs": lambda s, d: dedup.enqueue_new_jobs(fx.requests_v(s, d), _jobs(s, d)),
@@ -207,6 +221,7 @@ QUERIES: dict[str, Query] = {
     "audit_stuck": lambda s, d: audit.audit_stuck(_jobs(s, d), STUCK_NOW, STUCK_LIMIT_S),
     "audit_columns": lambda s, d: audit.audit_columns(_jobs(s, d)),
     "wait_run_times": lambda s, d: audit.wait_run_times(_jobs(s, d)),
+    "wait_run_percentiles": lambda s, d: audit.wait_run_percentiles(_jobs(s, d)),
     "reuse_rate": lambda s, d: audit.reuse_rate(
         dedup.enqueue_resolve(fx.requests_v(s, d), _jobs(s, d))),
     # dependency closure
@@ -215,4 +230,5 @@ QUERIES: dict[str, Query] = {
     "run_jobs": run_jobs_outcomes,
     "run_jobs_state": run_jobs_state,
     "run_jobs_results": run_jobs_results,
+    "run_jobs_scoped": run_jobs_scoped,
 }

@@ -198,6 +198,15 @@ SQL["repo_basename"] = _with(JOBS_V, REQUESTS_V) + """SELECT repository,
       ELSE regexp_extract(rtrim(repository, '/'), '[^/]*$') END AS basename
 FROM (SELECT repository FROM jobs_v UNION SELECT repository FROM requests_v)"""
 
+SQL["repo_basename_odd"] = """SELECT repository,
+ CASE WHEN repository = '' THEN '.' WHEN rtrim(repository, '/') = '' THEN '/'
+      ELSE regexp_extract(rtrim(repository, '/'), '[^/]*$') END AS basename
+FROM (SELECT DISTINCT CASE event_id % 12 WHEN 0 THEN '' WHEN 1 THEN '/' WHEN 2 THEN '//'
+ WHEN 3 THEN '///' WHEN 4 THEN r WHEN 5 THEN r || '/' WHEN 6 THEN '/' || r
+ WHEN 7 THEN 'a//' || r || '//' WHEN 8 THEN 'https://host/x/' || r || '/' WHEN 9 THEN r || '.git'
+ WHEN 10 THEN './' || r ELSE r || '/..' END AS repository
+ FROM (SELECT event_id, 'r' || CAST(event_id % 11 AS VARCHAR) AS r FROM events))"""
+
 # -- joins ---------------------------------------------------------------------
 
 LIVE = (f"live AS (SELECT {KEYS}, MIN(id) AS live_id FROM jobs_v WHERE status <> 'failed' "
@@ -454,6 +463,11 @@ SQL["wait_run_times"] = _with(JOBS_V) + f"""SELECT repository, COUNT(*) AS n_job
  MAX({_W}) AS max_wait_s, AVG({_R}) AS avg_run_s, MAX({_R}) AS max_run_s
 FROM jobs_v GROUP BY repository"""
 
+SQL["wait_run_percentiles"] = _with(JOBS_V) + "SELECT repository, " + ", ".join(
+    f"quantile_disc(date_diff('microsecond', {a}, {b}), {q}) / 1000000 AS {n}_{kind}_s"
+    for kind, a, b in (("wait", "queue_time", "start_time"), ("run", "start_time", "finish_time"))
+    for n, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))) + " FROM jobs_v GROUP BY repository"
+
 SQL["reuse_rate"] = _with(JOBS_V, REQUESTS_V, LIVE, FIRSTS, KEYMAP, RESOLVED) + """SELECT
  COUNT(*) AS n_requests, COUNT(*) FILTER (WHERE created) AS n_created,
  COUNT(*) FILTER (WHERE NOT created) AS n_reused, COUNT(DISTINCT job_id) AS n_jobs,
@@ -502,4 +516,38 @@ FROM jobs_v j LEFT JOIN outcomes o ON o.job_id = j.id"""
 SQL["run_jobs_results"] = _RUN + """SELECT cl.id AS job_id, c.node FROM claimed cl
  JOIN c ON c.root = 'o' || substr(cl.query_string, 2) WHERE cl.workspace IS NOT NULL"""
 
+_SCOPED_EDGES = """edges_s AS (SELECT DISTINCT 'repo/' || CAST(k % 30 AS VARCHAR) AS repository,
+  'c' || CAST(c AS VARCHAR) AS commit_hash, src, dst FROM (
+  SELECT l_orderkey AS k, c, 'o' || CAST(l_orderkey AS VARCHAR) AS src,
+    unnest(['p' || CAST(l_partkey AS VARCHAR), 's' || CAST(l_suppkey AS VARCHAR)]) AS dst
+    FROM lineitem, range(2) t(c) WHERE (l_linenumber + c) % 3 <> 0
+  UNION ALL SELECT o_orderkey, c, 'o' || CAST(o_orderkey AS VARCHAR), 'c' || CAST(o_custkey AS VARCHAR)
+    FROM orders, range(2) t(c)
+  UNION ALL SELECT c_custkey, c_custkey % 2, 'c' || CAST(c_custkey AS VARCHAR),
+    'n' || CAST(c_nationkey AS VARCHAR) FROM customer
+  UNION ALL SELECT s_suppkey, s_suppkey % 2, 's' || CAST(s_suppkey AS VARCHAR),
+    'n' || CAST(s_nationkey AS VARCHAR) FROM supplier
+  UNION ALL SELECT n_nationkey, c, 'n' || CAST(n_nationkey AS VARCHAR), 'r' || CAST(n_regionkey AS VARCHAR)
+    FROM nation, range(2) t(c)))"""
+SQL["run_jobs_scoped"] = "WITH RECURSIVE " + ",\n".join(
+    [JOBS_V, POLLS_V, REPOS_V, _SCOPED_EDGES]) + """,
+ q AS (SELECT id, repository, commit_hash, 'o' || substr(query_string, 2) AS root,
+   ROW_NUMBER() OVER (ORDER BY queue_time, id) AS rank FROM jobs_v WHERE status = 'pending'),
+ p AS (SELECT *, ROW_NUMBER() OVER (ORDER BY poll_time, poll_id) AS rank FROM polls_v),
+ cl AS (SELECT q.*, p.worker_name, p.poll_time, r.workspace
+   FROM p JOIN q USING (rank) LEFT JOIN repos_v r ON r.repository = q.repository),
+ c(repository, commit_hash, root, node) AS (
+   SELECT repository, commit_hash, root, root FROM cl WHERE workspace IS NOT NULL
+   UNION SELECT c.repository, c.commit_hash, c.root, e.dst FROM c JOIN edges_s e
+     ON c.node = e.src AND c.repository = e.repository AND c.commit_hash = e.commit_hash),
+ n AS (SELECT repository, commit_hash, root, COUNT(*) AS n FROM c GROUP BY ALL)
+SELECT cl.id AS job_id, cl.repository, cl.worker_name AS worker,
+ CASE WHEN workspace IS NULL THEN 'failed' ELSE 'succeeded' END AS status,
+ poll_time AS start_time, poll_time AS finish_time,
+ CASE WHEN workspace IS NOT NULL THEN 'gs://results/' || CAST(cl.id AS VARCHAR) || '.pb' END AS result_url,
+ CASE WHEN workspace IS NULL THEN 'workspace for repo "' || cl.repository || '" not found' END
+   AS result_error,
+ CAST(CASE WHEN workspace IS NULL THEN 0 ELSE n.n END AS BIGINT) AS n_deps
+FROM cl LEFT JOIN n USING (repository, commit_hash, root)"""
+
 ORACLE_SQL = SQL

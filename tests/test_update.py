@@ -110,5 +110,5 @@ def test_audits(spark):
     assert cols == {"succeeded: result_url missing": 1}
     t = audit.wait_run_times(jobs).first()
     assert (t.n_jobs, t.max_run_s) == (3, 9.0)
-    q = audit.wait_run_quantiles(jobs).first()
-    assert len(q.run_q_s) == 3
+    q = audit.wait_run_percentiles(jobs).first()
+    assert (q.p50_wait_s, q.p50_run_s, q.p99_run_s) == (0.0, 5.0, 9.0)
