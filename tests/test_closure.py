@@ -1,8 +1,13 @@
 """Dependency closure (G1, G2) and the flagship batch."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from jobtables.operators import closure
 from jobtables.operators.closure import deps_closure, deps_reach
+from jobtables.scratch import Scratch, scratch_scope
 
 
 def test_cycle_terminates(spark):
@@ -30,8 +35,92 @@ def test_scoped_snapshots(spark):
     assert got == [("r1", "a", "a"), ("r1", "a", "b"), ("r2", "a", "a"), ("r2", "a", "c")]
 
 
+def plain(edges, roots):
+    """Reachable nodes per root, by a walk."""
+    out = set()
+    nexts = {}
+    for a, b in edges:
+        nexts.setdefault(a, set()).add(b)
+    for r in roots:
+        todo, seen = [r], {r}
+        while todo:
+            new = nexts.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        out |= {(r, n) for n in seen}
+    return out
+
+
+@pytest.mark.parametrize("per_part,stride_after", [(100_000, 1), (3, 1), (2, None)])
+def test_random_graphs(spark, monkeypatch, per_part, stride_after):
+    """Cycles, repeated edges, hubs and long paths; strides and split hubs
+    change no pair."""
+    monkeypatch.setattr(closure, "LEAST_HEAVY", 2)
+    monkeypatch.setattr(closure, "COMPACT_AFTER", 3)
+    rnd = random.Random(per_part)
+    edges = [(f"n{rnd.randint(0, 30)}", f"n{rnd.randint(0, 30)}") for _ in range(30)]
+    edges += [(f"p{i}", f"p{i + 1}") for i in range(25)] + [("n1", "p0"), ("p25", "hub")]
+    edges += [(f"n{i}", "hub") for i in range(12)] + [("hub", f"h{i}") for i in range(15)]
+    edges += edges[:20]
+    roots = [f"n{i}" for i in range(15)] + ["p3", "alone"]
+    e = spark.createDataFrame(edges, "src string, dst string")
+    r = spark.createDataFrame([(x,) for x in roots], "root string")
+    got = [tuple(x) for x in deps_closure(e, r, stride_after=stride_after, per_part=per_part).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain(edges, roots)
+    reach = [x.node for x in deps_reach(e, r, stride_after=stride_after, per_part=per_part).collect()]
+    assert sorted(reach) == sorted({n for _, n in plain(edges, roots)})
+
+
+def test_500_levels_in_few_rounds(spark):
+    chain = [(i, i + 1) for i in range(500)]
+    side = [(i, 10_000 + i) for i in range(500)]  # every level branches
+    e = spark.createDataFrame(chain + side, "src long, dst long")
+    r = spark.createDataFrame([(0,), (100,)], "root long")
+    got = deps_closure(e, r, max_rounds=16)
+    assert {tuple(x) for x in got.collect()} == plain(chain + side, [0, 100])
+
+
+def test_hub_is_no_single_task(spark):
+    """20,000 of 40,000 frontier rows lie on one node of many edges: no task of
+    the round holds more than twice the mean."""
+    n, rows = 8, 40_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = spark.range(50).selectExpr("'hub' AS src", "concat('x', id) AS dst").unionByName(
+            spark.range(rows).selectExpr("concat('n', id) AS src", "concat('y', id) AS dst"))
+        frontier = spark.range(rows).selectExpr(
+            "id AS root", "if(id % 2 = 0, 'hub', concat('n', id)) AS node")
+        steps = closure._Steps(edges, [], Scratch(spark, "t"), n, 10)
+        assert steps.has_hubs
+        out = steps.follow(frontier, ["root", "node"], rows)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        steps.close()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(sizes) == rows // 2 * 50 + rows // 2
+    hot = sorted(sizes)[-n:]
+    assert max(hot) <= 2 * sum(hot) / len(hot)
+
+
+def test_scope_frees_tables_and_folders(spark):
+    import os
+    root = spark.sparkContext.getCheckpointDir().replace("file:", "")
+
+    def listed():
+        return sorted(os.listdir(root)), sorted(t.name for t in spark.catalog.listTables())
+    before = listed()
+    e = spark.createDataFrame([(i, i + 1) for i in range(20)], "src long, dst long")
+    r = spark.createDataFrame([(0,)], "root long")
+    with scratch_scope(spark):
+        assert deps_closure(e, r).count() == 21
+        assert listed() != before
+    assert listed() == before
+
+
 def test_max_rounds_raises(spark):
-    import pytest
     edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
     roots = spark.createDataFrame([("a",)], "root string")
     with pytest.raises(RuntimeError):
