@@ -2,47 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from jobtables.session import ensure_checkpoint_dir
-
+from jobtables import scratch
+from jobtables.scratch import delete_path  # noqa: F401
 
-class Scratch:
-    """Intermediate tables of one operator call, in the shared folder.
 
-    The folder lies below ``spark.checkpoint.dir``, so the tables outlive any
-    executor and cut the lineage of what reads them.  ``drop`` frees a table
-    as soon as its last reader is done.
-    """
+class Scratch(scratch.Scratch):
+    """Intermediate tables of one operator call, in the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-        self._n = 0
-
-    def path(self, name: str) -> str:
-        self._n += 1
-        return f"{self.root}/{self._n:03d}-{name}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and return a reader of the written rows."""
-        path = self.path(name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete written tables; nothing may read them any more."""
-        for t in tables:
-            delete_path(self.spark, t.scratch_path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        super().__init__(spark, f"llm-{name}")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -97,3 +97,37 @@ def test_equals_sql(spark):
     got = mix(spark.read.parquet(f"{SF01}/documents.parquet"))
     assert names == got.columns
     assert sorted(cur.fetchall()) == sorted(tuple(r) for r in got.collect())
+
+
+@pytest.mark.parametrize("same_text", [True, False])
+def test_repeated_ids_reach_the_target(spark, same_text):
+    """400 documents and 600 rows of one id, with one text or many: whatever
+    the seed, the words taken lie within 1 % of the target."""
+    rows = [(i, "a", "w " * 100) for i in range(400)]
+    rows += [(1_000, "a", "w " * 99 + ("w" if same_text else f"v{i}")) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").cache()
+    for seed in (1, 2, 3, 7, 9):
+        got = mix(df, seed=seed).collect()
+        assert len(got) == 1_000 and {r.taken for r in got} <= {100, 200}
+        assert abs(sum(r.taken for r in got) - 150_000) <= 1_500
+        assert sorted(got) == sorted(mix(df.repartition(5), seed=seed).collect())
+    assert abs(mixed_documents(df, seed=3).count() - 1_500) <= 15
+
+
+def test_equals_sql_with_copies_and_small_sources(spark):
+    duckdb = pytest.importorskip("duckdb")
+    import random
+
+    import pandas as pd
+
+    from jobtables.llm.mixing import ORACLE_SQL
+    rnd = random.Random(5)
+    rows = [(rnd.choice([1, 2, 3, None, rnd.randint(0, 500)]), rnd.choice(["a", "a", "b", "ç", None]),
+             rnd.choice(["x " * rnd.randint(0, 40), "y " * 7, None, ""])) for _ in range(900)]
+    documents = pd.DataFrame(rows, columns=["doc_id", "source", "text"])
+    documents["doc_id"] = documents["doc_id"].astype("Int64")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT * FROM documents")
+    want = con.execute(ORACLE_SQL).fetchall()
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    assert sorted(want, key=str) == sorted((tuple(r) for r in mix(df).collect()), key=str)
