@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtables.llm.files import open_fs
+from jobtables.llm.sampling import smallest_hashes
 from jobtables.llm.shared import Scratch, shuffle_partitions
 
 DICT_MAGIC, SKIP_LOW, SKIP_HIGH, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0x184D2A5F, 0xFD2FB528
@@ -200,13 +201,16 @@ def read_file(uri: str, strict: bool = True) -> Iterator[tuple[int, dict | None,
 
 
 def train_dictionary(pages: DataFrame, text: str = "html") -> bytes:
-    """A dictionary trained on at most ``SAMPLE_PAGES`` pages, the first
-    ``SAMPLE_CHARS`` characters of each; it bears on the ratio only.  Too few
-    samples give plain content instead."""
+    """A dictionary trained on at most ``SAMPLE_PAGES`` pages, chosen by the
+    smallest hashes of id and url, the first ``SAMPLE_CHARS`` characters of
+    each; it bears on the ratio only.  Too few samples give plain content
+    instead."""
     import zstandard
-    rows = pages.select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t"),
-                        F.xxhash64(text).alias("h")).where("t <> ''") \
-        .orderBy("h", "t").limit(SAMPLE_PAGES).collect()
+    rows = smallest_hashes(
+        pages.select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t"),
+                     F.xxhash64("page_id", "url").alias("h")), F.col("h"), SAMPLE_PAGES, pages.count()) \
+        .where("t <> ''").groupBy("h").agg(F.min("t").alias("t")) \
+        .orderBy("h").limit(SAMPLE_PAGES).collect()
     samples = [build_record(k, None, r["t"].encode("utf-8", "surrogatepass"), False, None)
                for k, r in enumerate(rows)]
     try:
