@@ -92,6 +92,10 @@ class NeighbourModel:
         sims = x @ self.vectors.T
         k = min(self.neighbours, sims.shape[1])
         near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+        # of equally near neighbours at the k-th place the first of the sample count
+        least = np.take_along_axis(sims, near, 1).min(axis=1, keepdims=True)
+        for row in np.flatnonzero((sims >= least).sum(axis=1) > k):
+            near[row] = np.argsort(-sims[row], kind="stable")[:k]
         w = np.maximum(np.take_along_axis(sims, near, 1), 0.0).astype(float) ** self.power
         w *= self.weights[near]
         total = w.sum(axis=1)
