@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobtables.llm.components import connected_components
+from jobtables.llm.sampling import smallest_hashes
 from jobtables.llm.shared import Scratch
 
 BLOCK = 1024
 SAMPLE = 4096
 _SLACK = 1e-9  # of the bounds; the last comparison has none
-_BLOCKS = ("label int, dim int, part int, seq int, low double, high double, ids binary, "
+_BLOCKS = ("label string, dim int, part int, seq int, low double, high double, ids binary, "
            "copies binary, vectors binary")
 
 
@@ -160,8 +161,8 @@ def _compare(axes: dict[int, np.ndarray], threshold: float):
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """One row per input row: ``vec_id, n_links, component_id, kept``.
 
-    ``vectors(vec_id, embedding, label)``: rows are compared if their labels
-    are equal and not null and their vectors have the same length; vectors
+    ``vectors(vec_id, embedding, label)``: rows are compared if their labels,
+    of any simple type, are equal and not null and their vectors have the same length; vectors
     that are null, empty, zero or hold null or non-finite components have no
     links and are a component of their own.  Repeated rows, and rows that
     repeat an id, count as vectors each.  Null ids count as links but never as
@@ -177,7 +178,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataF
               & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
               & F.exists("vector", lambda x: x != 0.0))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"),
-                          F.col("label").cast("int").alias("label"), v.alias("vector"))
+                          F.col("label").cast("string").alias("label"), v.alias("vector"))
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False))) \
         .withColumn("h1", F.when(F.col("usable"), F.xxhash64("label", "vector"))) \
         .withColumn("h2", F.when(F.col("usable"), F.xxhash64(F.lit("second"), "vector", "label")))
@@ -189,14 +190,15 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataF
             F.count("*").alias("copies"), F.min("vec_id").alias("least"))
         .withColumn("dim", F.size("vector")).withColumn("did", F.monotonically_increasing_id()),
         "distinct")
-    sample = distinct.orderBy(F.xxhash64("h1"), "h2").limit(SAMPLE).select("vector").collect()
+    n = distinct.count()
+    sample = smallest_hashes(distinct.withColumn("order", F.xxhash64("h1")), F.col("order"), SAMPLE, n) \
+        .orderBy("order", "h2").limit(SAMPLE).select("vector").collect()
     by_dim: dict[int, list] = {}
     for r in sample:
         by_dim.setdefault(len(r["vector"]), []).append(r["vector"])
     axes = {r["dim"]: np.eye(r["dim"]) for r in distinct.select("dim").distinct().collect()}
     axes |= {d: _rotation(_unit(np.array(x, float))) for d, x in by_dim.items()}
 
-    n = distinct.count()
     blocks = scratch.table(_packed(distinct, axes, max(1, -(-n // BLOCK))), "blocks") \
         .withColumn("block", F.col("part").cast("long") * F.lit(1 << 32) + F.col("seq"))
     meta = blocks.select("block", "label", "dim", "low", "high")

@@ -93,3 +93,14 @@ def test_bounds_drop_no_pair(threshold):
     want = np.argwhere(np.einsum("ik,jk->ij", x, y) >= threshold)
     close = {tuple(p) for p in np.argwhere(np.abs(x @ y.T - threshold) < 1e-12).tolist()}
     assert set(zip(i.tolist(), j.tolist())) ^ set(map(tuple, want.tolist())) <= close
+
+
+def test_labels_of_any_type(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [1.0, 0.001], "a"), (3, [1.0, 0.0], "b"), (4, [1.0, 0.0], None)]
+    text = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    assert sorted((r.vec_id, r.n_links) for r in near_duplicate_vectors(text).collect()) == \
+        [(1, 1), (2, 1), (3, 0), (4, 0)]
+    wide = spark.createDataFrame([(i, v, None if k is None else 2**40 + ord(k)) for i, v, k in rows],
+                                 "vec_id long, embedding array<double>, label long")
+    assert sorted((r.vec_id, r.n_links) for r in near_duplicate_vectors(wide).collect()) == \
+        [(1, 1), (2, 1), (3, 0), (4, 0)]
