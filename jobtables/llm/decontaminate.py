@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobtables.llm.shared import Scratch
+
 BLOCK_BYTES = 16 << 20
 PUNCTUATION = string.punctuation + "“”‘’„«»‹›¿¡…–—"
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
@@ -65,19 +67,19 @@ def _scan(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray,
     ha, hb = run_hashes(a, width)[at_a], run_hashes(b, width)[at_b]
     order = np.argsort(ha, kind="stable")
     lo, hi = (np.searchsorted(ha[order], hb, side) for side in ("left", "right"))
-    out = []
-    for k in np.flatnonzero(hi > lo):
-        j = int(at_b[k])
-        for i in at_a[order[lo[k]:hi[k]]].tolist():
-            if i and j and a[i - 1] == b[j - 1] and free_a[i - 1] and free_b[j - 1]:
-                continue  # part of the run that begins one word before
-            n = 0
-            while (i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]
-                   and free_a[i + n] and free_b[j + n]):
-                n += 1
-            if n >= width:
-                out.append((-n, i, j))
-    return out
+    each = hi - lo
+    if not each.sum():
+        return []
+    # all pairs of equal hashes by diagonal; neighbours on one make a longer run
+    j = np.repeat(at_b, each)
+    within = np.arange(len(j)) - np.repeat(np.cumsum(each) - each, each)
+    i = at_a[order[np.repeat(lo, each) + within]]
+    place = np.sort((i - j + len(b)) * (len(a) + 1) + i)
+    first = np.flatnonzero(np.diff(place, prepend=-2) != 1)
+    n = np.diff(np.append(first, len(place))) + width - 1
+    i = place[first] % (len(a) + 1)
+    j = i - (place[first] // (len(a) + 1) - len(b))
+    return list(zip((-n).tolist(), i.tolist(), j.tolist()))
 
 
 def tile(a: np.ndarray, b: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
@@ -89,7 +91,8 @@ def tile(a: np.ndarray, b: np.ndarray, min_match: int) -> list[tuple[int, int, i
         heapq.heapify(found)
         while found:  # the longest first; what earlier tiles left of a run goes back
             n, i, j = heapq.heappop(found)
-            free = free_a[i:i - n] & free_b[j:j - n]
+            # equal hashes are held against the ids themselves
+            free = free_a[i:i - n] & free_b[j:j - n] & (a[i:i - n] == b[j:j - n])
             if free.all():
                 tiles.append((i, j, -n))
                 free_a[i:i - n] = free_b[j:j - n] = False
@@ -111,12 +114,16 @@ class Block:
     vocabulary: dict[str, int] = field(default_factory=dict)
     item_ids: list[int | None] = field(default_factory=list)
     items: list[np.ndarray] = field(default_factory=list)
+    short: dict[int, list[tuple[int | None, np.ndarray]]] = field(default_factory=dict)
 
     def add(self, item_id: int | None, text: str | None) -> None:
-        ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
+        ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)],
+                       np.int64)
         if len(ids) >= self.min_match:
             self.item_ids.append(item_id)
-            self.items.append(np.array(ids, np.int64))
+            self.items.append(ids)
+        elif len(ids):  # its only seed is the whole item
+            self.short.setdefault(len(ids), []).append((item_id, ids))
 
     def finish(self) -> "Block":
         hashes = [run_hashes(x, self.min_match) for x in self.items]
@@ -126,6 +133,8 @@ class Block:
         order = np.argsort(self.seed, kind="stable")
         self.seed, self.seed_item, self.seed_at = (
             x[order] for x in (self.seed, self.seed_item, self.seed_at))
+        self.short_hashes = {n: np.concatenate([run_hashes(ids, n) for _, ids in held])
+                             for n, held in self.short.items()}
         return self
 
     def _ids(self, text: str) -> np.ndarray:
@@ -142,9 +151,24 @@ class Block:
     def matches(self, text: str | None) -> list[tuple]:
         """``(item_id, coverage, n_tiles, matched_words, n_words)`` of the items
         whose coverage reaches the threshold."""
-        if not text or not len(self.seed):
+        if not text or not (len(self.seed) or self.short):
             return []
         ids, k = self._ids(text), self.min_match
+        whole = [(item, 1.0, 1, n, n) for n in sorted(self.short) for item in self._whole(ids, n)]
+        return whole + (self._tiled(ids, k) if len(self.seed) else [])
+
+    def _whole(self, ids: np.ndarray, n: int) -> list[int | None]:
+        """Items of ``n`` words, fewer than ``min_match``, that occur whole."""
+        hashes = run_hashes(ids, n)
+        out = []
+        for k in np.flatnonzero(np.isin(self.short_hashes[n], hashes)).tolist():
+            item, want = self.short[n][k]
+            at = np.flatnonzero(hashes == self.short_hashes[n][k])
+            if (ids[at[:, None] + np.arange(n)] == want).all(axis=1).any():
+                out.append(item)
+        return out
+
+    def _tiled(self, ids: np.ndarray, k: int) -> list[tuple]:
         known = np.concatenate([[0], np.cumsum(ids > 0)])
         starts = np.flatnonzero(known[k:] - known[:-k] == k)
         if not len(starts):
@@ -187,8 +211,8 @@ class Block:
 def blocks(benchmark: DataFrame, min_match: int = 5, threshold: float = 0.8,
            block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
     """The benchmark in blocks of about ``block_bytes`` of text, one at a time
-    on the driver.  Items that are null or shorter than ``min_match`` words
-    match nothing."""
+    on the driver.  Items without words match nothing; one of fewer than
+    ``min_match`` words matches where it occurs whole."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")) \
         .where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -214,7 +238,11 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, min_match: int = 5
     spark, out = docs.sparkSession, None
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     names = [c.split()[0] for c in _SCHEMA.split(", ")]
+    scratch, shared = Scratch(spark, "tiling"), None
     for block in blocks(benchmark, min_match, threshold, block_bytes):
+        if shared is not None:  # one block is broadcast at a time
+            out = scratch.table(out, "pairs")
+            shared.destroy()
         shared = spark.sparkContext.broadcast(block)
 
         def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -238,8 +266,15 @@ def _is_contaminated(text: Column, shared) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, all columns."""
-    out = docs
+    out, shared, written = docs, None, None
+    scratch = Scratch(docs.sparkSession, "tiling")
     for block in blocks(benchmark, **params):
+        if shared is not None:  # one block is broadcast at a time
+            last, written = written, scratch.table(out, "kept")
+            out = written
+            shared.destroy()
+            if last is not None:
+                scratch.drop(last)
         shared = docs.sparkSession.sparkContext.broadcast(block)
         out = out.where(~_is_contaminated(F.col("text"), shared))
     return out

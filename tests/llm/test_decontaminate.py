@@ -114,3 +114,24 @@ def test_finds_whole_items_in_the_documents(spark):
     whole = {(r.doc_id, i) for r in docs.collect() for i, t in items
              if t in " ".join(words(r.text))}
     assert whole and whole <= got
+
+
+def test_short_items_match_whole(spark):
+    docs = spark.createDataFrame(
+        [(1, "alpha beta gamma delta"), (2, "x Alpha, beta gamma delta! y"), (3, "alpha beta gamma"),
+         (4, "alpha beta x gamma delta"), (5, "delta gamma beta alpha"), (6, "yes"), (7, "yesterday")],
+        "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "Yes.")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.coverage, r.n_words) for r in contaminated_pairs(docs, bench).collect())
+    assert got == [(1, 1, 1.0, 4), (2, 1, 1.0, 4), (6, 2, 1.0, 1)]
+    assert sorted(r.doc_id for r in decontaminate(docs, bench).collect()) == [3, 4, 5, 7]
+
+
+def test_repeated_words_are_scanned_in_bounded_time():
+    import time
+    a, b = np.ones(1_000, np.int64), np.ones(20_000, np.int64)
+    t = time.time()
+    assert tile(a, b, 5) == [(0, 0, 1_000)]
+    broken = np.tile(np.array([1] * 300 + [2], np.int64), 60)
+    tiles = tile(a, broken, 5)
+    assert time.time() - t < 5 and sum(n for _, _, n in tiles) == 1_000
