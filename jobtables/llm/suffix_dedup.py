@@ -124,9 +124,9 @@ def suffix_array(text: list[int]) -> list[int]:
 # -------------------------------------------------------------------- anchors
 
 @lru_cache(maxsize=8)
-def _powers_to(bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers_to(bits: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+    for base in (base, pow(base, -1, 1 << 64)):
         p = np.full(1 << bits, base, np.uint64)
         p[0] = 1
         out.append(np.multiply.accumulate(p))
@@ -138,7 +138,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def anchors(data: bytes, length: int = LENGTH, k: int = ANCHOR):
+def _base(attempt: int) -> int:
+    """Odd bases, one per attempt."""
+    return (_BASE * (2 * attempt + 1) + 4 * attempt) % (1 << 64)
+
+
+def anchors(data: bytes, length: int = LENGTH, k: int = ANCHOR, attempt: int = 0):
     """``(anchor, first start, last start, hash of the anchor, hash of the
     piece)`` as arrays; a piece reaches from its first start to ``length``
     bytes after its last one."""
@@ -147,7 +152,7 @@ def anchors(data: bytes, length: int = LENGTH, k: int = ANCHOR):
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
     w = length - k + 1  # k-byte pieces in a string
     bits = max(16, len(data).bit_length())
-    powers, inverse = _powers_to(bits)
+    powers, inverse = _powers_to(bits, _base(attempt))
     b = np.frombuffer(data, np.uint8)
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * powers[:len(b)], out=sums[1:])
@@ -174,18 +179,30 @@ def anchors(data: bytes, length: int = LENGTH, k: int = ANCHOR):
     return anchor[first], first, last, h[anchor[first]], piece
 
 
-_ANCHORS = "k1 long, k2 long, h long, piece long, anchor long, first long, last long"
+def second_hash(data: bytes, first: np.ndarray, last: np.ndarray, length: int, attempt: int
+                ) -> np.ndarray:
+    """Hash of each piece with another base than that of its first hash."""
+    powers, inverse = _powers_to(max(16, len(data).bit_length()), _base(attempt + 1))
+    b = np.frombuffer(data, np.uint8)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * powers[:len(b)], out=sums[1:])
+    return _mixed((sums[last + length] - sums[first]) * inverse[first])
+
+
+_ANCHORS = "k1 long, k2 long, h long, piece long, second long, anchor int, first int, last int"
 
 
-def _all_anchors(rows: DataFrame, length: int, k: int) -> DataFrame:
+def _all_anchors(rows: DataFrame, length: int, k: int, attempt: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             held, size = [], 0
             for k1, k2, data in zip(pdf["k1"], pdf["k2"], pdf["data"]):
-                a, first, last, h, piece = anchors(data, length, k)
+                a, first, last, h, piece = anchors(data, length, k, attempt)
                 if len(a):
+                    second = second_hash(data, first, last, length, attempt)
                     held.append((np.full(len(a), k1), np.full(len(a), k2), h.view(np.int64),
-                                 piece.view(np.int64), a, first, last))
+                                 piece.view(np.int64), second.view(np.int64),
+                                 *(x.astype(np.int32) for x in (a, first, last))))
                     size += len(a)
                 if size > 200_000:
                     yield frame(held)
@@ -354,22 +371,29 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: int = ANCHOR,
-                   group: int = GROUP) -> DataFrame:
+                   group: int = GROUP, attempt: int = 0) -> DataFrame:
     """``(k1, k2, spans)``: per key the byte spans covered by strings of
-    ``length`` bytes that also start elsewhere (they may overlap)."""
+    ``length`` bytes that also start elsewhere (they may overlap).
+
+    Pieces count as equal if two hashes of different bases agree; where only
+    one does, all is done again with other bases."""
     if not 16 <= k <= length <= k + 255:
         raise ValueError("needs 16 <= k <= length <= k + 255")
     rows = _keyed(docs).where(F.octet_length("data") >= length)
-    found = _all_anchors(rows, length, k)
+    found = scratch.table(_all_anchors(rows, length, k, attempt), "found")
     twice = scratch.table(
         found.groupBy("h").agg(F.count("*").alias("n"), F.min("piece").alias("p1"),
                                F.max("piece").alias("p2"))
         .where("n > 1").select("h", (F.col("p1") != F.col("p2")).alias("mixed")), "repeated")
     again = scratch.table(found.join(twice, "h"), "anchors")
+    scratch.drop(found)
     place = F.struct("k1", "k2", "anchor", "first", "last")
     pieces = scratch.table(
-        again.groupBy("h", "piece").agg(F.count("*").alias("copies"), F.min(place).alias("at"),
-                                        F.first("mixed").alias("mixed")), "pieces")
+        again.groupBy("h", "piece").agg(
+            F.count("*").alias("copies"), F.min(place).alias("at"), F.first("mixed").alias("mixed"),
+            (F.min("second") != F.max("second")).alias("differ")), "pieces")
+    if pieces.where("differ").first() is not None:
+        return repeated_spans(docs, scratch, length, k, group, attempt + 1)
     # one representative's text of each piece whose anchor has other pieces too
     wanted = pieces.where("mixed").groupBy("at.k1", "at.k2").agg(F.collect_list(
         F.struct("h", "piece", "at.anchor", "at.first", "at.last")).alias("wanted"))
