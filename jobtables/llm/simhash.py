@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtables.llm.components import connected_components
-from jobtables.llm.shared import Scratch
+from jobtables.llm.shared import Scratch, shuffle_partitions
 
 SEED = 42  # of XXH64
 _SLICE = 2_000_000  # shingle hashes held at once while bits are counted
@@ -105,6 +105,8 @@ def link_fingerprints(fps: DataFrame, max_bits: int) -> DataFrame:
         flips = [segs[nxt]] + [segs[nxt].bitwiseXOR(F.lit(1 << b).cast("long"))
                                for b in range(widths[nxt])]
         probe += [F.struct(chain, key(i, s)) for s in flips]
+    # few files hold many fingerprints: all tasks take part in the expansion
+    fps = fps.repartition(2 * shuffle_partitions(fps.sparkSession), "fp")
     a = fps.select(F.col("fp").alias("u"), F.explode(F.array(*probe)).alias("x")) \
         .select("u", "x.chain", "x.key")
     b = fps.select(F.col("fp").alias("v"), F.explode(F.array(*index)).alias("x")) \
@@ -120,23 +122,18 @@ def link_fingerprints(fps: DataFrame, max_bits: int) -> DataFrame:
         .where(_bits(diff) <= max_bits).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str = "doc_id",
-                    width: int = 4, max_bits: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Fingerprint every row and find the components of linked fingerprints.
+def near_duplicates(rows: DataFrame, scratch: Scratch, max_bits: int = 4) -> DataFrame:
+    """Components of linked fingerprints of ``rows(doc_id, fp)``.
 
-    Returns ``(rows, groups)``, both tables in ``scratch``: ``rows(doc_id,
-    fp)`` has one row per input row; ``groups(fp, label, n_rows,
-    component_id)`` one row per distinct fingerprint, where ``label`` is the
+    Returns ``groups(fp, label, n_rows, component_id)``, a table in
+    ``scratch`` with one row per distinct fingerprint, where ``label`` is the
     smallest fingerprint of the component, ``n_rows`` the input rows of the
     whole component and ``component_id`` its smallest id (null if all are).
 
     Null and empty texts have the fingerprint zero, linked like any other;
-    texts of fewer words than ``width`` are one shingle.  Rows of one id keep
-    a fingerprint each.  An empty table gives two empty tables.
+    texts of fewer words than the shingles are one shingle.  Rows of one id
+    keep a fingerprint each.  An empty table gives an empty table.
     """
-    rows = scratch.table(
-        docs.select(F.col(doc_id).cast("long").alias("doc_id"),
-                    fingerprint(F.col(text), width).alias("fp")), "fingerprints")
     own = scratch.table(
         rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "distinct")
     comps = connected_components(link_fingerprints(own.select("fp"), max_bits), scratch)
@@ -148,14 +145,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", doc_i
         .select("fp", "label", F.col("n").alias("n_rows"), F.col("least").alias("component_id"))
     together = linked.where("component IS NOT NULL").select("fp", "label").join(per, "label") \
         .select("fp", "label", "n_rows", "component_id")
-    return rows, scratch.table(alone.unionByName(together), "groups")
+    return scratch.table(alone.unionByName(together), "groups")
 
 
 def simhash_components(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataFrame:
     """One row per input row: ``doc_id``, ``fingerprint`` (16 hex digits) and
     ``component_id`` (the smallest id of the component)."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows, groups = near_duplicates(docs, scratch, width=width, max_bits=max_bits)
+    rows = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                                     fingerprint(F.col("text"), width).alias("fp")), "fingerprints")
+    groups = near_duplicates(rows, scratch, max_bits)
     return rows.join(groups.select("fp", "component_id"), "fp") \
         .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -166,13 +165,17 @@ def keep_one_per_group(docs: DataFrame, width: int = 4, max_bits: int = 4) -> Da
     scratch = Scratch(docs.sparkSession, "simhash-keep")
     cols = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"))
+    # one pass over the texts; the written number tells equal rows apart
     tagged = scratch.table(
-        row.select("row", F.col("row.doc_id").cast("long").alias("doc_id"),
-                   fingerprint(F.col("row.text"), width).alias("fp")), "tagged")
-    _, groups = near_duplicates(tagged.select("doc_id", F.col("row.text").alias("text")),
-                                scratch, width=width, max_bits=max_bits)
-    many = groups.where("n_rows > 1").select("fp", "label")
-    single = tagged.join(many, "fp", "left_anti").select("row.*")
-    best = tagged.join(many, "fp").groupBy("label").agg(F.min_by(
-        "row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("row"))).alias("row"))
-    return single.unionByName(best.select("row.*")).select(*[F.col(f"`{c}`") for c in cols])
+        row.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row").alias("hash"),
+                   fingerprint(F.col("row.text"), width).alias("fp"),
+                   F.monotonically_increasing_id().alias("number")), "tagged")
+    ids = tagged.select("number", "doc_id", "hash", "fp")
+    groups = near_duplicates(ids.select("doc_id", "fp"), scratch, max_bits)
+    many = scratch.table(ids.join(groups.where("n_rows > 1").select("fp", "label"), "fp"), "many")
+    best = many.groupBy("label").agg(F.min_by("number", F.struct(
+        F.col("doc_id").isNull(), "doc_id", "hash", "number")).alias("number"))
+    # texts are not grouped: the numbers of the rows that go are taken out
+    gone = many.select("number").join(best.select("number"), "number", "left_anti")
+    return tagged.join(gone, "number", "left_anti").select("row.*") \
+        .select(*[F.col(f"`{c}`") for c in cols])
