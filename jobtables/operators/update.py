@@ -117,7 +117,8 @@ def rejected_finishes(jobs: DataFrame, finishes: DataFrame, strict: bool = False
     the batch has finished), with the reason.  A finish with neither result
     set never reaches the store and is not refused."""
     f = _set_finishes(finishes).select("finish_id", "job_id", "finish_ts")
-    m = f.join(_jobs_per_id(jobs), F.col("job_id") == F.col("_id"), "left")
+    named = jobs.join(f.select(F.col("job_id").alias("id")).distinct(), "id", "left_semi")
+    m = f.join(_jobs_per_id(named), F.col("job_id") == F.col("_id"), "left")
     reason = (F.when(F.col("_n").isNull(), F.lit(ERR_JOB_NOT_FOUND))
               .when(F.col("_n") > 1, F.lit("more than one job with this id")))
     if strict:
@@ -184,3 +185,38 @@ def job_state_fold(events: DataFrame) -> DataFrame:
     return agg.select(
         F.col("job_id").alias("id"), *KEY, _kind_to_status(F.col("_last")).alias("status"),
         "worker", "queue_time", "start_time", "finish_time", "result_url", "result_error")
+
+
+def event_accumulators(events: DataFrame) -> DataFrame:
+    """A life-cycle event as the accumulator of a log that holds it only (one
+    row per event; merge them with :func:`merge_accumulators`)."""
+    kind, ts = F.col("kind"), F.col("ts")
+
+    def at(kinds: list[str], **values) -> F.Column:
+        return F.when(kind.isin(*kinds), F.struct(ts.alias("ts"), *[
+            F.col(c).alias(n) for n, c in values.items()]))
+    return events.select(
+        F.col("job_id"),
+        F.struct(ts.alias("ts"), _kind_rank().alias("rank"), kind.alias("kind")).alias("last"),
+        at(["request"], **{k: k for k in KEY}).alias("request"),
+        F.when(kind == "request", ts).alias("queue_time"),
+        at(["start"], worker="worker").alias("start"),
+        F.when(kind.isin("succeed", "fail"), ts).alias("finish_time"),
+        at(["succeed"], result="result").alias("success"),
+        at(["fail"], result="result").alias("failure"))
+
+
+def merge_accumulators(acc: DataFrame) -> DataFrame:
+    """One accumulator per job: every field is a maximum or minimum, so logs
+    can be merged in any order and any number of pieces."""
+    last = [F.max(c).alias(c) for c in ("last", "request", "start", "finish_time", "success", "failure")]
+    return acc.groupBy("job_id").agg(*last, F.min("queue_time").alias("queue_time"))
+
+
+def accumulated_jobs(acc: DataFrame) -> DataFrame:
+    """U4's job rows from merged accumulators."""
+    return acc.select(
+        F.col("job_id").alias("id"), *[F.col(f"request.{k}").alias(k) for k in KEY],
+        _kind_to_status(F.col("last.kind")).alias("status"), F.col("start.worker").alias("worker"),
+        "queue_time", F.col("start.ts").alias("start_time"), "finish_time",
+        F.col("success.result").alias("result_url"), F.col("failure.result").alias("result_error"))

@@ -11,13 +11,19 @@ from jobtables.schema import JOB_COLUMNS, DUMP_RENAMES
 
 
 def write_events(events: DataFrame, path: str, mode: str = "append",
-                 files_per_date: int = 8) -> None:
+                 files_per_date: int = 8, batch: str | None = None) -> None:
     """Append life-cycle facts, partitioned by event date so a reader of
     recent days prunes the rest.  A date's rows go to at most
-    ``files_per_date`` files of a call."""
+    ``files_per_date`` files of a call.  With ``batch`` the rows lie in
+    folders of that batch, and writing the batch again replaces its own rows,
+    so a repeated call adds nothing twice."""
     salt = F.pmod(F.xxhash64(F.col("job_id").cast("string")), F.lit(files_per_date))
-    (events.withColumn("event_date", F.to_date("ts"))
-     .repartition("event_date", salt).write.mode(mode).partitionBy("event_date").parquet(path))
+    dated = events.withColumn("event_date", F.to_date("ts")).repartition("event_date", salt)
+    if batch is None:
+        dated.write.mode(mode).partitionBy("event_date").parquet(path)
+    else:
+        dated.withColumn("batch", F.lit(batch)).write.mode("overwrite") \
+            .option("partitionOverwriteMode", "dynamic").partitionBy("batch", "event_date").parquet(path)
 
 
 def result_rows(results: DataFrame, bucket: str, job_id: str = "job_id",

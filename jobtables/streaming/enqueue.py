@@ -30,13 +30,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_job_table(spark: SparkSession, base: str, new_jobs_dir: str, before_batch: int,
-                   events: DataFrame | None = None) -> DataFrame:
+                   events: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
     """The job snapshot a micro-batch resolves against: the base table plus
     the new jobs of every earlier batch (ids as text, the model's type).  A
     replayed batch does not see its own earlier output.
 
-    Columns that only the base has are null in the new jobs.  ``events`` is a
-    life-cycle log; a job's last event there sets its status.
+    Columns that only the base has are null in the new jobs.  ``keys``: only
+    jobs of these KEYs are read.  ``events`` is a life-cycle log; a job's last
+    event there sets its status, and only events of the jobs read are folded.
     """
     base_df = spark.read.parquet(base).withColumn("id", F.col("id").cast("string"))
     jobs = base_df
@@ -46,8 +47,13 @@ def read_job_table(spark: SparkSession, base: str, new_jobs_dir: str, before_bat
         extra = spark.read.schema(schema).parquet(new_jobs_dir) \
             .where(F.col("batch") < before_batch).drop("batch")
         jobs = base_df.unionByName(extra, allowMissingColumns=True)
+    if keys is not None:
+        jobs = jobs.join(keys, KEY, "left_semi")
     if events is not None:
-        last = job_state_fold(events.withColumn("job_id", F.col("job_id").cast("string"))) \
+        events = events.withColumn("job_id", F.col("job_id").cast("string"))
+        if keys is not None:
+            events = events.join(jobs.select(F.col("id").alias("job_id")), "job_id", "left_semi")
+        last = job_state_fold(events) \
             .select("id", F.col("status").alias("_status"))
         jobs = jobs.join(last, "id", "left") \
             .withColumn("status", F.coalesce("_status", "status")).drop("_status")
@@ -64,8 +70,8 @@ def enqueue_batch(batch: DataFrame, batch_id: int, jobs_base: str, out_dir: str,
         events = None
         if events_dir is not None and _exists(spark, events_dir):
             events = spark.read.parquet(events_dir)
-        jobs = read_job_table(spark, jobs_base, f"{out_dir}/jobs", batch_id, events)
-        jobs = jobs.join(batch.select(*KEY).distinct(), KEY, "left_semi")
+        jobs = read_job_table(spark, jobs_base, f"{out_dir}/jobs", batch_id, events,
+                              batch.select(*KEY).distinct())
         res = enqueue_resolve(batch, jobs)
         new = enqueue_new_jobs(batch, jobs).drop("first_request_id")
         res.write.mode("overwrite").parquet(f"{out_dir}/resolved/batch={batch_id}")

@@ -1,21 +1,25 @@
-"""Streaming operators (T1-T3, T5, T6) over Structured Streaming.
-
-Each keeps bounded state per key in the state store (RocksDB when configured):
-a current job id (T1), an aggregation buffer (T2), the watermark-bounded
-seen-set (T3), a start time with an event-time timer (T5), two counters (T6).
-Rows of one key inside one micro-batch are folded in (t, id) order; order
-across micro-batches is arrival order, as in the reference's service.
+"""Streaming operators (T1-T3, T5) over Structured Streaming.
+
+Each keeps bounded state per key in the state store: a current job id (T1), an
+aggregation buffer (T2), the watermark-bounded seen-set (T3), a start time with
+an event-time timer (T5).  T1 and T5 are stateful processors with typed state
+variables and timers (``transformWithStateInPandas``), which need the RocksDB
+state store.  Rows of one key inside one micro-batch take effect in (t, id)
+order; order across micro-batches is arrival order, as in the reference's
+service.  T4, T6 and T3's side table of late rows run per micro-batch over
+:class:`~jobtables.streaming.state_table.StateTable`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from jobtables.functions.timefmt import ntz_to_instant
 
@@ -24,8 +28,74 @@ def _field(df: DataFrame, name: str) -> T.StructField:
     return next(f for f in df.schema.fields if f.name == name)
 
 
+def _micros(times: pd.Series) -> np.ndarray:
+    return times.astype("datetime64[us]").astype("int64").to_numpy()
+
+
+def _only_timer(handle: StatefulProcessorHandle, at_ms: int) -> None:
+    """Let ``at_ms`` be the key's one timer."""
+    for old in list(handle.listTimers()):
+        if old != at_ms:
+            handle.deleteTimer(old)
+    handle.registerTimer(at_ms)
+
+
 # -- T1: streaming dedup with failure reset -----------------------------------
 
+class _Dedup(StatefulProcessor):
+    """State per KEY: the live job's id (none after a failure), and the latest
+    time seen where a TTL is set."""
+
+    def __init__(self, keys, t, rid, kind, id_type, ttl_ms, out_columns):
+        self.keys, self.t, self.rid, self.kind = keys, t, rid, kind
+        self.id_type, self.ttl_us, self.out_columns = id_type, (ttl_ms or 0) * 1000, out_columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.current = handle.getValueState("current", T.StructType([
+            T.StructField("job_id", self.id_type, True), T.StructField("last_us", T.LongType(), True)]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # chunks are streamed; of a row only its time, id and kind are held
+        held = [(_micros(c[self.t]), c[self.rid].to_numpy(), (c[self.kind] == "request").to_numpy(),
+                 (c[self.kind] == "fail").to_numpy()) for c in rows]
+        us, ids, request, fail = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((ids, us))
+        us, ids, request, fail = us[order], ids[order], request[order], fail[order]
+        live, last = self.current.get() if self.current.exists() else (None, None)
+        quiet = np.zeros(len(us), bool)
+        if self.ttl_us:  # the KEY went quiet for longer than the TTL
+            before = np.maximum.accumulate(np.concatenate([[us[0] if last is None else last], us]))
+            quiet = us - before[:-1] > self.ttl_us
+            last = int(before[-1])
+        # a failure, or a quiet time before a row, ends a generation
+        upto = np.cumsum(quiet) + np.cumsum(fail)
+        gen = (upto - fail)[request]
+        found, first = np.unique(gen, return_index=True)
+        asked = ids[request]
+        opened = dict(zip(found.tolist(), asked[first].tolist()))
+        if live is not None and 0 in opened:
+            opened[0] = live
+        end = int(upto[-1])
+        live = opened.get(end, live if end == 0 else None)
+        self.current.update((live, last))
+        if self.ttl_us:
+            _only_timer(self.handle, max((last + self.ttl_us) // 1000,
+                                         timerValues.getCurrentWatermarkInMs() + 1))
+        if len(asked):
+            jobs = [opened[g] for g in gen.tolist()]
+            out = {self.rid: asked, "job_id": jobs, "created": [a == j for a, j in zip(asked.tolist(), jobs)]}
+            out |= {k: [key[i]] * len(asked) for i, k in enumerate(self.keys)}
+            yield pd.DataFrame(out)[self.out_columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.current.clear()  # quiet for longer than the TTL
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def dedup_stream(log: DataFrame, keys: Sequence[str], t: str = "t", rid: str = "id",
                  kind: str = "kind", state_ttl_ms: int | None = None,
                  delay: str | None = None) -> DataFrame:
@@ -47,52 +117,14 @@ def dedup_stream(log: DataFrame, keys: Sequence[str], t: str = "t", rid: str = "
     out_schema = T.StructType([_field(log, rid), *[_field(log, k) for k in keys],
                                T.StructField("job_id", id_type, True),
                                T.StructField("created", T.BooleanType(), False)])
-    state_schema = T.StructType([T.StructField("job_id", id_type, True),
-                                 T.StructField("last_ms", T.LongType(), True)])
-
-    def fold(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(chunks), ignore_index=True).sort_values([t, rid], kind="stable")
-        cur, last = state.get if state.exists else (None, None)
-        ids, jobs, created = [], [], []
-        times = (pdf[t].astype("datetime64[us]").astype("int64") // 1000).tolist()
-        for i, k, ms in zip(pdf[rid].tolist(), pdf[kind].tolist(), times):
-            if state_ttl_ms and last is not None and ms - last > state_ttl_ms:
-                cur = None          # the KEY went quiet for longer than the TTL
-            last = ms if last is None else max(last, ms)
-            if k == "request":
-                new = cur is None
-                if new:
-                    cur = i
-                ids.append(i)
-                jobs.append(cur)
-                created.append(new)
-            elif k == "fail":
-                cur = None
-        state.update((cur, last))
-        if state_ttl_ms:
-            # purge the state of a KEY that stays quiet (event-time timer, which
-            # must lie past the watermark)
-            state.setTimeoutTimestamp(
-                max(last + state_ttl_ms, state.getCurrentWatermarkMs() + 1))
-        if ids:
-            out = {rid: ids, "job_id": jobs, "created": created}
-            for j, k in enumerate(keys):
-                out[k] = [key[j]] * len(ids)
-            yield pd.DataFrame(out)[[f.name for f in out_schema.fields]]
-
     cols = [rid, *keys, t, kind]
     if state_ttl_ms:
         log = (log.withColumn("_event_time", ntz_to_instant(t))
                .withWatermark("_event_time", delay))
         cols.append("_event_time")
-        timeout = GroupStateTimeout.EventTimeTimeout
-    else:
-        timeout = GroupStateTimeout.NoTimeout
-    return (log.select(*cols).groupBy(*keys)
-            .applyInPandasWithState(fold, out_schema, state_schema, "append", timeout))
+    processor = _Dedup(keys, t, rid, kind, id_type, state_ttl_ms, out_schema.names)
+    return log.select(*cols).groupBy(*keys).transformWithStateInPandas(
+        processor, out_schema, "Append", "EventTime" if state_ttl_ms else "None")
 
 
 # -- T2: streaming current state ----------------------------------------------
@@ -109,7 +141,8 @@ def job_state_stream(events: DataFrame) -> DataFrame:
 def drop_resent(stream: DataFrame, id_col: str, ts_col: str, delay: str) -> DataFrame:
     """Drop re-sent copies of a row (same ``id_col``) that arrive within
     ``delay`` of event time; state is purged as the watermark passes, and a
-    copy older than the watermark is dropped as late."""
+    copy older than the watermark is dropped as late
+    (:func:`~jobtables.streaming.resent.start_resent_stream` keeps late rows)."""
     return (stream.withColumn("_event_time", ntz_to_instant(ts_col))
             .withWatermark("_event_time", delay)
             .dropDuplicatesWithinWatermark([id_col]).drop("_event_time"))
@@ -117,6 +150,58 @@ def drop_resent(stream: DataFrame, id_col: str, ts_col: str, delay: str) -> Data
 
 # -- T5: stuck-job alarm -------------------------------------------------------
 
+class _StuckAlarm(StatefulProcessor):
+    """State per job: its first start, its first finish, and whether the alarm
+    is decided; one timer at the end of the limit."""
+
+    def __init__(self, limit_us: int):
+        self.limit_us = limit_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", T.StructType([
+            T.StructField("worker", T.StringType(), True), T.StructField("start_us", T.LongType(), True),
+            T.StructField("finish_us", T.LongType(), True),
+            T.StructField("decided", T.BooleanType(), False)]))
+
+    def _alarm(self, key, worker, start, finish) -> Iterator[pd.DataFrame]:
+        if start is not None and (finish is None or finish > start + self.limit_us):
+            yield pd.DataFrame({"job_id": [key[0]], "worker": [worker],
+                                "start_time": [pd.Timestamp(start, unit="us")]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        worker, start, finish, decided = self.job.get() if self.job.exists() else (None, None, None, False)
+        for chunk in rows:  # minima only: no chunk is held
+            us = _micros(chunk["ts"])
+            ends = us[chunk["kind"].isin(["succeed", "fail"]).to_numpy()]
+            if len(ends):
+                finish = int(ends.min()) if finish is None else min(finish, int(ends.min()))
+            begins = chunk.assign(us=us)[chunk["kind"] == "start"]
+            if len(begins):
+                first = begins.sort_values(["us", "worker"], kind="stable").iloc[0]
+                if start is None or first["us"] < start:
+                    worker, start = first["worker"], int(first["us"])
+        if start is None and finish is None:
+            return  # requests only: no state
+        now = timerValues.getCurrentWatermarkInMs()
+        until = (finish if start is None else start + self.limit_us) // 1000
+        if start is not None and until <= now and not decided:
+            decided = True  # the watermark is past the limit already
+            yield from self._alarm(key, worker, start, finish)
+        self.job.update((worker, start, finish, decided))
+        _only_timer(self.handle, max(until, now) + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.job.exists():
+            worker, start, finish, decided = self.job.get()
+            self.job.clear()
+            if not decided:
+                yield from self._alarm(key, worker, start, finish)
+
+    def close(self) -> None:
+        pass
+
+
 def stuck_alarm_stream(events: DataFrame, limit_ms: int, delay: str) -> DataFrame:
     """T5: A4 online.  One alarm row (job_id, worker, start_time) per job whose
     first start has no succeed or fail within ``limit_ms`` of event time.
@@ -129,102 +214,12 @@ def stuck_alarm_stream(events: DataFrame, limit_ms: int, delay: str) -> DataFram
     job is remembered until the watermark has passed it.  ``request`` rows
     keep no state.
     """
-    id_type = _field(events, "job_id").dataType
-    out_schema = T.StructType([T.StructField("job_id", id_type, False),
+    out_schema = T.StructType([T.StructField("job_id", _field(events, "job_id").dataType, False),
                                T.StructField("worker", T.StringType(), True),
                                T.StructField("start_time", T.TimestampNTZType(), True)])
-    state_schema = T.StructType([T.StructField("worker", T.StringType(), True),
-                                 T.StructField("start_us", T.LongType(), True),
-                                 T.StructField("finish_us", T.LongType(), True),
-                                 T.StructField("decided", T.BooleanType(), False)])
-    limit_us = limit_ms * 1000
-
-    def alarm(key, worker, start):
-        return pd.DataFrame({"job_id": [key[0]], "worker": [worker],
-                             "start_time": [pd.Timestamp(start, unit="us")]})
-
-    def stuck(start, finish):
-        return start is not None and (finish is None or finish > start + limit_us)
-
-    def fold(key, chunks, state: GroupState):
-        worker, start, finish, decided = state.get if state.exists else (None, None, None, False)
-        if state.hasTimedOut:
-            state.remove()
-            if stuck(start, finish) and not decided:
-                yield alarm(key, worker, start)
-            return
-        for pdf in chunks:  # minima only: no chunk is held
-            us = pdf["ts"].astype("datetime64[us]").astype("int64")
-            ends = us[pdf["kind"].isin(["succeed", "fail"])]
-            if len(ends):
-                finish = int(ends.min()) if finish is None else min(finish, int(ends.min()))
-            begins = pdf.assign(us=us)[pdf["kind"] == "start"]
-            if len(begins):
-                first = begins.sort_values(["us", "worker"], kind="stable").iloc[0]
-                if start is None or first["us"] < start:
-                    worker, start = first["worker"], int(first["us"])
-        if start is None and finish is None:
-            return  # requests only: no state
-        now = state.getCurrentWatermarkMs()
-        until = (finish if start is None else start + limit_us) // 1000
-        if start is not None and until <= now and not decided:
-            decided = True  # the watermark is past the limit already
-            if stuck(start, finish):
-                yield alarm(key, worker, start)
-        state.update((worker, start, finish, decided))
-        state.setTimeoutTimestamp(max(until, now) + 1)
-
-    # requests move the watermark, so they are skipped in the fold, not here
+    # requests move the watermark, so they are skipped in the processor, not here
     return (events.withColumn("_event_time", ntz_to_instant("ts"))
             .withWatermark("_event_time", delay)
             .select("job_id", "kind", "ts", "worker", "_event_time")
             .groupBy("job_id")
-            .applyInPandasWithState(fold, out_schema, state_schema, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
-
-
-# -- T6: FIFO claim per repository online -------------------------------------
-
-def claim_ranks_stream(log: DataFrame, key: str = "repository", t: str = "t", rid: str = "id",
-                       kind: str = "kind") -> DataFrame:
-    """D4 per repository online.  State per repository: enqueues so far
-    (E) and claims so far (C), two numbers however long the queue.  Emits one
-    row per log row: an enqueue gets rank E+1; a poll gets rank C+1 when
-    C < E (else null: an empty poll, not remembered).  Matching polls to jobs
-    is then an equi-join on (repository, rank) of the emitted rows."""
-    out_schema = T.StructType([_field(log, key), _field(log, rid), _field(log, t),
-                               T.StructField(kind, T.StringType(), False),
-                               T.StructField("rank", T.LongType(), True)])
-    state_schema = T.StructType([T.StructField("E", T.LongType(), False),
-                                 T.StructField("C", T.LongType(), False)])
-
-    def fold(k, chunks, state: GroupState):
-        pdf = pd.concat(list(chunks), ignore_index=True).sort_values([t, rid], kind="stable")
-        e, c = state.get if state.exists else (0, 0)
-        ranks = []
-        for kd in pdf[kind].tolist():
-            if kd == "enqueue":
-                e += 1
-                ranks.append(e)
-            elif c < e:
-                c += 1
-                ranks.append(c)
-            else:
-                ranks.append(None)
-        state.update((e, c))
-        out = pdf[[key, rid, t, kind]].copy()
-        out["rank"] = pd.array(ranks, dtype="Int64")
-        yield out
-
-    return (log.select(key, rid, t, kind).groupBy(key)
-            .applyInPandasWithState(fold, out_schema, state_schema, "append",
-                                    GroupStateTimeout.NoTimeout))
-
-
-def match_claim_ranks(ranks: DataFrame, key: str = "repository", rid: str = "id",
-                      kind: str = "kind") -> DataFrame:
-    """Join T6's emitted rows: one row per poll with the job it claimed."""
-    polls = ranks.where(F.col(kind) == "poll").select(key, F.col(rid).alias("poll_id"), "rank")
-    jobs = ranks.where(F.col(kind) == "enqueue").select(key, F.col(rid).alias("job_id"), "rank")
-    return polls.join(jobs, [key, "rank"], "left").select(key, "poll_id", "job_id", "rank")
-
+            .transformWithStateInPandas(_StuckAlarm(limit_ms * 1000), out_schema, "Append", "EventTime"))

@@ -14,13 +14,14 @@ from jobtables.operators.dedup import dedup_generations, enqueue_resolve
 from jobtables.operators.fifo import claim_interleaved
 from jobtables.operators.update import job_state_fold
 from jobtables.sources.sinks import write_events
+from jobtables.streaming.claims import ClaimRanks, match_claim_ranks, start_claim_stream
 from jobtables.streaming.enqueue import enqueue_batch, start_enqueue_stream
+from jobtables.streaming.job_state import JobState, start_job_stream, stream_rows
+from jobtables.streaming.resent import ResentFilter, start_resent_stream
 from jobtables.streaming.stateful import (
-    claim_ranks_stream,
     dedup_stream,
     drop_resent,
     job_state_stream,
-    match_claim_ranks,
     stuck_alarm_stream,
 )
 
@@ -81,10 +82,13 @@ def test_t2_state_stream_equals_batch(spark):
     e.where("kind IN ('request', 'start')").write.parquet(f"{d}/land/a")
     e.where("kind NOT IN ('request', 'start')").write.parquet(f"{d}/land/b")
     src = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/land/*")
-    q = job_state_stream(src).writeStream.outputMode("complete").format("memory") \
-        .queryName("t2_state").start()
+    q = job_state_stream(src).writeStream.outputMode("update").foreachBatch(
+        lambda df, i: df.write.mode("overwrite").parquet(f"{d}/out/batch={i}")).start()
     _run(q)
-    got = {tuple(r) for r in spark.table("t2_state").collect()}
+    out = spark.read.parquet(f"{d}/out")
+    assert out.where("batch = 1").count() < out.where("batch = 0").count()  # only what changed
+    cols = [c for c in out.columns if c != "batch"]
+    got = {tuple(r.s) for r in out.groupBy("id").agg(F.max_by(F.struct(*cols), "batch").alias("s")).collect()}
     want = {tuple(r) for r in job_state_fold(ev).collect()}
     assert got == want
 
@@ -156,22 +160,26 @@ def test_t5_stuck_alarm_fires_once(spark):
 
 
 def test_t6_claim_ranks_stream_equals_batch(spark):
+    """Half of the log is one repository; stopped and started again, and the
+    last batch replayed."""
     e = fx.table(spark, SF001, "events").where(
         F.col("event_type").isin("click", "view", "purchase", "error"))
-    log = e.select(F.concat(F.lit("repo/"), (F.col("user_id") % 5).cast("string"))
+    log = e.select(F.when(F.col("event_id") % 2 == 0, "hot").otherwise(
+                       F.concat(F.lit("repo/"), (F.col("user_id") % 5).cast("string")))
                    .alias("repository"), F.col("event_id").alias("id"), F.col("ts").alias("t"),
                    F.when(F.col("event_type").isin("click", "view"), "enqueue")
                    .otherwise("poll").alias("kind"))
     d = _tmp()
     parts = _split_write(log, f"{d}/src", "t", 3)
-    _land(spark, parts, f"{d}/land", 3)
-    src = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1) \
-        .parquet(f"{d}/land/*")
-    q = claim_ranks_stream(src).writeStream.format("parquet").option("path", f"{d}/out") \
-        .option("checkpointLocation", f"{d}/ck").start()
-    _run(q)
+    ranks = ClaimRanks(spark, f"{d}/state")
+    for upto in (2, 3):
+        _land(spark, parts, f"{d}/land", upto)
+        src = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1) \
+            .parquet(f"{d}/land/*")
+        start_claim_stream(src, ranks, f"{d}/out", f"{d}/ck", available_now=True).awaitTermination()
+    ranks.apply(spark.read.parquet(parts[2]), 2, f"{d}/out/ranks/batch=2")
     got = {(r.poll_id, r.job_id)
-           for r in match_claim_ranks(spark.read.parquet(f"{d}/out")).collect()}
+           for r in match_claim_ranks(spark.read.parquet(f"{d}/out/ranks")).collect()}
     want = {(r.poll_id, r.job_id)
             for r in claim_interleaved(log, keys=["repository"]).collect()}
     assert got == want
@@ -289,3 +297,71 @@ def test_t4_failed_job_reopens_after_a_restart_and_extra_columns(spark):
     second = run()
     assert second[3][1] and second[3][0] != first[0][0]
     assert {k: v for k, v in second.items() if k != 3} == first
+
+
+def test_t3_late_rows_are_kept_aside(spark):
+    """A row sent twice, a late row and a copy after a restart: each id is
+    answered once, the late row lies in the side table."""
+    t0, m, d = dt.datetime(2024, 1, 1), dt.timedelta(minutes=1), _tmp()
+    sch = "event_id long, ts timestamp_ntz, v string"
+    batches = [[(1, t0, "a"), (1, t0, "a"), (2, t0 + 9 * m, "b")], [(3, t0 + 60 * m, "c"), (2, t0 + 9 * m, "b")],
+               [(4, t0 + 5 * m, "late"), (3, t0 + 60 * m, "c"), (5, t0 + 58 * m, "e"), (None, None, "n")]]
+    resent = ResentFilter(spark, f"{d}/state", spark.createDataFrame([], sch).schema["event_id"], "event_id",
+                          "ts", 600)
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, sch).coalesce(1).write.parquet(f"{d}/land/p{i}")
+        src = spark.readStream.schema(sch).parquet(f"{d}/land/*")
+        start_resent_stream(src, resent, f"{d}/out", f"{d}/ck", available_now=True).awaitTermination()
+    for _ in range(2):
+        kept = [r.event_id for r in spark.read.parquet(f"{d}/out/kept").collect()]
+        assert sorted(kept, key=str) == [1, 2, 3, 5, None]
+        assert [r.v for r in spark.read.parquet(f"{d}/out/late").collect()] == ["late"]
+        # the last batch again
+        resent.apply(spark.read.parquet(f"{d}/land/p2"), 2, f"{d}/out/kept/batch=2", f"{d}/out/late/batch=2")
+
+
+def test_t4_by_increments_reads_no_old_events(spark):
+    """request, fail, request over three runs: the KEY is opened again, and a
+    batch reads the buckets of its own jobs only."""
+    t0, m, d = dt.datetime(2024, 1, 1), dt.timedelta(minutes=1), _tmp()
+    base = spark.createDataFrame(
+        [("b1", "r", "c", "old", "succeeded", "w", t0, t0, t0, "u", None, None),
+         ("b2", "r", "c", "bad", "failed", "w", t0, t0, t0, None, "e", None)], JOB)
+    state = JobState(spark, f"{d}/state", buckets=8)
+    state.load(base)
+    def send(i, rows=None, events=None):
+        out = stream_rows(spark.createDataFrame(rows or [], REQ), kind=F.lit("enqueue"), ts=F.col("request_time"))
+        if events:
+            out = out.unionByName(stream_rows(spark.createDataFrame(
+                events, "job_id string, kind string, ts timestamp_ntz, worker string, result string")))
+        out.coalesce(1).write.parquet(f"{d}/land/p{i}")
+        src = spark.readStream.schema(out.schema).parquet(f"{d}/land/*")
+        start_job_stream(src, state, f"{d}/out", f"{d}/ck", available_now=True).awaitTermination()
+        return {r.request_id: (r.job_id, r.created)
+                for r in spark.read.schema(spark.read.parquet(f"{d}/out/resolved").schema)
+                .parquet(f"{d}/out/resolved").collect()}
+    first = send(0, [(1, "r", "c", "q", t0 + m), (2, "r", "c", "q", t0 + 2 * m), (3, "r", "c", "old", t0),
+                     (4, "r", "c", "bad", t0)])
+    assert first[1][1] and first[2] == (first[1][0], False) and first[3] == ("b1", False) and first[4][1]
+    second = send(1, events=[(first[1][0], "start", t0 + 3 * m, "w9", None),
+                             (first[1][0], "fail", t0 + 4 * m, None, "broken")])
+    assert second == first
+    third = send(2, [(5, "r", "c", "q", t0 + 5 * m), (6, "r", "c", "old", t0 + 5 * m)])
+    assert third[5][1] and third[5][0] != first[1][0] and third[6] == ("b1", False)
+    jobs = {r.id: r for r in state.jobs().collect()}
+    assert len(jobs) == 5
+    failed = jobs[first[1][0]]
+    assert (failed.status, failed.worker, failed.result_error) == ("failed", "w9", "broken")
+    assert jobs[third[5][0]].status == "pending" and jobs["b1"].result_url == "u"
+    one = state.by_id.read(buckets=state.by_id.touched(spark.createDataFrame([("b1",)], "job_id string")))
+    files = one.inputFiles()
+    assert files and len({f.rsplit("/bucket=", 1)[1].split("/")[0] for f in files}) == 1
+
+
+def test_accumulators_equal_the_fold(spark):
+    from jobtables.operators.update import accumulated_jobs, event_accumulators, merge_accumulators
+    log = fx.job_log_v(spark, SF001)
+    a, b = (merge_accumulators(event_accumulators(log.where(c))) for c in ("kind = 'start'", "kind <> 'start'"))
+    got = accumulated_jobs(merge_accumulators(a.unionByName(b)))
+    want = job_state_fold(log)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
