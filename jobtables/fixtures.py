@@ -138,6 +138,15 @@ def claim_log(spark: SparkSession, sf_dir: str, starved: bool = False) -> DataFr
     return e.select(F.col("event_id").alias("id"), F.col("ts").alias("t"), kind.alias("kind"))
 
 
+def repository_claim_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """claim_log with a repository; half of the rows lie in one."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    repo = F.when(F.col("event_id") % 2 == 0, F.lit("repo/hot")).otherwise(
+        F.concat(F.lit("repo/"), (F.col("user_id") % 30).cast("string")))
+    return claim_log(spark, sf_dir).join(e.select(F.col("event_id").alias("id"), repo.alias("repository")),
+                                         "id")
+
+
 def edges_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foreign keys as dependency edges (src depends on dst), as a bag."""
     li = table(spark, sf_dir, "lineitem")
@@ -243,6 +252,22 @@ def job_log_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job_events(jobs_v(spark, sf_dir))
 
 
+def user_log_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A life-cycle log with many events per job and few dates: one job per
+    user, signup = start, purchase = succeed, error = fail, others = request."""
+    t, u, i = F.col("event_type"), F.col("user_id"), F.col("event_id")
+    kind = F.when(t == "signup", "start").when(t == "purchase", "succeed").when(t == "error", "fail") \
+        .otherwise("request")
+    asked, ended = t.isin("click", "view"), t.isin("purchase", "error")
+    return table(spark, sf_dir, "events").select(
+        u.alias("job_id"), kind.alias("kind"), F.col("ts"),
+        F.when(asked, F.concat(F.lit("repo/"), (u % 30).cast("string"))).alias("repository"),
+        F.when(asked, F.concat(F.lit("c"), (u % 5).cast("string"))).alias("commit_hash"),
+        F.when(asked, F.concat(F.lit("q"), u.cast("string"))).alias("query_string"),
+        F.when(t == "signup", F.concat(F.lit("worker-"), (i % 10).cast("string"))).alias("worker"),
+        F.when(ended, F.concat(F.lit("r"), i.cast("string"))).alias("result"))
+
+
 def jobs_text_v(spark: SparkSession, sf_dir: str, corrupt: bool = False) -> DataFrame:
     """jobs_v as the SQL store dumps it: times as RFC 3339 text, id as text,
     result columns under their SQL names.  Urgent orders carry their times

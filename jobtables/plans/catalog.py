@@ -18,6 +18,7 @@ from jobtables.functions.status import poll_columns, poll_error
 from jobtables.functions.timefmt import rfc3339_encode
 from jobtables.operators import audit, dedup, fifo, lookup, update
 from jobtables.operators.closure import deps_closure, deps_reach
+from jobtables.plans import streams
 from jobtables.sources.jobs import decode_jobs, quarantine_jobs
 
 # Parameters of the registered queries (fixed values shared with the SQL).
@@ -231,4 +232,6 @@ QUERIES: dict[str, Query] = {
     "run_jobs_state": run_jobs_state,
     "run_jobs_results": run_jobs_results,
     "run_jobs_scoped": run_jobs_scoped,
+    # streams and sinks
+    **streams.QUERIES,
 }

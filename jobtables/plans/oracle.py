@@ -8,6 +8,7 @@ Parameters are those of :mod:`jobtables.plans.catalog`.
 
 from __future__ import annotations
 
+from jobtables.plans.streams import STUCK_STREAM_LIMIT_S
 from jobtables.plans.catalog import (
     LOOKUP_ID,
     NEXT_K,
@@ -550,4 +551,52 @@ SELECT cl.id AS job_id, cl.repository, cl.worker_name AS worker,
  CAST(CASE WHEN workspace IS NULL THEN 0 ELSE n.n END AS BIGINT) AS n_deps
 FROM cl LEFT JOIN n USING (repository, commit_hash, root)"""
 
+# -- streams and sinks: the batch results -----------------------------------------
+
+SQL["stream_dedup"] = "SELECT id, user_id, job_id, created FROM (" + SQL["dedup_generations"] + ")"
+for _name in ("stream_job_state", "stream_job_increments"):
+    SQL[_name] = SQL["job_state_fold"]
+_USER_LOG = """jlog AS (SELECT user_id AS job_id, ts,
+ CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'succeed' WHEN 'error' THEN 'fail'
+   ELSE 'request' END AS kind,
+ CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN 3 ELSE 0 END AS kr,
+ CASE WHEN event_type IN ('click', 'view') THEN 'repo/' || CAST(user_id % 30 AS VARCHAR) END AS repository,
+ CASE WHEN event_type IN ('click', 'view') THEN 'c' || CAST(user_id % 5 AS VARCHAR) END AS commit_hash,
+ CASE WHEN event_type IN ('click', 'view') THEN 'q' || CAST(user_id AS VARCHAR) END AS query_string,
+ CASE WHEN event_type = 'signup' THEN 'worker-' || CAST(event_id % 10 AS VARCHAR) END AS worker,
+ CASE WHEN event_type IN ('purchase', 'error') THEN 'r' || CAST(event_id AS VARCHAR) END AS result
+ FROM events)"""
+SQL["event_log_round_trip"] = SQL["job_state_fold"].replace(JOBS_V + ",\n", "").replace(
+    _JOB_LOG, _USER_LOG)
+# the stream's job ids are texts, and the lowest live id of a KEY is the lowest text
+SQL["stream_enqueue"] = SQL["enqueue_resolve"].replace(
+    "MIN(id) AS live_id", "MIN(CAST(id AS VARCHAR)) AS live_id")
+
+SQL["stream_drop_resent"] = """WITH m AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS half FROM events)
+SELECT event_id, user_id, event_type, ts, event_id % 11 = 0 AND ts < half AS late FROM events, m"""
+
+# an alarm falls when the watermark, a day behind the last event, has passed the limit
+SQL["stream_stuck"] = _with(JOBS_V, _JOB_LOG) + f""", w AS (
+ SELECT max(ts) - INTERVAL 1 DAY AS mark FROM jlog),
+ f AS (SELECT job_id, min(ts) FILTER (WHERE kind = 'start') AS start_time,
+   arg_min(worker, (ts, worker)) FILTER (WHERE kind = 'start') AS worker,
+   min(ts) FILTER (WHERE kind IN ('succeed', 'fail')) AS finish_time FROM jlog GROUP BY job_id)
+SELECT job_id, worker, start_time FROM f, w
+WHERE start_time + INTERVAL {STUCK_STREAM_LIMIT_S} SECOND < mark
+  AND (finish_time IS NULL OR finish_time > start_time + INTERVAL {STUCK_STREAM_LIMIT_S} SECOND)"""
+
+_RLOG = CLAIM_LOG.replace("SELECT event_id AS id,", """SELECT event_id AS id,
+ CASE WHEN event_id % 2 = 0 THEN 'repo/hot' ELSE 'repo/' || CAST(user_id % 30 AS VARCHAR) END
+   AS repository,""")
+SQL["stream_claims"] = (_with(_RLOG) + _INTERLEAVED).replace(
+    "OVER (ORDER BY", "OVER (PARTITION BY repository ORDER BY").replace(
+    "ON p.rank = j.rank", "ON p.rank = j.rank AND p.repository = j.repository").replace(
+    "p.id AS poll_id, p.t AS poll_t, j.id AS job_id, j.t AS job_t, p.rank",
+    "p.repository, p.id AS poll_id, j.id AS job_id, p.rank")
+
+SQL["results_round_trip"] = _with(JOBS_V) + (
+    "SELECT id AS job_id, 'o' || substr(query_string, 2) AS node, 'gs://bucket/' || "
+    "CAST(id AS VARCHAR) || '.pb' AS result_url, CAST(id % 2 AS INTEGER) AS batch, true AS url_ok "
+    "FROM jobs_v WHERE status = 'succeeded'")
+
 ORACLE_SQL = SQL
