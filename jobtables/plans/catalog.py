@@ -19,7 +19,8 @@ from jobtables.functions.timefmt import rfc3339_encode
 from jobtables.operators import audit, dedup, fifo, lookup, update
 from jobtables.operators.closure import deps_closure, deps_reach
 from jobtables.plans import streams
-from jobtables.sources.jobs import decode_jobs, quarantine_jobs
+from jobtables.scratch import Scratch
+from jobtables.sources.jobs import decode_jobs, quarantine_jobs, read_dump
 
 # Parameters of the registered queries (fixed values shared with the SQL).
 NOW = "2022-05-01 20:20:00"          # 2022-05-01T12:20:00-08:00, the tests' clock
@@ -45,6 +46,12 @@ def quarantine(s, d):
     return bad
 
 
+def _dump(s, d):
+    path = Scratch(s, "dump").path("jobs")
+    fx.dump_lines_v(s, d).write.text(path)
+    return read_dump(s, path)
+
+
 def result_manifest(s, d):
     j = _jobs(s, d).where(F.col("status") == "succeeded")
     exp = result_url(RESULT_BUCKET, "id")
@@ -173,6 +180,8 @@ QUERIES: dict[str, Query] = {
     # sources / sinks
     "scan_jobs": scan_jobs,
     "quarantine_jobs": quarantine,
+    "dump_defects": lambda s, d: _dump(s, d)[1],
+    "dump_jobs": lambda s, d: _dump(s, d)[0],
     "result_manifest": result_manifest,
     "rfc3339_encode": encode_times,
     # projections / filters

@@ -122,7 +122,7 @@ def _dump(corrupt: bool) -> str:
 
 
 def _parse(c: str) -> str:
-    return (f"timezone('UTC', try_strptime(regexp_replace({c}, '[Zz]$', '+00:00'), "
+    return (f"timezone('UTC', try_strptime(regexp_replace({c}, 'Z$', '+00:00'), "
             "'%Y-%m-%dT%H:%M:%S%z'))")
 
 
@@ -144,6 +144,33 @@ SQL["result_manifest"] = _with(JOBS_V) + (
     f"AS expected_url, COALESCE(result_url = 'gs://{RESULT_BUCKET}/' || CAST(id AS VARCHAR) "
     "|| '.pb', false) AS url_ok FROM jobs_v WHERE status = 'succeeded'")
 
+def _json(c: str, value: str) -> str:
+    return f"CASE WHEN {value} IS NOT NULL THEN ',\"{c}\":\"' || {value} || '\"' ELSE '' END"
+
+
+_LINES = _dump(True) + """, lines AS (SELECT *, CAST(id AS BIGINT) AS k,
+ CASE WHEN CAST(id AS BIGINT) % 83 = 0 THEN '' ELSE query_string END AS q,
+ CASE WHEN CAST(id AS BIGINT) % 89 <> 0 THEN status END AS s FROM dump),
+ whole AS (SELECT *, '{"id":"' || id || '"' || """ + " || ".join(
+    [_json("repository", "repository"), _json("commit_hash", "commit_hash"),
+     _json("query_string", "q"), _json("status", "s")]
+    + [_json(c, c) for c in ("worker", "queue_time", "start_time", "finish_time", "query_result_url",
+                             "query_error")]) + """ || '}' AS record FROM lines)"""
+
+SQL["dump_defects"] = _with(_LINES) + (
+    "SELECT CAST(NULL AS VARCHAR) AS id, 'malformed record' AS reason, CAST(NULL AS VARCHAR) "
+    "AS \"column\", substr(record, 1, 60) AS record FROM whole WHERE k % 97 = 0 "
+    "UNION ALL SELECT id, 'missing value', 'status', record FROM whole WHERE k % 97 <> 0 AND s IS NULL "
+    + "".join(f"UNION ALL SELECT id, 'bad time', '{c}', record FROM whole WHERE k % 97 <> 0 "
+              f"AND {c} IS NOT NULL AND {_parse(c)} IS NULL "
+              for c in ("queue_time", "start_time", "finish_time")))
+
+SQL["dump_jobs"] = _with(_LINES) + (
+    f"SELECT id, repository, commit_hash, q AS query_string, s AS status, worker, "
+    f"{_parse('queue_time')} AS queue_time, {_parse('start_time')} AS start_time, "
+    f"{_parse('finish_time')} AS finish_time, query_result_url AS result_url, query_error AS result_error "
+    f"FROM whole WHERE k % 97 <> 0 AND s IS NOT NULL AND {_parse('queue_time')} IS NOT NULL")
+
 SQL["rfc3339_encode"] = _with(JOBS_V) + (
     f"SELECT id, {_enc_z('queue_time')} AS queue_time_text, "
     f"{_enc_z('start_time')} AS start_time_text, {_enc_z('finish_time')} AS finish_time_text "

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobtables.functions.timefmt import rfc3339_parse, rfc3339_parse_strict
 from jobtables.schema import (
@@ -54,6 +55,50 @@ def quarantine_jobs(dump: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
+#: Columns of a dump that every job has.
+REQUIRED = ("id", "repository", "commit_hash", "query_string", "status", "queue_time")
+_CORRUPT = "_corrupt"
+
+
+def read_dump(spark: SparkSession, path: str, fmt: str = "json", **options
+              ) -> tuple[DataFrame, DataFrame]:
+    """A text dump of JSON or CSV lines, whatever state its records are in.
+
+    Returns ``(good, bad)``: the job rows of sound records, and per defect of
+    the others ``(id, reason, column, record)``, where the record is the line
+    as read and ``reason`` one of ``malformed record`` (cut or not parsable;
+    nothing else is said of it), ``missing value`` (a column that every job
+    has) and ``bad time``.  A record has a row per defect.  Empty lines are
+    skipped.  The lines are parsed by Spark in one pass; neither side reads
+    the input twice in one plan.
+    """
+    if fmt not in ("json", "csv"):
+        raise ValueError(f"no record format: {fmt}")
+    schema = T.StructType([T.StructField(f.name, T.StringType()) for f in TEXT_DUMP_SCHEMA]
+                          + [T.StructField(_CORRUPT, T.StringType())])
+    parse = F.from_json if fmt == "json" else F.from_csv
+    given = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, **options}
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    target = schema if fmt == "json" else schema.simpleString()[len("struct<"):-1].replace(":", " ")
+    d = lines.select(F.col("value").alias("record"), parse("value", target, given).alias("r"))
+    d = _renamed(d.select("record", "r.*"))
+    parsed = {c: rfc3339_parse(c) for c in TIME_COLUMNS}
+
+    def defect(flag, reason: str, column: str | None = None):
+        return F.when(flag, F.struct(F.lit(reason).alias("reason"), F.lit(column).cast("string").alias("column")))
+    broken = F.col(_CORRUPT).isNotNull()
+    found = [defect(~broken & F.col(c).isNull(), "missing value", c) for c in REQUIRED]
+    found += [defect(~broken & F.col(c).isNotNull() & p.isNull(), "bad time", c) for c, p in parsed.items()]
+    defects = F.filter(F.array(defect(broken, "malformed record"), *found), lambda x: x.isNotNull())
+    d = d.withColumn("defects", defects)
+    good = d.where(F.size("defects") == 0).select(
+        *[parsed[c].alias(c) if c in TIME_COLUMNS else F.col(c) for c in JOB_COLUMNS])
+    bad = d.where(F.size("defects") > 0).select(
+        F.when(~broken, F.col("id")).alias("id"), F.explode("defects").alias("d"), "record") \
+        .select("id", "d.reason", "d.column", "record")
+    return good, bad
+
+
 def read_jobs(spark: SparkSession, path: str, fmt: str = "parquet", text_times: bool = True,
               mode: str = "strict", **options):
     """Read a job table.  ``text_times``: the dump keeps times as text

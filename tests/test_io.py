@@ -85,3 +85,27 @@ def test_lower_case_marks_are_refused(spark):
     good = dt.datetime(2022, 5, 1, 20, 20)
     part = dt.datetime(2022, 5, 1, 18, 50, 0, 123456)
     assert [r.v for r in rows] == [good, None, None, part, None, None, None, None]
+
+
+def test_read_dump_names_every_defect(spark, tmp_path):
+    from jobtables.sources.jobs import read_dump
+    sound = ('{"id":"a","repository":"r","commit_hash":"","query_string":"q","status":"pending",'
+             '"queue_time":"2022-05-01T12:20:00-08:00"}')
+    lines = [sound, "", sound[:40], "not json", sound.replace('"status":"pending",', ""),
+             sound.replace("-08:00", ""), '{"id":"b","queue_time":"x","start_time":"y"}', sound.replace('"a"', "null")]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{tmp_path}/j")
+    good, bad = read_dump(spark, f"{tmp_path}/j")
+    assert [(r.id, r.commit_hash, str(r.queue_time)) for r in good.collect()] == [("a", "", "2022-05-01 20:20:00")]
+    got = sorted(((r.id, r.reason, r.column) for r in bad.collect()), key=str)
+    assert got == sorted([
+        (None, "malformed record", None), (None, "malformed record", None), ("a", "missing value", "status"),
+        ("a", "bad time", "queue_time"), (None, "missing value", "id"),
+        *[("b", "missing value", c) for c in ("repository", "commit_hash", "query_string", "status")],
+        ("b", "bad time", "queue_time"), ("b", "bad time", "start_time")], key=str)
+    assert {r.record for r in bad.collect()} <= set(lines)
+    csv = ["a,r,c,q,pending,,2022-05-01T12:20:00Z,,,,", "b,r,c,q,pending,,2022-05-01 12:20,,,,", "c,r"]
+    spark.createDataFrame([(x,) for x in csv], "value string").coalesce(1).write.text(f"{tmp_path}/c")
+    good, bad = read_dump(spark, f"{tmp_path}/c", "csv")
+    assert [r.id for r in good.collect()] == ["a"]
+    reasons = {(r.record, r.reason) for r in bad.collect()}
+    assert (csv[1], "bad time") in reasons and (csv[2], "malformed record") in reasons
