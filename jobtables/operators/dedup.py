@@ -30,6 +30,15 @@ def live_job_per_key(jobs: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
             .groupBy(*keys).agg(F.min("id").alias("live_id")))
 
 
+def live_rows(jobs: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+    """``keys, live_id, live_status, live_url``: the live job per KEY with its
+    state, from one aggregation."""
+    first = F.min_by(F.struct("id", "status", "result_url"), F.col("id"))
+    return jobs.where(F.col("status") != STATUS_FAILED).groupBy(*keys).agg(first.alias("f")).select(
+        *keys, F.col("f.id").alias("live_id"), F.col("f.status").alias("live_status"),
+        F.col("f.result_url").alias("live_url"))
+
+
 def dedup_first(requests: DataFrame, keys: Sequence[str] = KEY, t: str = "request_time",
                 rid: str = "request_id") -> DataFrame:
     """The first request per KEY by (time, id), with the request count.
@@ -44,50 +53,64 @@ def dedup_first(requests: DataFrame, keys: Sequence[str] = KEY, t: str = "reques
             .select(*keys, F.col("_f.rid").alias(rid), F.col("_f.t").alias(t), "n_requests"))
 
 
-def _key_map(requests: DataFrame, jobs: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _with_live(firsts: DataFrame, jobs: DataFrame | None, live: DataFrame | None,
+               keys: Sequence[str], how: str) -> DataFrame:
+    """Firsts joined to the live jobs.  Both sides are grouped by KEY, whose
+    columns are never null, so a plain join reuses their partitioning; a
+    snapshot bucketed on KEY (``live``) is read in place."""
+    if live is None:
+        live = live_job_per_key(jobs, keys)
+    return firsts.join(live, list(keys), how)
+
+
+def _key_map(requests: DataFrame, jobs: DataFrame | None, live: DataFrame | None,
+             keys: Sequence[str]) -> DataFrame:
     """Per KEY of the batch: the job every request of that KEY resolves to."""
     firsts = dedup_first(requests, keys).select(
         *keys, F.col("request_id").alias("first_request_id"),
         F.col("request_time").alias("first_request_time"), "n_requests")
-    live = live_job_per_key(jobs, keys)
-    m = join_on_keys(firsts, live, keys, "left")
-    return m.withColumns({
-        "new_job": F.col("live_id").isNull(),
-        "job_id": F.coalesce(F.col("live_id").cast("string"),
-                             keyed_id(*keys, "first_request_id")),
-    })
-
-
-def enqueue_resolve(requests: DataFrame, jobs: DataFrame, keys: Sequence[str] = KEY
-                    ) -> DataFrame:
-    """Each request -> (request_id, KEY, job_id, created).
-
-    The KEY map has one row per KEY, so joining it back to the requests is a
-    many-to-one join.  A KEY with more than one in ``HEAVY_SHARE`` of all
-    requests is heavy; there are fewer than ``HEAVY_SHARE`` such KEYs whatever
-    the data, so their map rows are broadcast and their requests are never
-    shuffled.  All other KEYs join by a shuffle in which none is hot.
+    m = _with_live(firsts, jobs, live, keys, "left")
+    return m.select(
+        *keys, "first_request_id", "n_requests", F.col("live_id").isNull().alias("new_job"),
+        F.coalesce(F.col("live_id").cast("string"), keyed_id(*keys, "first_request_id")).alias("job_id"))
+
+
+def enqueue_resolve(requests: DataFrame, jobs: DataFrame | None = None, keys: Sequence[str] = KEY,
+                    live: DataFrame | None = None) -> DataFrame:
+    """Each request -> (request_id, KEY, job_id, created).  ``live``: a
+    snapshot of live jobs (``sources.snapshots``) in place of the job table.
+
+    The KEY map has one row per KEY and is written once; joining it back to
+    the requests is a many-to-one join.  A KEY with more than one in
+    ``HEAVY_SHARE`` of all requests is heavy; there are fewer than
+    ``HEAVY_SHARE`` such KEYs whatever the data, so their map rows are
+    broadcast and their requests are never shuffled.  All other KEYs join by a
+    shuffle in which none is hot.  A request with a null in its KEY, which the
+    schema does not allow, has no job.
     """
-    total = requests.count()
-    m = _key_map(requests, jobs, keys).select(*keys, "job_id", "new_job", "first_request_id",
-                                              "n_requests")
+    scratch, keys = Scratch(requests.sparkSession, "enqueue"), list(keys)
+    m = scratch.table(_key_map(requests, jobs, live, keys), "map")
+    total = m.agg(F.sum("n_requests").alias("n")).first()["n"] or 0
     is_heavy = F.col("n_requests") * HEAVY_SHARE > total
-    heavy, light = (m.where(c).drop("n_requests") for c in (is_heavy, ~is_heavy))
-    hot = join_on_keys(requests, heavy, keys, small_right=True)
-    rest = join_on_keys(requests, heavy.select(*keys), keys, "left_anti", small_right=True)
-    r = hot.unionByName(join_on_keys(rest, light, keys))
+    answer = [*keys, "job_id", "new_job", "first_request_id"]
+    heavy, light = (m.where(c).select(*answer) for c in (is_heavy, ~is_heavy))
+    if heavy.first() is None:
+        r = requests.join(m.select(*answer), keys, "left")
+    else:
+        heavy = F.broadcast(heavy)
+        r = requests.join(heavy, keys).unionByName(
+            requests.join(heavy.select(*keys), keys, "left_anti").join(light, keys, "left"))
     return r.select(
         "request_id", *keys, "job_id",
         (F.col("new_job") & (F.col("request_id") == F.col("first_request_id"))).alias("created"),
     )
 
 
-def enqueue_new_jobs(requests: DataFrame, jobs: DataFrame, keys: Sequence[str] = KEY
-                     ) -> DataFrame:
+def enqueue_new_jobs(requests: DataFrame, jobs: DataFrame | None = None, keys: Sequence[str] = KEY,
+                     live: DataFrame | None = None) -> DataFrame:
     """The job rows to insert: one pending job per KEY without a live job,
     queued at its first request's time, with a deterministic id."""
-    firsts = dedup_first(requests, keys)
-    fresh = join_on_keys(firsts, live_job_per_key(jobs, keys), keys, "left_anti")
+    fresh = _with_live(dedup_first(requests, keys), jobs, live, keys, "left_anti")
     return fresh.select(
         keyed_id(*keys, "request_id").alias("id"), *keys,
         F.lit(STATUS_PENDING).alias("status"),

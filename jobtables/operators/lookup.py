@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from jobtables.functions.naming import workspace_error
 from jobtables.functions.status import poll_columns, poll_struct
-from jobtables.operators.dedup import live_job_per_key
-from jobtables.operators.ordered import join_on_keys
+from jobtables.operators.dedup import live_rows
 from jobtables.schema import (
     CLIENT_POLL_DELAY_S,
     ERR_JOB_NOT_FOUND,
@@ -100,16 +99,16 @@ def unroutable_jobs(jobs: DataFrame, repos: DataFrame) -> DataFrame:
             .withColumn("route_error", _unknown()))
 
 
-def cached_results(requests: DataFrame, jobs: DataFrame, keys: Sequence[str] = KEY
-                   ) -> DataFrame:
+def cached_results(requests: DataFrame, jobs: DataFrame | None = None, keys: Sequence[str] = KEY,
+                   live: DataFrame | None = None) -> DataFrame:
     """Requests whose KEY resolves to a job that already succeeded get
-    its result at once (the job the enqueue would return: lowest live id)."""
-    lv = live_job_per_key(jobs, keys)
-    done = jobs.where(F.col("status") == STATUS_SUCCEEDED).select(
-        F.col("id").alias("live_id"), "result_url")
-    hit = lv.join(done, "live_id")
-    out = join_on_keys(requests, hit, keys)
-    return out.select("request_id", *keys, F.col("live_id").alias("job_id"), "result_url")
+    its result at once (the job the enqueue would return: lowest live id).
+    ``live``: a snapshot of live jobs in place of the job table."""
+    if live is None:
+        live = live_rows(jobs, keys)
+    hit = live.where(F.col("live_status") == STATUS_SUCCEEDED) \
+        .select(*keys, F.col("live_id").alias("job_id"), F.col("live_url").alias("result_url"))
+    return requests.join(hit, list(keys)).select("request_id", *keys, "job_id", "result_url")
 
 
 def running(jobs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -15,10 +16,6 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # let the JIT compile generated methods over 8000 bytes of bytecode
-    # (wide projections such as the RFC 3339 decode of three columns)
-    "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
-    "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
@@ -55,7 +52,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
     master = sc.master or ""
-    if not master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^]]*\])?", master):  # local-cluster has executors of its own
         raise RuntimeError(
             "spark.checkpoint.dir is not set: point it to a shared folder "
             "(HDFS, S3, GCS, ...) before running iterative operators")
