@@ -23,6 +23,7 @@ from jobtables.llm.components import connected_components
 from jobtables.llm.shared import Scratch, shuffle_partitions
 
 SEED = 42  # of XXH64
+BROADCAST_ROWS = 2_000_000  # row numbers that are broadcast
 _SLICE = 2_000_000  # shingle hashes held at once while bits are counted
 
 
@@ -176,6 +177,8 @@ def keep_one_per_group(docs: DataFrame, width: int = 4, max_bits: int = 4) -> Da
     best = many.groupBy("label").agg(F.min_by("number", F.struct(
         F.col("doc_id").isNull(), "doc_id", "hash", "number")).alias("number"))
     # texts are not grouped: the numbers of the rows that go are taken out
-    gone = many.select("number").join(best.select("number"), "number", "left_anti")
+    gone = scratch.table(many.select("number").join(best.select("number"), "number", "left_anti"), "gone")
+    if gone.count() <= BROADCAST_ROWS:  # else texts are shuffled once
+        gone = F.broadcast(gone)
     return tagged.join(gone, "number", "left_anti").select("row.*") \
         .select(*[F.col(f"`{c}`") for c in cols])
