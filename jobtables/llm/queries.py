@@ -55,14 +55,16 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(read_table(spark, sf_dir, "documents"), min_lines=3)
-
-
-def op3_line_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated runs of three lines or more, and of fewer with 50 words."""
     return line_dedup.line_report(read_table(spark, sf_dir, "documents"), min_lines=3,
                                   min_words=line_dedup.MIN_WORDS)
 
 
+def op3_line_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By lines only: shorter runs stay, whatever words they hold."""
+    return line_dedup.line_report(read_table(spark, sf_dir, "documents"), min_lines=3)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobtables.llm.suffix_dedup import repeat_report
     return repeat_report(read_table(spark, sf_dir, "documents"), length=200)
@@ -90,7 +92,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op2_warc": op2_warc,
     "op3_line_dedup": op3_line_dedup,
-    "op3_line_dedup_words": op3_line_dedup_words,
+    "op3_line_dedup_lines": op3_line_dedup_lines,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_url_filters": op12_url_filters,
@@ -98,8 +100,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op3_line_dedup": line_dedup.ORACLE_SQL,
-    "op3_line_dedup_words": line_dedup.WORDS_SQL,
+    "op3_line_dedup": line_dedup.WORDS_SQL,
+    "op3_line_dedup_lines": line_dedup.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
     "op10_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op11_prefix_trie": prefix_trie.ORACLE_SQL,

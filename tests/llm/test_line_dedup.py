@@ -107,10 +107,10 @@ def test_runs_of_many_words_go(spark, m):
 def test_words_equal_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     from jobtables.llm.line_dedup import WORDS_SQL
-    from jobtables.llm.queries import op3_line_dedup_words
+    from jobtables.llm.queries import op3_line_dedup
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF01}/documents.parquet')")
     want = sorted(map(tuple, con.execute(WORDS_SQL).fetchall()))
-    assert sorted(map(tuple, op3_line_dedup_words(spark, SF01).collect())) == want
+    assert sorted(map(tuple, op3_line_dedup(spark, SF01).collect())) == want
     fewer = con.execute(ORACLE_SQL).fetchall()
     assert sum(r[2] for r in want) > sum(r[2] for r in fewer)
