@@ -119,7 +119,8 @@ def link_fingerprints(fps: DataFrame, max_bits: int) -> DataFrame:
             mask = F.lit(_mask([(i + j) % n for j in range(length)], widths)).cast("long")
             within = within & ((F.col("chain") != i)
                                | (_bits(diff.bitwiseAND(mask)) <= length * max_bits // n))
-    return a.join(b, ["chain", "key"]).where(F.col("u") < F.col("v")).where(within) \
+    # candidates are shuffled at every size, so the plan does not change with it
+    return a.join(b.hint("merge"), ["chain", "key"]).where(F.col("u") < F.col("v")).where(within) \
         .where(_bits(diff) <= max_bits).select("u", "v")
 
 
