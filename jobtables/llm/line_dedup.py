@@ -26,6 +26,7 @@ from jobtables.llm.shared import Scratch
 
 MIN_LINES = 3
 MIN_WORDS = 50
+BROADCAST_RUNS = 2_000_000  # of 16 bytes each
 
 
 def _tied(pairs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -111,6 +112,8 @@ def _cut(docs: DataFrame, min_lines: int, min_words: int | None) -> DataFrame:
     per_row = runs.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("first", "last")))
                                       .alias("runs"))
     empty = F.array().cast("array<struct<first:int,last:int>>")
+    if runs.count() <= BROADCAST_RUNS:  # else texts are shuffled once
+        per_row = F.broadcast(per_row)
     out = rows.join(per_row, "row", "left") \
         .withColumn("runs", F.coalesce("runs", empty)) \
         .withColumn("lines", F.coalesce(F.split("record.text", "\n"),
