@@ -1,93 +1,192 @@
 """Line dedup: a suffix array over line-id sequences by prefix doubling.
 
 Every distinct line is a number; a document is the sequence of its lines'
-numbers.  Suffixes of all documents are sorted by their first 1, 2, 4, ...
-lines: a round names each suffix by the pair of its own rank and the rank of
-the suffix that begins where its prefix ends, counts the pairs, sorts them and
-numbers them in that order.  A suffix whose pair occurs once shares no longer
-prefix with any other and leaves, so later rounds handle what is still tied.
-Doubling stops at ``min_lines``: suffixes with the same rank then form one
-interval whose longest common prefix is ``min_lines`` or more.  The earliest
-suffix of an interval stays; at every other one a repeated run begins, and
-runs that touch make one maximal run, which is deleted.  With ``min_words`` a
-run also begins where fewer lines repeat that hold so many words; doubling then
-goes on by single lines, so that every depth is seen.
+numbers.  A line that occurs once ends whatever could repeat, so only suffixes
+that begin with a repeated line are put in order, and a lone line or the end of
+the text is their terminator (before every line; among themselves by place).
+
+* Doubling: the round at depth d names every suffix that is still tied by the
+  pair of its own rank and the rank of the suffix d lines later; the distinct
+  pairs are sorted and numbered in that order.  A suffix whose pair occurs once
+  is settled; documents without a tied suffix leave, so rounds shrink; they end
+  when none is tied.  Two suffixes are in the order of their ranks in the first
+  round that tells them apart, so the array is sorted by the ranks that a suffix
+  had until it was settled.
+* Longest common prefixes: where a suffix and its predecessor in the array are
+  both followed by the next line's suffix and *its* predecessor, the common
+  prefix shrinks by one per line.  So only where such a chain ends is it
+  measured, by steps of 2^k, ..., 2, 1 lines over the ranks of every round.
+* Intervals: neighbours with a common prefix of d lines or more form one
+  interval.  Its earliest suffix stays; at every other one a repeated run
+  begins: of ``min_lines`` lines, or of fewer that hold ``min_words`` words.
+  Runs that overlap or touch make one span, which is deleted.
 
 DataFrame functions only.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtables.llm.mixing import word_count
 from jobtables.llm.shared import Scratch
+from jobtables.operators.ordered import global_row_number, running_sums
 
 MIN_LINES = 3
 MIN_WORDS = 50
 BROADCAST_RUNS = 2_000_000  # of 16 bytes each
+JOINS_PER_TABLE = 3  # steps of the common prefixes between two written tables
+
+_SUFFIX = ["row", "doc_id", "line", "first", "words"]
+
+
+def _in_row():
+    return Window.partitionBy("row").orderBy("line")
+
+
+def _numbered(classes: DataFrame, *order: str) -> DataFrame:
+    """The global sort numbers partitions in order, and so does the id."""
+    return classes.orderBy(*order).withColumn("rank", F.monotonically_increasing_id())
+
+
+def _first_ranks(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """Suffixes that begin with a repeated line, ranked by it."""
+    classes = lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
+    classes = scratch.table(_numbered(classes, "a", "b").drop("n"), "classes")
+    return scratch.table(lines.join(classes, ["a", "b"]).select(
+        "row", "doc_id", "line", F.col("rank").alias("first"), "words", "rank",
+        F.array("rank").alias("path"), F.lit(True).alias("tied"), F.lit(False).alias("fresh")),
+        "ranks")
+
 
+def _double(ranks: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
+    """Ranks by ``2 * depth`` lines from ranks by ``depth`` lines."""
+    w = _in_row()
+    there = F.lead("line", depth).over(w) == F.col("line") + depth
+    pairs = scratch.table(
+        ranks.select(*_SUFFIX, "path", F.col("rank").alias("a"), "tied",
+                     F.when(F.col("tied") & there, F.lead("rank", depth).over(w)).alias("b"),
+                     F.max("tied").over(Window.partitionBy("row")).alias("alive"))
+        .where("alive").drop("alive"), "pairs")
+    shared = pairs.where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n"))
+    # terminators differ, so a suffix that has come to its own is a class
+    single = pairs.where("b IS NULL").withColumn("n", F.lit(1).cast("long"))
+    classes = scratch.table(_numbered(
+        single.unionByName(shared, allowMissingColumns=True), "a", "b", "doc_id", "row", "line"),
+        "classes")
+    named = pairs.where("b IS NOT NULL").join(
+        classes.where("b IS NOT NULL").select("a", "b", "n", "rank"), ["a", "b"])
+    out = named.unionByName(classes.where("b IS NULL")).select(
+        *_SUFFIX, "rank",
+        F.when(F.col("tied"), F.concat("path", F.array("rank"))).otherwise(F.col("path")).alias("path"),
+        (F.col("n") > 1).alias("tied"), (F.col("tied") & (F.col("n") == 1)).alias("fresh"))
+    written = scratch.table(out, "ranks")
+    scratch.drop(pairs, classes)
+    return written
 
-def _tied(pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs ``(a, b)`` that occur twice or more, numbered in their order.
 
-    The global sort numbers partitions in order, and so does the id; writing
-    the numbers fixes them."""
-    counts = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
-    return scratch.table(counts.orderBy("a", "b").select(
-        "a", "b", F.monotonically_increasing_id().alias("rank")), "ranks")
+def _common_prefixes(ends: DataFrame, levels: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """``ends(row, line, prow, pline)`` with the ``lcp`` of both suffixes."""
+    ends = ends.withColumn("lcp", F.lit(0))
+    for k in reversed(range(len(levels))):
+        tied = levels[k].where("tied")
+        mine = tied.select("row", F.col("line").alias("at"), F.col("rank").alias("r"))
+        other = tied.select(F.col("row").alias("prow"), F.col("line").alias("pat"),
+                            F.col("rank").alias("pr"))
+        ends = ends.withColumns({"at": F.col("line") + F.col("lcp"),
+                                 "pat": F.col("pline") + F.col("lcp")}) \
+            .join(mine, ["row", "at"], "left").join(other, ["prow", "pat"], "left") \
+            .select("row", "line", "prow", "pline", (F.col("lcp") + F.when(
+                F.col("r") == F.col("pr"), 2 ** k).otherwise(0)).alias("lcp"))
+        if k % JOINS_PER_TABLE == 0:
+            ends = scratch.table(ends, "prefixes")
+    return ends.select("row", "line", "lcp")
 
 
-def _pairs(suffixes: DataFrame, step: int) -> DataFrame:
-    """Each suffix with the rank of the one ``step`` lines later.  If a line
-    between the two is gone, the longer prefix cannot repeat either."""
-    w = Window.partitionBy("row").orderBy("line")
-    words = [] if "words" not in suffixes.columns else [
-        "first", (F.col("first") + F.lead("words", 1).over(w)).alias("words")]  # step is 1
-    return suffixes.select("row", "doc_id", "line", F.col("rank").alias("a"),
-                           F.lead("rank", step).over(w).alias("b"),
-                           F.lead("line", step).over(w).alias("at"), *words) \
-        .where(F.col("at") == F.col("line") + step).drop("at")
+def suffix_array(lines: DataFrame, scratch: Scratch, max_depth: int = 0) -> DataFrame:
+    """``lines(row, doc_id, line, a, b, words)``, two hashes of each line and its
+    words -> ``row, doc_id, line, pos, lcp``, one row per suffix that begins with
+    a repeated line: its place in the order of all (from 0), and the lines it
+    shares with the suffix before it; ``words1`` to ``words<max_depth>`` are the
+    words of its first lines."""
+    levels, depth = [_first_ranks(lines, scratch)], 1
+    while not levels[-1].where("tied").isEmpty():
+        levels.append(_double(levels[-1], depth, scratch))
+        depth *= 2
+    settled = reduce(DataFrame.unionByName, [
+        level.where("fresh").select(*_SUFFIX, "path") for level in levels])
+    ordered = scratch.table(_numbered(settled, "path").drop("path"), "ordered")
+    array = scratch.table(
+        global_row_number(ordered, ["rank"], "pos").withColumn("pos", F.col("pos") - 1)
+        .drop("rank"), "array")
+    before = array.select((F.col("pos") + 1).alias("pos"), F.col("first").alias("pfirst"),
+                          F.col("row").alias("prow"), F.col("line").alias("pline"))
+    same = F.coalesce(F.col("first") == F.col("pfirst"), F.lit(False))
+    paired = array.join(before, "pos", "left").withColumn("same", same)
+    w = _in_row()
+    chained = F.lead("same").over(w) & (F.lead("line").over(w) == F.col("line") + 1) \
+        & (F.lead("prow").over(w) == F.col("prow")) & (F.lead("pline").over(w) == F.col("pline") + 1)
+    paired = scratch.table(paired.select(
+        "row", "doc_id", "line", "pos", "prow", "pline", "same",
+        (F.col("same") & ~F.coalesce(chained, F.lit(False))).alias("ends"),
+        *[F.sum("words").over(w.rowsBetween(0, d - 1)).alias(f"words{d}")
+          for d in range(1, max_depth + 1)]), "paired")
+    ends = _common_prefixes(paired.where("ends").select("row", "line", "prow", "pline"),
+                            levels, scratch)
+    end = F.first(F.when(F.col("ends"), F.struct("line", "measured")), ignorenulls=True) \
+        .over(w.rowsBetween(0, Window.unboundedFollowing))  # that of the suffix's chain
+    out = paired.join(ends.withColumnRenamed("lcp", "measured"), ["row", "line"], "left") \
+        .withColumn("end", end) \
+        .withColumn("lcp", F.when(F.col("same"), F.col("end.measured") + F.col("end.line")
+                                  - F.col("line")).otherwise(0)) \
+        .drop("prow", "pline", "same", "ends", "measured", "end")
+    written = scratch.table(out, "suffix-array")
+    scratch.drop(*levels, ordered, array, paired)
+    return written
 
 
-def _later(pairs: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
-    """``(row, line, end)`` of the runs of ``depth`` lines that begin earlier as well."""
+def _later(array: DataFrame, depths: dict[int, str], scratch: Scratch) -> DataFrame:
+    """``(row, line, end)`` of the runs of ``depth`` lines that begin earlier as
+    well, by ``depths``: depth -> condition on a suffix."""
+    cut = {f"g{d}": F.when(F.col("lcp") < d, 1).otherwise(0) for d in depths}
+    numbered = running_sums(array, [], ["pos"], cut)
+    in_intervals = F.array(*[
+        F.struct(F.lit(d).alias("depth"), F.col(f"g{d}").alias("interval"),
+                 F.expr(ok).alias("ok")) for d, ok in depths.items()])
+    members = scratch.table(
+        numbered.select("doc_id", "row", "line", F.inline(F.filter(in_intervals, lambda x: x["ok"])))
+        .drop("ok"), "members")
     place = F.struct("doc_id", "row", "line")
     intervals = scratch.table(
-        pairs.groupBy("a", "b").agg(F.min(place).alias("earliest"), F.count("*").alias("n"))
-        .where("n > 1").select("a", "b", "earliest"), "intervals")
-    return pairs.join(intervals, ["a", "b"]) \
+        members.groupBy("depth", "interval").agg(
+            F.min(place).alias("earliest"), F.count("*").alias("n"))
+        .where("n > 1").drop("n"), "intervals")
+    return members.join(intervals, ["depth", "interval"]) \
         .where((F.col("row") != F.col("earliest.row")) | (F.col("line") != F.col("earliest.line"))) \
-        .select("row", "line", (F.col("line") + depth - 1).alias("end"))
+        .select("row", "line", (F.col("line") + F.col("depth") - 1).alias("end"))
 
 
 def repeated_runs(rows: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES,
                   min_words: int | None = None) -> DataFrame:
     """``rows(row, doc_id, text)`` with unique ``row`` -> ``(row, first, last)``,
-    the maximal runs of lines (from 0) that begin earlier as well: of
+    the maximal spans of lines (from 0) that begin earlier as well: of
     ``min_lines`` lines, or of fewer with ``min_words`` words if that is given."""
     if min_lines < 1:
         raise ValueError("min_lines must be at least 1")
-    words = [] if min_words is None else [
-        word_count(F.col("s")).alias("first"), word_count(F.col("s")).alias("words")]
+    shorter = range(1, min_lines) if min_words is not None else []
+    words = F.lit(0) if min_words is None else word_count(F.col("s"))
     lines = scratch.table(
         rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
         .select("row", "doc_id", "line", F.xxhash64("s").alias("a"),
-                F.xxhash64(F.lit("second"), "s").alias("b"), *words), "lines")
-    pairs, depth, short = lines, 1, []
-    while depth < min_lines:
-        if words:
-            short.append(_later(pairs.where(F.col("words") >= min_words), depth, scratch))
-        ranks = _tied(pairs, scratch)
-        suffixes = scratch.table(
-            pairs.join(ranks, ["a", "b"]).select(
-                "row", "doc_id", "line", "rank", *["first", "words"] * bool(words)), "suffixes")
-        step = 1 if words else min(depth, min_lines - depth)
-        pairs, depth = scratch.table(_pairs(suffixes, step), "pairs"), depth + step
-    later = _later(pairs, min_lines, scratch)
-    for runs in short:
-        later = later.unionByName(runs)
+                F.xxhash64(F.lit("second"), "s").alias("b"), words.cast("long").alias("words")),
+        "lines")
+    array = suffix_array(lines, scratch, len(shorter))
+    scratch.drop(lines)
+    later = _later(array, {min_lines: "true", **{d: f"words{d} >= {min_words}" for d in shorter}},
+                   scratch)
     w = Window.partitionBy("row").orderBy("line", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     islands = later.select("row", "line", "end", F.when(
