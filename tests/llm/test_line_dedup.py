@@ -6,7 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from jobtables.llm.line_dedup import ORACLE_SQL, line_report, remove_repeated_lines
+from jobtables.llm.line_dedup import (
+    ORACLE_SQL, line_report, remove_repeated_lines, suffix_array)
+from jobtables.llm.shared import Scratch
+from jobtables.scratch import scratch_scope
 
 SF01 = "/root/testdata/sf0.01"
 
@@ -114,3 +117,41 @@ def test_words_equal_sql(spark):
     assert sorted(map(tuple, op3_line_dedup(spark, SF01).collect())) == want
     fewer = con.execute(ORACLE_SQL).fetchall()
     assert sum(r[2] for r in want) > sum(r[2] for r in fewer)
+
+
+def test_suffix_array_and_common_prefixes(spark):
+    """Every suffix that begins with a repeated line has one place; neighbours'
+    common prefixes, and the longest of each suffix, are the plain ones."""
+    random.seed(5)
+    texts = [random.choices("abc", k=random.randint(1, 12)) for _ in range(25)]
+    texts += [[f"l{i}" for i in range(300)], ["new"] + [f"l{i}" for i in range(300)], ["c"] * 40]
+    df = spark.createDataFrame(
+        [(r, r // 2, i, s) for r, t in enumerate(texts) for i, s in enumerate(t)],
+        "row long, doc_id long, line int, s string")
+    lines = df.select("row", "doc_id", "line", F.xxhash64("s").alias("a"), F.hash("s").alias("b"),
+                      F.length("s").cast("long").alias("words"))
+    with scratch_scope(spark):
+        got = sorted((r.pos, r.row, r.line, r.lcp, r.words1, r.words2) for r in
+                     suffix_array(lines, Scratch(spark, "lines"), 2).collect())
+
+    def common(x, y):
+        (r, i), (q, j), n = x, y, 0
+        while i + n < len(texts[r]) and j + n < len(texts[q]) and texts[r][i + n] == texts[q][j + n]:
+            n += 1
+        return n
+    by_line = {}
+    for r, t in enumerate(texts):
+        for i, s in enumerate(t):
+            by_line.setdefault(s, []).append((r, i))
+    tied = [x for group in by_line.values() if len(group) > 1 for x in group]
+    order = [g[1:3] for g in got]
+    assert [g[0] for g in got] == list(range(len(tied))) and sorted(order) == sorted(tied)
+    lcp = [g[3] for g in got] + [0]
+    assert lcp[:-1] == [0] + [common(x, y) for x, y in zip(order, order[1:])]
+    for k, x in enumerate(order):
+        rest = by_line[texts[x[0]][x[1]]]
+        assert max(lcp[k], lcp[k + 1]) == max(common(x, y) for y in rest if y != x)
+    assert max(lcp) == 300
+    for g in got:  # words beyond what repeats are of no use
+        if g[3] >= 2:
+            assert g[5] == sum(map(len, texts[g[1]][g[2]:g[2] + 2]))
