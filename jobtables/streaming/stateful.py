@@ -23,6 +23,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from jobtables.functions.timefmt import ntz_to_instant
 
+STUCK_BUCKETS = 256
+
 
 def _field(df: DataFrame, name: str) -> T.StructField:
     return next(f for f in df.schema.fields if f.name == name)
@@ -150,59 +152,98 @@ def drop_resent(stream: DataFrame, id_col: str, ts_col: str, delay: str) -> Data
 
 # -- T5: stuck-job alarm -------------------------------------------------------
 
+_NONE = np.iinfo(np.int64).max  # of a start or finish: not seen yet
+
+
+def _firsts(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row per job: its earliest start with that start's worker, its earliest
+    finish.  Of equal starts the one held already counts, then the first worker."""
+    finish = rows.groupby("job", dropna=False, sort=False)["finish"].transform("min")
+    return rows.assign(finish=finish).sort_values(["start", "new", "worker"]).drop_duplicates("job")
+
+
 class _StuckAlarm(StatefulProcessor):
-    """State per job: its first start, its first finish, and whether the alarm
-    is decided; one timer at the end of the limit."""
+    """State per bucket of jobs, as arrays: of every job its first start and that
+    start's worker, its first finish, whether the alarm is decided, and when the
+    job is due; one timer, at the earliest of these times.  A call handles all
+    jobs of its bucket at once, so the cost of a call is not one of a job."""
+
+    FIELDS = {"job": T.StringType(), "worker": T.StringType(), "start": T.LongType(),
+              "finish": T.LongType(), "decided": T.BooleanType(), "due": T.LongType()}
 
     def __init__(self, limit_us: int):
         self.limit_us = limit_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.job = handle.getValueState("job", T.StructType([
-            T.StructField("worker", T.StringType(), True), T.StructField("start_us", T.LongType(), True),
-            T.StructField("finish_us", T.LongType(), True),
-            T.StructField("decided", T.BooleanType(), False)]))
-
-    def _alarm(self, key, worker, start, finish) -> Iterator[pd.DataFrame]:
-        if start is not None and (finish is None or finish > start + self.limit_us):
-            yield pd.DataFrame({"job_id": [key[0]], "worker": [worker],
-                                "start_time": [pd.Timestamp(start, unit="us")]})
+        self.jobs = handle.getValueState("jobs", T.StructType([
+            T.StructField(n, T.ArrayType(t), False) for n, t in self.FIELDS.items()]))
+
+    def _held(self) -> pd.DataFrame:
+        values = self.jobs.get() if self.jobs.exists() else [[]] * len(self.FIELDS)
+        return pd.DataFrame({n: np.array(v, {"decided": bool, "job": object, "worker": object}.get(n, np.int64))
+                             for n, v in zip(self.FIELDS, values)})
+
+    def _hold(self, jobs: pd.DataFrame) -> None:
+        if len(jobs):
+            self.jobs.update(tuple(jobs[n].tolist() for n in self.FIELDS))
+        else:
+            self.jobs.clear()
+
+    def _alarms(self, jobs: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        begun = jobs[jobs["start"] != _NONE]
+        late = begun[begun["finish"] > begun["start"] + self.limit_us]  # or none
+        if len(late):
+            yield pd.DataFrame({"job_id": late["job"], "worker": late["worker"],
+                                "start_time": late["start"].to_numpy().astype("datetime64[us]")})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        worker, start, finish, decided = self.job.get() if self.job.exists() else (None, None, None, False)
-        for chunk in rows:  # minima only: no chunk is held
+        parts = []
+        for chunk in rows:  # a row per job is held of each
+            begins = (chunk["kind"] == "start").to_numpy()
+            ends = chunk["kind"].isin(["succeed", "fail"]).to_numpy()
             us = _micros(chunk["ts"])
-            ends = us[chunk["kind"].isin(["succeed", "fail"]).to_numpy()]
-            if len(ends):
-                finish = int(ends.min()) if finish is None else min(finish, int(ends.min()))
-            begins = chunk.assign(us=us)[chunk["kind"] == "start"]
-            if len(begins):
-                first = begins.sort_values(["us", "worker"], kind="stable").iloc[0]
-                if start is None or first["us"] < start:
-                    worker, start = first["worker"], int(first["us"])
-        if start is None and finish is None:
+            seen = pd.DataFrame({
+                "job": chunk["job"].to_numpy(object), "worker": np.where(begins, chunk["worker"], None),
+                "start": np.where(begins, us, _NONE), "finish": np.where(ends, us, _NONE),
+                "decided": False, "due": 0, "new": True})[begins | ends]
+            if len(seen):
+                parts.append(_firsts(seen))
+        if not parts:
             return  # requests only: no state
+        held = self._held().assign(new=False)
+        jobs = pd.concat([held, *parts] if len(held) else parts, ignore_index=True)
+        by_job = jobs.groupby("job", dropna=False, sort=False)
+        jobs = jobs.assign(**{n: by_job[n].transform("max") for n in ("decided", "due")},
+                           touched=by_job["new"].transform("max"))
+        jobs = _firsts(jobs)
         now = timerValues.getCurrentWatermarkInMs()
-        until = (finish if start is None else start + self.limit_us) // 1000
-        if start is not None and until <= now and not decided:
-            decided = True  # the watermark is past the limit already
-            yield from self._alarm(key, worker, start, finish)
-        self.job.update((worker, start, finish, decided))
-        _only_timer(self.handle, max(until, now) + 1)
+        begun = jobs["start"] != _NONE
+        until = jobs["start"].where(begun, jobs["finish"]) // 1000
+        until = ((jobs["start"].where(begun, 0) + self.limit_us) // 1000).where(begun, until)
+        # the watermark is past the limit already
+        decide = jobs["touched"] & begun & (until <= now) & ~jobs["decided"]
+        yield from self._alarms(jobs[decide])
+        jobs = jobs.assign(decided=jobs["decided"] | decide,
+                           due=jobs["due"].where(~jobs["touched"], until.clip(lower=now) + 1))
+        self._hold(jobs)
+        _only_timer(self.handle, int(jobs["due"].min()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.job.exists():
-            worker, start, finish, decided = self.job.get()
-            self.job.clear()
-            if not decided:
-                yield from self._alarm(key, worker, start, finish)
+        jobs = self._held()
+        due = jobs["due"] <= max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        yield from self._alarms(jobs[due & ~jobs["decided"]])
+        jobs = jobs[~due]
+        self._hold(jobs)
+        if len(jobs):
+            self.handle.registerTimer(int(jobs["due"].min()))
 
     def close(self) -> None:
         pass
 
 
-def stuck_alarm_stream(events: DataFrame, limit_ms: int, delay: str) -> DataFrame:
+def stuck_alarm_stream(events: DataFrame, limit_ms: int, delay: str,
+                       buckets: int = STUCK_BUCKETS) -> DataFrame:
     """T5: A4 online.  One alarm row (job_id, worker, start_time) per job whose
     first start has no succeed or fail within ``limit_ms`` of event time.
 
@@ -212,14 +253,19 @@ def stuck_alarm_stream(events: DataFrame, limit_ms: int, delay: str) -> DataFram
     start is kept for it.  ``delay`` is how late a row may be; later ones are
     dropped and counted by Spark (``numRowsDroppedByWatermark``).  A decided
     job is remembered until the watermark has passed it.  ``request`` rows
-    keep no state.
+    keep no state.  The state lies in
+    ``buckets`` arrays by a hash of the job id: a bucket's open jobs and its rows of
+    a micro-batch are handled together, in one task.
     """
-    out_schema = T.StructType([T.StructField("job_id", _field(events, "job_id").dataType, False),
+    id_type = _field(events, "job_id").dataType
+    out_schema = T.StructType([T.StructField("job_id", T.StringType(), True),
                                T.StructField("worker", T.StringType(), True),
                                T.StructField("start_time", T.TimestampNTZType(), True)])
     # requests move the watermark, so they are skipped in the processor, not here
     return (events.withColumn("_event_time", ntz_to_instant("ts"))
             .withWatermark("_event_time", delay)
-            .select("job_id", "kind", "ts", "worker", "_event_time")
-            .groupBy("job_id")
-            .transformWithStateInPandas(_StuckAlarm(limit_ms * 1000), out_schema, "Append", "EventTime"))
+            .select(F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int").alias("bucket"),
+                    F.col("job_id").cast("string").alias("job"), "kind", "ts", "worker", "_event_time")
+            .groupBy("bucket")
+            .transformWithStateInPandas(_StuckAlarm(limit_ms * 1000), out_schema, "Append", "EventTime")
+            .withColumn("job_id", F.col("job_id").cast(id_type)))

@@ -2,6 +2,7 @@
 micro-batches and a restart from the checkpoint."""
 
 import datetime as dt
+import random
 import tempfile
 
 import pytest
@@ -258,6 +259,31 @@ def test_t5_finish_before_its_start_and_late_finish(spark):
     assert got == [(2, "w2", t0)]
 
 
+def test_t5_holds_many_jobs_in_few_states(spark):
+    """Jobs are handled by buckets: no state, timer or call of its own per job."""
+    rng, t0, m = random.Random(5), dt.datetime(2024, 1, 1), dt.timedelta(minutes=1)
+    events = [(j, kind, t0 + rng.randrange(100) * m, f"w{rng.randrange(3)}" if kind == "start" else None)
+              for j in [None, *range(600)] for kind in rng.choices(["request", "start", "succeed", "fail"], k=3)]
+    rng.shuffle(events)
+    batches = [events[:700], events[700:1400], events[1400:], [(9999, "start", t0 + 120 * m, "w")],
+               [(9998, "request", t0 + 300 * m, None)]]
+    src = _batches(spark, batches, EVENTS)
+    q = stuck_alarm_stream(src, 5 * 60 * 1000, "120 minutes", buckets=4).writeStream.format("memory") \
+        .queryName("t5_many").start()
+    q.processAllAvailable()
+    held = max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"])
+    q.stop()
+    assert held <= 4 * 4
+    want = []
+    for j in {e[0] for e in events}:
+        starts = [(ts, w) for i, kind, ts, w in events if i == j and kind == "start"]
+        ends = [ts for i, kind, ts, _ in events if i == j and kind in ("succeed", "fail")]
+        if starts and (not ends or min(ends) > min(starts)[0] + 5 * m):
+            want.append((j, min(starts)[0]))
+    got = [(r.job_id, r.start_time) for r in spark.table("t5_many").collect()]
+    assert sorted(got, key=str) == sorted([*want, (9999, t0 + 120 * m)], key=str)
+
+
 JOB = ("id string, repository string, commit_hash string, query_string string, status string, "
        "worker string, queue_time timestamp_ntz, start_time timestamp_ntz, "
        "finish_time timestamp_ntz, result_url string, result_error string, priority string")
