@@ -8,6 +8,9 @@ scan's stage and keeps filter pushdown and column pruning.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,21 +83,25 @@ def read_dump(spark: SparkSession, path: str, fmt: str = "json", **options
     given = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, **options}
     lines = spark.read.text(path).where(F.trim("value") != "")
     target = schema if fmt == "json" else schema.simpleString()[len("struct<"):-1].replace(":", " ")
-    d = lines.select(F.col("value").alias("record"), parse("value", target, given).alias("r"))
-    d = _renamed(d.select("record", "r.*"))
-    parsed = {c: rfc3339_parse(c) for c in TIME_COLUMNS}
+    # exploding arrays of one element keeps a value from being computed again in every
+    # filter and column that reads it: each line is parsed once, each time once
+    d = lines.select(F.col("value").alias("record"), F.inline(F.array(parse("value", target, given))))
+    d = _renamed(d)
+    d = d.select("*", F.inline(F.array(F.struct(*[rfc3339_parse(c).alias(f"_p_{c}") for c in TIME_COLUMNS]))))
 
     def defect(flag, reason: str, column: str | None = None):
         return F.when(flag, F.struct(F.lit(reason).alias("reason"), F.lit(column).cast("string").alias("column")))
     broken = F.col(_CORRUPT).isNotNull()
-    found = [defect(~broken & F.col(c).isNull(), "missing value", c) for c in REQUIRED]
-    found += [defect(~broken & F.col(c).isNotNull() & p.isNull(), "bad time", c) for c, p in parsed.items()]
+    missing = {c: ~broken & F.col(c).isNull() for c in REQUIRED}
+    unparsed = {c: ~broken & F.col(c).isNotNull() & F.col(f"_p_{c}").isNull() for c in TIME_COLUMNS}
+    found = [defect(f, "missing value", c) for c, f in missing.items()]
+    found += [defect(f, "bad time", c) for c, f in unparsed.items()]
     defects = F.filter(F.array(defect(broken, "malformed record"), *found), lambda x: x.isNotNull())
-    d = d.withColumn("defects", defects)
-    good = d.where(F.size("defects") == 0).select(
-        *[parsed[c].alias(c) if c in TIME_COLUMNS else F.col(c) for c in JOB_COLUMNS])
-    bad = d.where(F.size("defects") > 0).select(
-        F.when(~broken, F.col("id")).alias("id"), F.explode("defects").alias("d"), "record") \
+    defective = reduce(or_, [broken, *missing.values(), *unparsed.values()])
+    good = d.where(~defective).select(
+        *[F.col(f"_p_{c}").alias(c) if c in TIME_COLUMNS else F.col(c) for c in JOB_COLUMNS])
+    bad = d.where(defective).select(
+        F.when(~broken, F.col("id")).alias("id"), F.explode(defects).alias("d"), "record") \
         .select("id", "d.reason", "d.column", "record")
     return good, bad
 

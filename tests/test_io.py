@@ -109,3 +109,13 @@ def test_read_dump_names_every_defect(spark, tmp_path):
     assert [r.id for r in good.collect()] == ["a"]
     reasons = {(r.record, r.reason) for r in bad.collect()}
     assert (csv[1], "bad time") in reasons and (csv[2], "malformed record") in reasons
+
+
+def test_read_dump_parses_a_line_once(spark, tmp_path):
+    """Filters and columns read what was parsed; they do not parse again."""
+    from jobtables.sources.jobs import read_dump
+    spark.createDataFrame([('{"id":"a"}',)], "value string").write.text(f"{tmp_path}/j")
+    for side in read_dump(spark, f"{tmp_path}/j"):
+        plan = side._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("from_json(") == 1
+        assert plan.count("RLIKE(") <= 3
