@@ -58,8 +58,9 @@ class _Steps:
         self._keep()
 
     def _keep(self) -> None:
+        # sorted as every round's merge join needs it, so no round sorts the steps again
         kept, self.kept = self.kept, self.all.repartition(self.n, *self.key) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
+            .sortWithinPartitions(*self.key).persist(StorageLevel.MEMORY_AND_DISK)
         hubs = self.kept.groupBy(*self.key).agg(F.count(F.lit(1)).alias("n")) \
             .where(F.col("n") > self.per_part)
         self.hubs = self.scratch.table(hubs.select(
@@ -72,7 +73,8 @@ class _Steps:
             self.kept = whole.join(self.hubs, self.key, "left").select(
                 *self.key, F.when(F.col("parts").isNull(), 0).otherwise(
                     F.pmod(F.xxhash64("_dst"), F.col("parts"))).cast("int").alias("part"), "_dst") \
-                .repartition(self.n, *self.key, "part").persist(StorageLevel.MEMORY_AND_DISK)
+                .repartition(self.n, *self.key, "part").sortWithinPartitions(*self.key, "part") \
+                .persist(StorageLevel.MEMORY_AND_DISK)
             self.kept.count()
             whole.unpersist()
 
@@ -108,7 +110,9 @@ class _Steps:
             on.append("part")
 
         def reached(rows: DataFrame, by: Sequence[str], to: DataFrame) -> DataFrame:
-            return rows.join(to, list(by)).select(*self.scope, *rest, F.col("_dst").alias("node"))
+            # the node comes from a generator: an anti-join by nodes alone would else be
+            # pushed to the steps, and every round would shuffle all of them
+            return rows.join(to, list(by)).select(*self.scope, *rest, F.explode(F.array("_dst")).alias("node"))
         share = max(LEAST_HEAVY, -(-size // self.n))
         if not rest or size <= share:  # a node occurs once, or all fit one task
             return reached(frontier, on, steps)

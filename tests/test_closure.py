@@ -152,3 +152,30 @@ def test_run_jobs_keeps_snapshots_apart(spark):
         {("1", "succeeded", 2), ("2", "succeeded", 3), ("3", "failed", 0)}
     assert {(r.id, r.status) for r in out.jobs.collect()} == \
         {("1", "succeeded"), ("2", "succeeded"), ("3", "failed")}
+
+
+def test_reach_rounds_leave_the_steps_in_place(spark, monkeypatch):
+    """No round sorts or shuffles the edges again, nor joins them to what was seen."""
+    from jobtables.operators import closure
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    plans, append, old = [], closure._Seen.append, spark.conf.get(threshold)
+
+    def noted(self, df, level):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return append(self, df, level)
+    monkeypatch.setattr(closure._Seen, "append", noted)
+    spark.conf.set(threshold, "-1")
+    try:
+        edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "src string, dst string")
+        roots = spark.createDataFrame([("a",)], "root string")
+        assert sorted(r.node for r in deps_reach(edges, roots).collect()) == ["a", "b", "c"]
+        steps = closure._Steps(edges, [], closure.Scratch(spark, "t"), 8, 100)
+        assert "Sort [node" in steps.kept._jdf.queryExecution().optimizedPlan().toString()
+        steps.close()
+    finally:
+        spark.conf.set(threshold, old)
+    for plan in plans[1:]:
+        lines = plan.splitlines()
+        anti = next(i for i, x in enumerate(lines) if "LeftAnti" in x)
+        inner = next(i for i, x in enumerate(lines) if "Join Inner" in x)
+        assert anti < inner  # the frontier is followed first
